@@ -11,7 +11,7 @@ from checks.registry import (
 from hemline.functions import fixed, geo
 from hemline.functions import text as T
 from hemline.operators.listings import resolve_city
-from hemline.operators.replies import parse_tool_call, tool_defaults
+from hemline.operators.replies import parse_tool_calls, tool_defaults
 
 B, A = rf"(^|[^{WORD}])", rf"($|[^{WORD}])"
 
@@ -27,16 +27,14 @@ _CLEAN = sql_squeeze(rf"regexp_replace(text, '[^{WORD}{WS}.,!?''()-]', '', 'g')"
 
 @query(
     "txt_01_clean_captions",
-    f"WITH k AS (SELECT doc_id, {_CLEAN} AS c FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN '(a) é#' ELSE text END AS text "
-    "FROM documents)) SELECT doc_id, md5(CASE WHEN length(c) < 5 THEN c || ' fashion clothing' ELSE c END) AS clean, length(c) AS n FROM k",
+    f"WITH k AS (SELECT doc_id, {_CLEAN} AS c FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN ' (é)# ' ELSE text END AS text "
+    "FROM documents)), f AS (SELECT doc_id, CASE WHEN length(c) < 5 THEN c || ' fashion clothing' ELSE c END AS c FROM k) "
+    "SELECT doc_id, md5(c) AS clean, length(c) AS n FROM f",
 )
 def _(spark, sf):
-    short = F.when(F.col("doc_id") % 50 == 0, F.lit("(a) é#")).otherwise(F.col("text"))
-    c = T.clean_caption(short)
-    n = F.length(c) - F.when(F.col("doc_id") % 50 == 0, F.length(F.lit(" fashion clothing"))).otherwise(0)
-    return _docs(spark, sf).filter("length(text) >= 5 OR doc_id % 50 = 0").select(
-        "doc_id", md5_text(c).alias("clean"), n.cast("bigint").alias("n")
-    )
+    source = F.when(F.col("doc_id") % 50 == 0, F.lit(" (é)# ")).otherwise(F.col("text"))
+    clean = _docs(spark, sf).select("doc_id", T.clean_caption(source).alias("c"))
+    return clean.select("doc_id", md5_text("c").alias("clean"), F.length("c").cast("bigint").alias("n"))
 
 
 _HEADS = [
@@ -324,7 +322,7 @@ _BASE = "https://listings.example.com/search-results/"
     "THEN 'type%5B%5D=digital&' ELSE '' END || 'location%5B%5D=city-' || s_nationkey AS url FROM supplier, range(1, 4) p(page)",
 )
 def _(spark, sf):
-    s = table(spark, sf, "supplier").withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(3))).cast("bigint"))
+    s = table(spark, sf, "supplier").withColumn("page", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(3).cast("bigint"))))
     types = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("billboards"), F.lit("digital"))).otherwise(
         F.array(F.lit("billboards"))
     )
@@ -425,7 +423,8 @@ def _calls(spark, sf):
         .otherwise(F.lit("<tool_call>{bad json}</tool_call> <billboard_search> {\"parameters\": {\"city\": \"Lahore\"}}"))
     )
     said = F.concat(F.lit("show "), "event_type", F.when(k % 3 == 0, " on digital screens").otherwise(" ads"))
-    return e.select("event_id", text.alias("text"), said.alias("message"))
+    # explode keeps the built text a column of its own, as replies read from a table are
+    return e.select("event_id", F.explode(F.array(text)).alias("text"), said.alias("message"))
 
 
 _EXPECT = (
@@ -438,9 +437,8 @@ _EXPECT = (
 
 @query("txt_15_parse_tool_calls", f"WITH {_EXPECT} SELECT event_id, tool, status, prompt, city FROM c")
 def _(spark, sf):
-    calls = _calls(spark, sf).select("event_id", parse_tool_call(F.col("text")).alias("c"))
-    get = lambda n: F.try_element_at(F.col("c.params"), F.lit(n))
-    return calls.select("event_id", "c.tool", "c.status", get("prompt").alias("prompt"), get("city").alias("city"))
+    get = lambda n: F.try_element_at(F.col("params"), F.lit(n)).alias(n)
+    return parse_tool_calls(_calls(spark, sf)).select("event_id", "tool", "status", get("prompt"), get("city"))
 
 
 @query(
@@ -451,8 +449,7 @@ def _(spark, sf):
     "'' AS missing FROM c WHERE status = 'ok'",
 )
 def _(spark, sf):
-    calls = _calls(spark, sf).select("event_id", "message", parse_tool_call(F.col("text")).alias("c"))
-    ok = calls.select("event_id", "message", "c.*").filter("status = 'ok'")
+    ok = parse_tool_calls(_calls(spark, sf)).filter("status = 'ok'")
     get = lambda n: F.try_element_at(F.col("filled"), F.lit(n)).alias(n)
     return tool_defaults(ok).select(
         "event_id", "tool", get("prompt"), get("style"), get("city"), get("ad_type"),
@@ -498,7 +495,7 @@ def _errors(spark, sf):
     'CASE WHEN k = 0 THEN event_id % 90 + 10 END AS "limit", CASE k WHEN 0 THEN event_id % 9000 WHEN 1 THEN event_id % 50 END AS retry_seconds, CASE k WHEN 0 THEN \'GenerateRequestsPerDay\' WHEN 1 THEN \'RequestsPerMinute\' END AS metric FROM e) '
     'SELECT event_id, kind, "limit", retry_seconds, metric, k = 0 AS is_daily, k = 1 AS is_per_minute, CASE k WHEN 0 THEN \'0 of \' || (event_id % 90 + 10) || \' daily images\' WHEN 1 THEN \'Per-minute limit hit (None/min)\' '
     "WHEN 3 THEN 'Unknown' ELSE 'N/A' END AS capacity, CASE WHEN retry_seconds > 0 THEN 'Resets in ' || CASE WHEN retry_seconds >= 3600 THEN (retry_seconds // 3600) || 'h ' ELSE '' END || (retry_seconds % 3600 // 60) || 'm' END AS resets, "
-    "CASE WHEN k = 2 THEN 'next_key' WHEN k IN (0, 1, 4) THEN 'next_key_after_wait' ELSE 'give_up' END AS retry, CASE WHEN k IN (0, 1) THEN 'Quota exceeded' WHEN k = 3 THEN left('timeout while calling the model for event ' || event_id || ' of the day', 50) "
+    "CASE WHEN k IN (0, 1, 4) THEN 'next_key_after_wait' ELSE 'give_up' END AS retry, CASE WHEN k IN (0, 1) THEN 'Quota exceeded' WHEN k = 3 THEN left('timeout while calling the model for event ' || event_id || ' of the day', 50) "
     "ELSE 'Invalid API key' END AS message FROM x",
 )
 def _(spark, sf):

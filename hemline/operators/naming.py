@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemline.operators.scale import HOT_ROWS, Ordered, ranked, small_side
+from hemline.operators.scale import HOT_ROWS, Ordered, largest_group, ranked, small_side
 
 
 def assign_names(files: DataFrame, prefixes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -17,11 +17,13 @@ def assign_names(files: DataFrame, prefixes: DataFrame, hot_rows: int = HOT_ROWS
     named = files.join(F.broadcast(prefixes), "category").select(
         "category", "filename", "prefix", F.lower("filename").alias("low")
     )
+    # taken numbers are never more than files, so twice the files bounds every group below
+    split = 2 * largest_group(files, ["category"]) > hot_rows
     extension = F.regexp_extract("low", r"(\.[^.]*)$", 1)
     number = F.expr("try_cast(regexp_extract(low, concat('^', lower(prefix), '_([1-9][0-9]{0,17})\\\\.[^.]*$'), 1) AS bigint)")
     taken = named.select("category", number.alias("t")).filter("t IS NOT NULL").distinct()
     # the j-th taken number t has t - j free numbers before it, so file k moves up once per taken with t - j < k
-    gaps = ranked(taken, ["category"], ["t"], "j", hot_rows).select(
+    gaps = ranked(taken, ["category"], ["t"], "j", split=split).select(
         "category",
         (F.col("t") - F.col("j")).alias("at"),
         F.lit(1).alias("kind"),
@@ -30,7 +32,7 @@ def assign_names(files: DataFrame, prefixes: DataFrame, hot_rows: int = HOT_ROWS
         F.lit(None).cast("string").alias("stem"),
         F.lit(None).cast("string").alias("ext"),
     )
-    rows = ranked(named, ["category"], ["low", "filename"], "k", hot_rows).select(
+    rows = ranked(named, ["category"], ["low", "filename"], "k", split=split).select(
         "category",
         F.col("k").alias("at"),
         F.lit(0).alias("kind"),
@@ -39,7 +41,7 @@ def assign_names(files: DataFrame, prefixes: DataFrame, hot_rows: int = HOT_ROWS
         F.col("prefix").alias("stem"),
         extension.alias("ext"),
     )
-    merged = Ordered(rows.unionByName(gaps), ["category"], ["at", "kind", "tie"], hot_rows)
+    merged = Ordered(rows.unionByName(gaps), ["category"], ["at", "kind", "tie"], split=split)
     numbered = merged.running(skipped=("sum", F.col("kind"))).done().filter("kind = 0")
     i = F.col("at") + F.col("skipped")
     return numbered.select(

@@ -19,34 +19,53 @@ def _braces(depth: int) -> str:
 
 def first_object(c: Column, depth: int = 6) -> Column:
     """First balanced {...} of the text, nested up to ``depth``; cut-off objects come back as they are."""
-    start = F.instr(c, "{")
+    start = F.position(F.lit("{"), c)
     tail = F.when(start > 0, F.substr(c, start)).otherwise(text.strip(c))
     whole = F.regexp_extract(tail, "^" + _braces(depth), 0)
     return F.when(whole != "", whole).otherwise(tail)
 
 
-def parse_tool_call(c: Column, tools: list[str] = fixed.TOOLS) -> Column:
-    """Struct (tool, params, status): the wrapped call first, else the first tool tag in list order that parses.
+def parse_tool_calls(replies: DataFrame, column: str = "text", tools: list[str] = fixed.TOOLS) -> DataFrame:
+    """Add tool, params and status: the wrapped call first, else the first tool tag in list order that parses.
 
     status is ok, malformed (a tag without readable JSON) or none. Malformed JSON is reported, not repaired.
     """
+    c = F.col(column)
     known = F.array(*[F.lit(t) for t in tools])
     wrapper = F.split_part(F.split_part(c, F.lit("<tool_call>"), F.lit(2)), F.lit("</tool_call>"), F.lit(1))
-    wrapped = F.when(F.contains(c, F.lit("<tool_call>")), text.strip(wrapper))
-    options = [_call(None, wrapped, known)]
-    for tool in tools:
-        tag = f"<{tool}>"
-        after = F.when(F.contains(c, F.lit(tag)), F.substr(c, F.instr(c, tag) + len(tag)))
-        options.append(_call(tool, first_object(after), known))
-    tagged = text.any_of([F.contains(c, F.lit(f"<{t}>")) for t in ["tool_call", *tools]])
-    call = F.coalesce(*options)
-    status = F.when(call.isNotNull(), "ok").when(tagged, "malformed").otherwise("none")
-    return F.struct(call["tool"].alias("tool"), call["params"].alias("params"), status.alias("status"))
-
-
-def _call(tool: str | None, body: Column, known: Column) -> Column:
+    wrapped = F.struct(
+        F.lit(None).cast("string").alias("tool"),
+        F.when(F.contains(c, F.lit("<tool_call>")), text.strip(wrapper)).alias("body"),
+    )
+    tagged = F.transform(
+        known,
+        lambda t: F.struct(
+            t.alias("tool"), first_object(_after(c, F.concat(F.lit("<"), t, F.lit(">")))).alias("body")
+        ),
+    )
+    bodies = F.filter(F.concat(F.array(wrapped), tagged), lambda b: b["body"].isNotNull())
+    calls = F.filter(F.transform("_bodies", lambda b: _call(b["tool"], b["body"], known)), lambda x: x.isNotNull())
+    return (
+        replies.withColumn("_bodies", bodies)
+        .withColumn("_call", F.get(calls, F.lit(0)))
+        .withColumn("tool", F.col("_call.tool"))
+        .withColumn("params", F.col("_call.params"))
+        .withColumn(
+            "status",
+            F.when(F.col("_call").isNotNull(), "ok").when(F.size("_bodies") > 0, "malformed").otherwise("none"),
+        )
+        .drop("_bodies", "_call")
+    )
+
+
+def _after(c: Column, tag: Column) -> Column:
+    at = F.position(tag, c)
+    return F.when(at > 0, F.substr(c, at + F.length(tag)))
+
+
+def _call(tool: Column, body: Column, known: Column) -> Column:
     top = F.from_json(body, "map<string,string>", NO_REPAIR)
-    name = F.lit(tool) if tool else F.try_element_at(top, F.lit("name"))
+    name = F.coalesce(tool, F.try_element_at(top, F.lit("name")))
     params = F.from_json(F.try_element_at(top, F.lit("parameters")), "map<string,string>", NO_REPAIR)
     flat = F.map_filter(top, lambda k, v: ~k.isin("name", "parameters"))
     good = F.coalesce(F.size(top) > 0, F.lit(False)) & F.array_contains(known, name)

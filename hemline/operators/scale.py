@@ -29,12 +29,15 @@ class Ordered:
 
     When every group fits one task this is a plain window. Otherwise rows are spread by range over keys and
     order together, so one group covers many partitions; each partition works alone and adds what the
-    partitions before it sum up to. ``order`` must tell all rows of a group apart.
+    partitions before it sum up to. ``order`` must tell all rows of a group apart. ``split`` says what is
+    already known about the group sizes; otherwise they are counted first.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS):
+    def __init__(
+        self, df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS, split: bool | None = None
+    ):
         self.keys, self.order = list(keys), list(order)
-        self.split = largest_group(df, self.keys) > hot_rows
+        self.split = largest_group(df, self.keys) > hot_rows if split is None else split
         if self.split:
             # The stored copy pins which row sits in which partition: every later pass must agree on it.
             placed = (
@@ -108,8 +111,10 @@ def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFra
     return left.join(renamed, match, "left").drop(*[f"_k_{c}" for c in on])
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return Ordered(df, keys, order, hot_rows).rank(name).done()
+def ranked(
+    df: DataFrame, keys: list[str], order: list[str], name: str, hot_rows: int = HOT_ROWS, split: bool | None = None
+) -> DataFrame:
+    return Ordered(df, keys, order, hot_rows, split).rank(name).done()
 
 
 def first_n(df: DataFrame, keys: list[str], order: list, n: int, name: str = "rank") -> DataFrame:
