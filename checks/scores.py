@@ -185,10 +185,9 @@ _SC = ["(event_id * %d) %% 10 + 1" % (i + 3) for i in range(5)]
     "CASE WHEN event_id % 5 < 3 THEN 'so ' || event_type ELSE 'JSON parsing failed' END AS why, CASE WHEN event_id % 5 < 3 THEN 'fine' ELSE 'JSON parsing failed' END AS feedback FROM events",
 )
 def _(spark, sf):
-    out = _judgement_texts(spark, sf).withColumn("j", scoring.parse_judgement(F.col("text")))
-    return out.select(
-        "event_id", "j.ok", F.col("j.relevance.score").alias("relevance"), F.col("j.marketing_effectiveness.score").alias("effect"),
-        F.col("j.overall").alias("overall"), F.col("j.creativity.justification").alias("why"), "j.feedback",
+    return scoring.parse_judgements(_judgement_texts(spark, sf)).select(
+        "event_id", "ok", F.col("relevance.score").alias("relevance"), F.col("marketing_effectiveness.score").alias("effect"),
+        "overall", F.col("creativity.justification").alias("why"), "feedback",
     )
 
 
@@ -228,7 +227,8 @@ def _(spark, sf):
         evaluation(lambda i: F.col("value")).alias("finetuned_evaluation"),
     )
     as_json = e.select(F.to_json(F.struct(F.array(result).alias("results"))).alias("j"))
-    return reports.judge_rows(as_json.select(F.from_json("j", reports.judge_schema()).alias("r")).select("r.*"))
+    parsed = as_json.select(F.explode(F.array(F.from_json("j", reports.judge_schema()))).alias("r"))
+    return reports.judge_rows(parsed.select("r.*"))
 
 
 @query(

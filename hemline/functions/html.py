@@ -57,7 +57,7 @@ class _Nodes(HTMLParser):
         for at in self.open:
             self.nodes[at][4] = len(self.nodes) - 1
         return [
-            {"tag": t, "cls": c, "attrs": list(a.items()), "text": x, "last": last}
+            {"tag": t, "cls": c, "attrs": a, "text": x, "last": last}
             for t, c, a, x, last in self.nodes
         ]
 

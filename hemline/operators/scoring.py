@@ -109,27 +109,30 @@ def judgement_type() -> str:
     return f"struct<{each}, overall_score: double, overall_feedback: string>"
 
 
-def parse_judgement(c: Column) -> Column:
-    """Struct (ok, scores per criterion, overall, feedback). Text that is no full judgement scores 0 throughout.
+def parse_judgements(replies: DataFrame, column: str = "text") -> DataFrame:
+    """Add ok, one (score, justification) struct per criterion, overall and feedback.
 
-    A missing overall score is the mean of the criteria; a stated one is trusted.
+    Text that is no full judgement scores 0 throughout. A missing overall score is the mean of the criteria; a
+    stated one is trusted.
     """
-    body = text.unwrap_fence(c)
-    parsed = F.from_json(body, judgement_type(), {"allowSingleQuotes": "false"})
+    body, parsed, ok = F.col("_body"), F.col("_parsed"), F.col("ok")
     scores = [parsed[k]["score"] for k in fixed.CRITERIA]
     mean = F.round(sum(scores[1:], scores[0]) / len(scores), 2)
     overall = F.coalesce(parsed["overall_score"], mean)
-    ok = F.coalesce(F.rlike(body, F.lit(r"(?s)^\{.*\}$")) & overall.isNotNull(), F.lit(False))
     failed = F.lit("JSON parsing failed")
-    return F.struct(
-        ok.alias("ok"),
-        *[
-            F.struct(
-                F.when(ok, parsed[k]["score"]).otherwise(F.lit(0.0)).alias("score"),
-                F.when(ok, parsed[k]["justification"]).otherwise(failed).alias("justification"),
-            ).alias(k)
-            for k in fixed.CRITERIA
-        ],
-        F.when(ok, overall).otherwise(F.lit(0.0)).alias("overall"),
-        F.when(ok, parsed["overall_feedback"]).otherwise(failed).alias("feedback"),
+    criteria = {
+        k: F.struct(
+            F.when(ok, parsed[k]["score"]).otherwise(F.lit(0.0)).alias("score"),
+            F.when(ok, parsed[k]["justification"]).otherwise(failed).alias("justification"),
+        )
+        for k in fixed.CRITERIA
+    }
+    return (
+        replies.withColumn("_body", text.unwrap_fence(F.col(column)))
+        .withColumn("_parsed", F.from_json(body, judgement_type(), {"allowSingleQuotes": "false"}))
+        .withColumn("ok", F.coalesce(F.rlike(body, F.lit(r"(?s)^\{.*\}$")) & overall.isNotNull(), F.lit(False)))
+        .withColumns(criteria)
+        .withColumn("overall", F.when(ok, overall).otherwise(F.lit(0.0)))
+        .withColumn("feedback", F.when(ok, parsed["overall_feedback"]).otherwise(failed))
+        .drop("_body", "_parsed")
     )
