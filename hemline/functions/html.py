@@ -10,7 +10,7 @@ import sys
 from collections.abc import Callable
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,18 +23,36 @@ RAW = {"script", "style"}
 
 
 class _Nodes(HTMLParser):
+    """Appends the nodes of one page after another to flat column lists."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes: list[list] = []
-        self.open: list[int] = []
+        self.tag, self.cls, self.text, self.last = [], [], [], []
+        self.key, self.value, self.attr_ends, self.page_ends = [], [], [0], [0]
+
+    def page(self, html: str | None):
+        self.reset()
+        self.start, self.open = len(self.tag), []
+        self.feed(html or "")
+        self.close()
+        for at in self.open:
+            self.last[at] = len(self.tag) - 1 - self.start
+        self.page_ends.append(len(self.tag))
+
+    def add(self, tag, cls, text, attrs):
+        self.tag.append(tag)
+        self.cls.append(cls)
+        self.text.append(text)
+        self.last.append(len(self.tag) - 1 - self.start)
+        self.key.extend(attrs.keys())
+        self.value.extend(attrs.values())
+        self.attr_ends.append(len(self.key))
 
     def handle_starttag(self, tag, attrs):
-        found = {}
-        for k, v in attrs:
-            found[k] = v or ""
-        self.nodes.append([tag, found.get("class", ""), found, None, len(self.nodes)])
+        found = {k: v or "" for k, v in attrs}
+        self.add(tag, found.get("class", ""), None, found)
         if tag not in VOID:
-            self.open.append(len(self.nodes) - 1)
+            self.open.append(len(self.tag) - 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -42,38 +60,37 @@ class _Nodes(HTMLParser):
 
     def handle_endtag(self, tag):
         for depth in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[depth]][0] == tag:
+            if self.tag[self.open[depth]] == tag:
                 for at in self.open[depth:]:
-                    self.nodes[at][4] = len(self.nodes) - 1
+                    self.last[at] = len(self.tag) - 1 - self.start
                 del self.open[depth:]
                 return
 
     def handle_data(self, data):
-        if not (self.open and self.nodes[self.open[-1]][0] in RAW):
-            self.nodes.append(["#text", "", {}, data, len(self.nodes)])
-
-    def result(self):
-        self.close()
-        for at in self.open:
-            self.nodes[at][4] = len(self.nodes) - 1
-        return [
-            {"tag": t, "cls": c, "attrs": a, "text": x, "last": last}
-            for t, c, a, x, last in self.nodes
-        ]
-
+        if not (self.open and self.tag[self.open[-1]] in RAW):
+            self.add("#text", "", data, {})
 
-def _parse(html: str | None):
-    parser = _Nodes()
-    parser.feed(html or "")
-    return parser.result()
+    def columns(self) -> pa.Array:
+        text, number = pa.string(), pa.int32()
+        attrs = pa.MapArray.from_arrays(
+            pa.array(self.attr_ends, number), pa.array(self.key, text), pa.array(self.value, text)
+        )
+        nodes = pa.StructArray.from_arrays(
+            [pa.array(self.tag, text), pa.array(self.cls, text), attrs, pa.array(self.text, text), pa.array(self.last, number)],
+            names=["tag", "cls", "attrs", "text", "last"],
+        )
+        return pa.ListArray.from_arrays(pa.array(self.page_ends, number), nodes)
 
 
 def html_nodes(html: Column) -> Column:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-    @F.pandas_udf(NODES)
-    def nodes(pages: pd.Series) -> pd.Series:
-        return pages.map(_parse)
+    @F.arrow_udf(NODES)
+    def nodes(pages: pa.Array) -> pa.Array:
+        parser = _Nodes()
+        for page in pages.to_pylist():
+            parser.page(page)
+        return parser.columns()
 
     return nodes(html)
 
@@ -81,44 +98,39 @@ def html_nodes(html: Column) -> Column:
 # --- column helpers over node arrays ----------------------------------------------------------------------
 
 def placed(nodes: Column) -> Column:
-    """Nodes with their position ``at``."""
+    """Nodes with their position ``at`` and their class in lower case, ``low``."""
     return F.transform(
         nodes,
         lambda n, i: F.struct(
-            n["tag"].alias("tag"), n["cls"].alias("cls"), n["attrs"].alias("attrs"), n["text"].alias("text"),
-            n["last"].alias("last"), i.alias("at"),
+            n["tag"].alias("tag"), n["cls"].alias("cls"), F.lower(n["cls"]).alias("low"), n["attrs"].alias("attrs"),
+            n["text"].alias("text"), n["last"].alias("last"), i.alias("at"),
         ),
     )
 
 
-def below(nodes: Column, node: Column) -> Column:
-    """Nodes under ``node``. Works on any slice of placed nodes that starts at or before it."""
-    first = F.get(nodes, F.lit(0))["at"]
-    return F.when(node.isNotNull(), F.slice(nodes, node["at"] - first + 2, node["last"] - node["at"]))
+def below(nodes: Column, node: Column, start: Column | None = None) -> Column:
+    """Nodes under ``node``. ``nodes`` is the whole page, or the slice of it that begins at position ``start``."""
+    return F.slice(nodes, node["at"] - (F.lit(0) if start is None else start) + 2, node["last"] - node["at"])
 
 
-def where(nodes: Column, *tags: str, cls: str | None = None, test: Callable | None = None) -> Column:
-    """Nodes with one of the tags (any element when none is given) whose class matches, ignoring case."""
+def where(nodes: Column, *tags: str, cls: list[str] | None = None, test: Callable | None = None) -> Column:
+    """Elements with one of the tags (any when none is given) whose class holds one of ``cls``, in any case."""
 
     def fits(n: Column) -> Column:
         ok = n["tag"].isin(*tags) if tags else n["tag"] != "#text"
         if cls:
-            ok = ok & F.rlike(n["cls"], F.lit("(?i)" + cls))
+            ok = ok & T.any_of([F.contains(n["low"], F.lit(c)) for c in cls])
         return ok & test(n) if test else ok
 
     return F.filter(nodes, fits)
 
 
-def first(nodes: Column, *tags: str, cls: str | None = None, test: Callable | None = None) -> Column:
+def first(nodes: Column, *tags: str, cls: list[str] | None = None, test: Callable | None = None) -> Column:
     return F.get(where(nodes, *tags, cls=cls, test=test), F.lit(0))
 
 
-def text_below(nodes: Column, node: Column, separator: str = "") -> Column:
-    """Trimmed text pieces under ``node``, blank ones dropped."""
-    return joined_text(below(nodes, node), separator)
-
-
-def joined_text(nodes: Column, separator: str = "") -> Column:
+def text_of(nodes: Column, separator: str = "") -> Column:
+    """Trimmed text pieces among ``nodes``, blank ones dropped."""
     pieces = F.transform(F.filter(nodes, lambda n: n["tag"] == "#text"), lambda n: T.strip(n["text"]))
     return F.array_join(F.filter(pieces, lambda p: p != ""), separator)
 

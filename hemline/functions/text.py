@@ -16,6 +16,10 @@ from hemline.functions import fixed
 WS = (
     r"\t\n\x0b\f\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# the same characters one by one
+WS_CHARS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 WORD = r"\p{L}\p{N}_"
 BEFORE = rf"(^|[^{WORD}])"
 AFTER = rf"($|[^{WORD}])"
@@ -37,7 +41,7 @@ def literal_map_of(pairs: list[tuple[str, Column]]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def squeeze(c: Column) -> Column:

@@ -7,180 +7,231 @@ from pyspark.sql import functions as F
 
 from hemline.functions import html as H
 from hemline.functions import text as T
+from hemline.operators.scale import settled
 
 
 def _filled(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def _distinct_text(nodes: Column, found: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(found, lambda n: H.text_below(nodes, n)), lambda t: t != ""))
+def _is_price(n: Column) -> Column:
+    return F.array_contains(F.split(n["cls"], " "), "price")
 
 
 def extract_listings(pages: DataFrame, source: str | None = None, dedupe: str = "page") -> DataFrame:
     """Listing cards of each page (page_id, pos, title, …), with the page's stated total.
 
     Cards are elements with an "item-wrap" class, else articles with a listing class, else any article. Cards
-    without a title are dropped; a repeated url (title where there is no url) inside a page keeps its first card.
+    without a title are dropped; a repeated url (title where there is no url) keeps its first card, inside a
+    page or, with ``dedupe="all"``, over all pages.
+
+    Every step finds its elements once and the next one reads them, so no search is repeated.
     """
-    nodes = pages.select("page_id", "url", H.placed(H.html_nodes(F.col("html"))).alias("nodes"))
-    n = F.col("nodes")
-    wrapped = H.where(n, "div", "article", "li", test=lambda x: F.contains(x["cls"], F.lit("item-wrap")))
-    listed = H.where(n, "article", cls="property-item|property_item|listing")
-    cards = F.when(F.size(wrapped) > 0, wrapped).when(F.size(listed) > 0, listed).otherwise(H.where(n, "article"))
-    counted = F.get(
-        F.filter(n, lambda x: (x["tag"] == "#text") & T.total_in_text(x["text"]).isNotNull()), F.lit(0)
+    n, s = F.col("nodes"), F.col("sub")
+    parsed = pages.select("page_id", F.col("url").alias("page_url"), H.html_nodes(F.col("html")).alias("raw"))
+    nodes = settled(parsed, "nodes", H.placed(F.col("raw"))).drop("raw")
+    found = nodes.select(
+        "page_id", "page_url", "nodes",
+        H.where(n, "div", "article", "li", test=lambda x: F.contains(x["cls"], F.lit("item-wrap"))).alias("wrapped"),
+        H.where(n, "article").alias("articles"),
+        H.first(n, "#text", test=lambda x: T.total_in_text(x["text"]).isNotNull()).alias("counted"),
     )
-    cut = nodes.select(
-        "page_id",
-        F.col("url").alias("page_url"),
-        T.total_in_text(counted["text"]).alias("total_found"),
-        F.posexplode(F.transform(cards, lambda c: H.below(n, c))).alias("card", "sub"),
+    listed = H.where(F.col("articles"), cls=["property-item", "property_item", "listing"])
+    cards = (
+        F.when(F.size("wrapped") > 0, F.col("wrapped")).when(F.size(listed) > 0, listed).otherwise(F.col("articles"))
     )
-    s = F.col("sub")
-    title_at = F.coalesce(
-        H.first(s, "h2", "h3", cls="item-title|entry-title|listing-title"), H.first(s, "h2", "h3")
+    cut = found.select(
+        "page_id", "page_url", T.total_in_text(F.col("counted.text")).alias("total_found"),
+        F.posexplode(
+            F.transform(cards, lambda c: F.struct((c["at"] + 1).alias("start"), H.below(n, c).alias("sub")))
+        ).alias("card", "c"),
+    ).select("page_id", "page_url", "total_found", "card", "c.start", "c.sub")
+
+    def under(node: str | Column) -> Column:
+        return H.below(s, F.col(node) if isinstance(node, str) else node, F.col("start"))
+
+    heads = H.where(s, "h2", "h3")
+    spots = cut.select(
+        "*",
+        heads.alias("at_heads"),
+        H.first(s, "span", test=_is_price).alias("at_price"),
+        H.first(s, cls=["item-price", "listing-price", "property-price"]).alias("at_price_box"),
+        H.where(s, "address").alias("at_places"),
+        H.first(s, cls=["listing-location", "property-location"]).alias("at_place_box"),
+        H.where(s, "a", cls=["hz-label"]).alias("at_label_links"),
+        H.where(s, cls=["label-color-"]).alias("at_label_boxes"),
+        H.first(s, "li", cls=["h-size"]).alias("at_size"),
+        H.first(s, "li", cls=["h-vc"]).alias("at_zone"),
+        H.first(s, cls=["listing-thumb"]).alias("at_thumb"),
+        H.first(s, "img").alias("at_img"),
+        H.first(
+            s, test=lambda x: F.contains(F.lower(F.coalesce(H.attr(x, "style"), F.lit(""))), F.lit("background-image"))
+        ).alias("at_painted"),
+    )
+    heads, places = F.col("at_heads"), F.col("at_places")
+    spots = spots.filter(F.size(heads) > 0).select(
+        "*",
+        F.coalesce(
+            H.first(heads, cls=["item-title", "entry-title", "listing-title"]), F.get(heads, F.lit(0))
+        ).alias("pick_head"),
+        F.coalesce(H.first(places, cls=["item-address"]), F.get(places, F.lit(0))).alias("pick_place"),
+        F.when(F.size("at_label_links") > 0, F.col("at_label_links")).otherwise(F.col("at_label_boxes")).alias("pick_labels"),
+        F.when(F.col("at_thumb").isNotNull(), H.first(under("at_thumb"), "img")).otherwise(F.col("at_img")).alias("pick_img"),
+        H.first(under("at_size"), cls=["hz-figure"]).alias("pick_size"),
+        H.first(under("at_zone"), cls=["hz-figure"]).alias("pick_zone"),
+        H.text_of(s, " ").alias("pick_words"),
     )
-    spot = cut.withColumn("head", title_at).filter("head IS NOT NULL").select(
+    spots = spots.select(
         "*",
-        H.first(H.below(s, F.col("head")), "a").alias("link"),
-        H.first(s, "span", test=lambda x: F.array_contains(F.split(x["cls"], r"\s+"), "price")).alias("price_at"),
-        H.first(s, cls="item-price|listing-price|property-price").alias("price_box"),
-        F.coalesce(H.first(s, "address", cls="item-address"), H.first(s, "address")).alias("place"),
-        H.first(s, cls="listing-location|property-location").alias("place_box"),
-        H.where(s, "a", cls="hz-label").alias("label_links"),
-        H.where(s, cls="label-color-").alias("label_boxes"),
-        H.first(s, "li", cls="h-size").alias("size_at"),
-        H.first(s, "li", cls="h-vc").alias("zone_at"),
-        H.first(s, cls="listing-thumb").alias("thumb"),
-        H.first(s, test=lambda x: F.rlike(F.coalesce(H.attr(x, "style"), F.lit("")), F.lit("(?i)background-image"))).alias("painted"),
-        H.joined_text(s, " ").alias("words"),
-    )
-
-    def figure(at: str) -> Column:
-        inner = H.first(H.below(s, F.col(at)), cls="hz-figure")
-        return F.when(inner.isNotNull(), H.text_below(s, inner)).otherwise(H.text_below(s, F.col(at)))
-
-    span = H.first(H.below(s, F.col("place")), "span")
-    labels = F.when(F.size("label_links") > 0, F.col("label_links")).otherwise(F.col("label_boxes"))
-    img = F.when(F.col("thumb").isNotNull(), H.first(H.below(s, F.col("thumb")), "img")).otherwise(H.first(s, "img"))
+        H.first(under("pick_head"), "a").alias("link_a"),
+        H.first(under("pick_place"), "span").alias("link_span"),
+    )
+
+    def text(*choices: str, separator: str = "") -> Column:
+        """Text under the first of the elements that exists."""
+        return H.text_of(under(F.coalesce(*[F.col(c) for c in choices])), separator)
+
+    img = F.col("pick_img")
     shown = F.coalesce(_filled(H.attr(img, "data-src")), _filled(H.attr(img, "src")))
-    low = F.lower(shown)
-    real = F.when(~F.contains(low, F.lit("svg")) & ~F.contains(low, F.lit("data:image")), shown)
-    paint = _filled(F.regexp_extract(H.attr(F.col("painted"), "style"), r"url\(['\"]?([^'\")\s]+)['\"]?\)", 1))
-    zone = F.when(F.col("zone_at").isNotNull(), figure("zone_at"))
-    listing = spot.select(
+    values = spots.select(
+        "*",
+        text("link_a", "pick_head").alias("v_title"),
+        _filled(T.strip(H.attr(F.col("link_a"), "href"))).alias("v_detail_url"),
+        F.coalesce(text("at_price"), text("at_price_box", separator=" ")).alias("v_price"),
+        _filled(text("link_span", "pick_place", "at_place_box")).alias("v_city"),
+        F.array_distinct(
+            F.filter(F.transform("pick_labels", lambda x: H.text_of(under(x))), lambda t: t != "")
+        ).alias("v_labels"),
+        text("pick_size", "at_size").alias("v_size"),
+        text("pick_zone", "at_zone").alias("v_zone"),
+        shown.alias("v_shown"),
+        F.regexp_extract(H.attr(F.col("at_painted"), "style"), r"url\(['\"]?([^'\")\s]+)['\"]?\)", 1).alias("v_paint"),
+    ).filter("v_title <> ''")
+    words, low = F.col("pick_words"), F.lower("v_shown")
+    plain = ~F.contains(low, F.lit("svg")) & ~F.contains(low, F.lit("data:image"))
+    listing = values.select(
         "page_id",
         "page_url",
         "total_found",
         "card",
-        F.when(F.col("link").isNotNull(), H.text_below(s, F.col("link"))).otherwise(H.text_below(s, F.col("head"))).alias("title"),
-        _filled(T.strip(H.attr(F.col("link"), "href"))).alias("detail_url"),
-        F.when(F.col("price_at").isNotNull(), H.text_below(s, F.col("price_at")))
-        .when(F.col("price_box").isNotNull(), H.text_below(s, F.col("price_box"), " "))
-        .otherwise(T.price_in_text(F.col("words"))).alias("price"),
-        _filled(
-            F.when(span.isNotNull(), H.text_below(s, span))
-            .when(F.col("place").isNotNull(), H.text_below(s, F.col("place")))
-            .otherwise(H.text_below(s, F.col("place_box")))
-        ).alias("city"),
-        _distinct_text(s, labels).alias("labels"),
-        _filled(
-            F.when(F.col("size_at").isNotNull(), figure("size_at")).otherwise(T.size_in_text(F.col("words")))
-        ).alias("dimensions"),
-        _filled(zone).alias("zone"),
-        T.codes_in_text(F.col("words"), zone).alias("codes"),
-        F.when(img.isNotNull(), real).otherwise(paint).alias("image_url"),
+        F.col("v_title").alias("title"),
+        F.col("v_detail_url").alias("detail_url"),
+        F.coalesce("v_price", T.price_in_text(words)).alias("price"),
+        F.col("v_city").alias("city"),
+        F.col("v_labels").alias("labels"),
+        _filled(F.coalesce("v_size", T.size_in_text(words))).alias("dimensions"),
+        _filled(F.col("v_zone")).alias("zone"),
+        T.codes_in_text(words, F.col("v_zone")).alias("codes"),
+        F.when(img.isNotNull(), F.when(plain, F.col("v_shown"))).otherwise(_filled(F.col("v_paint"))).alias("image_url"),
         F.lit(source).alias("source"),
-    ).filter("title <> ''")
-    # a page's cards all come from one row, so this groups a few dozen rows each
+        F.coalesce("v_detail_url", "v_title").alias("_key"),
+    )
+    # the first card wins; repeats are combined before the shuffle
     key = ["page_id", "_key"] if dedupe == "page" else ["_key"]
-    kept = listing.withColumn("_key", F.coalesce("detail_url", "title"))
-    rest = [c for c in kept.columns if c not in key]
-    kept = kept.groupBy(*key).agg(F.min_by(F.struct(*(c for c in kept.columns)), F.struct("page_id", "card")).alias("_row"))
+    whole = F.struct(*[c for c in listing.columns if c != "_key"])
+    kept = listing.groupBy(*key).agg(F.min_by(whole, F.struct("page_id", "card")).alias("_row"))
     order = Window.partitionBy("page_id").orderBy("card")
-    return kept.select("_row.*").withColumn("pos", F.row_number().over(order)).drop("card", "_key")
-
-
-def _pairs(nodes: Column, box: Column, use_link: bool) -> Column:
-    """Ordered label-to-value map of the list items in ``box``; a repeated label keeps its last value."""
-    def entry(li: Column) -> Column:
-        sub = H.below(nodes, li)
-        strong, span = H.first(sub, "strong"), H.first(sub, "span")
-        link = H.first(H.below(nodes, span), "a")
-        value = H.text_below(nodes, span)
-        if use_link:
-            value = F.when(link.isNotNull(), H.text_below(nodes, link)).otherwise(
-                F.when(~F.contains(value, F.lit("PLACEHOLDER")), value)
-            )
-        label = F.regexp_replace(H.text_below(nodes, strong), ":+$", "")
-        keep = span.isNotNull() & strong.isNotNull()
-        keep = keep & (value.isNotNull() if use_link else ((label != "") & (value != "")))
-        if use_link:
-            keep = keep & (link.isNotNull() | (value != ""))
-        return F.when(keep, F.struct(label.alias("key"), value.alias("value")))
-
-    found = F.filter(F.transform(H.where(H.below(nodes, box), "li"), entry), lambda e: e.isNotNull())
-    keys = F.array_distinct(F.transform(found, lambda e: e["key"]))
-    values = F.transform(
-        keys, lambda k: F.element_at(F.filter(found, lambda e: e["key"] == k), -1)["value"]
+    return kept.select("_row.*").withColumn("pos", F.row_number().over(order)).drop("card")
+
+
+def _pairs(box: Column, use_link: bool) -> Column:
+    """Ordered label-to-value map of the list items among the nodes ``box``; a repeated label keeps its last value."""
+
+    def parts(li: Column) -> Column:
+        sub = _inside(box, li)
+        return F.struct(li.alias("li"), H.first(sub, "strong").alias("strong"), H.first(sub, "span").alias("span"))
+
+    def texts(p: Column) -> Column:
+        link = H.first(_inside(box, p["span"]), "a") if use_link else F.lit(None)
+        return F.struct(
+            F.regexp_replace(H.text_of(_inside(box, p["strong"])), ":+$", "").alias("key"),
+            H.text_of(_inside(box, p["span"])).alias("value"),
+            (H.text_of(_inside(box, link)) if use_link else F.lit(None).cast("string")).alias("linked"),
+        )
+
+    items = F.filter(
+        F.transform(H.where(box, "li"), parts), lambda p: p["strong"].isNotNull() & p["span"].isNotNull()
     )
+    entries = F.transform(items, texts)
+    if use_link:
+        good = F.filter(
+            entries,
+            lambda e: e["linked"].isNotNull() | ((e["value"] != "") & ~F.contains(e["value"], F.lit("PLACEHOLDER"))),
+        )
+    else:
+        good = F.filter(entries, lambda e: (e["key"] != "") & (e["value"] != ""))
+    return F.transform(good, lambda e: F.struct(e["key"].alias("key"), F.coalesce(e["linked"], e["value"]).alias("value")))
+
+
+def _inside(box: Column, node: Column) -> Column:
+    return H.below(box, node, F.get(box, F.lit(0))["at"])
+
+
+def _last_by_key(entries: Column) -> Column:
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    values = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"])
     return F.coalesce(F.map_from_arrays(keys, values), F.create_map().cast("map<string,string>"))
 
 
 def extract_details(pages: DataFrame) -> DataFrame:
     """One detail row per page: title, images, description, details and address maps, position and price."""
-    nodes = pages.select("page_id", "url", H.placed(H.html_nodes(F.col("html"))).alias("nodes"))
     n = F.col("nodes")
-    desc = H.first(n, "div", cls="property-description-wrap")
-    boxes = nodes.select(
+    parsed = pages.select("page_id", F.col("url").alias("detail_url"), H.html_nodes(F.col("html")).alias("raw"))
+    nodes = settled(parsed, "nodes", H.placed(F.col("raw"))).drop("raw")
+    spots = nodes.select(
+        "*",
+        H.first(n, "div", cls=["page-title"]).alias("at_title_box"),
+        H.first(n, "h1").alias("at_h1"),
+        H.where(n, "img", cls=["houzez-gallery-img"]).alias("at_gallery"),
+        H.first(n, "div", cls=["property-description-wrap"]).alias("at_about"),
+        H.first(n, "div", cls=["property-detail-wrap"]).alias("at_details"),
+        H.first(n, "div", cls=["property-address-wrap"]).alias("at_address"),
+        H.first(n, "li", cls=["item-price"]).alias("at_price_item"),
+        H.first(n, "span", test=_is_price).alias("at_price"),
+    )
+    boxes = spots.select(
         "*",
-        H.first(n, "div", cls="page-title").alias("title_box"),
-        H.first(n, "h1").alias("h1"),
-        H.where(n, "img", cls="houzez-gallery-img").alias("gallery"),
-        F.coalesce(H.first(H.below(n, desc), "div", cls="description-content"), desc).alias("about"),
-        H.first(n, "div", cls="property-detail-wrap").alias("detail_box"),
-        H.first(n, "div", cls="property-address-wrap").alias("address_box"),
-        H.first(n, "li", cls="item-price").alias("price_item"),
-    )
-    in_title = H.first(H.below(n, F.col("title_box")), "h1")
-    address = H.below(n, F.col("address_box"))
-    is_price = {"test": lambda x: F.array_contains(F.split(x["cls"], r"\s+"), "price")}
-    map_json = H.attr(H.first(address, test=lambda x: F.map_contains_key(x["attrs"], F.lit("data-map"))), "data-map")
-    spot = F.from_json(map_json, "map<string,string>", {"allowSingleQuotes": "false"})
-    price_span = F.when(
-        F.col("price_item").isNotNull(), H.first(H.below(n, F.col("price_item")), "span", **is_price)
-    ).otherwise(H.first(n, "span", **is_price))
+        F.coalesce(H.first(H.below(n, F.col("at_title_box")), "h1"), F.col("at_title_box"), F.col("at_h1")).alias("box_title"),
+        F.coalesce(
+            H.first(H.below(n, F.col("at_about")), "div", cls=["description-content"]), F.col("at_about")
+        ).alias("box_about"),
+        H.below(n, F.col("at_details")).alias("box_details"),
+        H.below(n, F.col("at_address")).alias("box_address"),
+        F.when(
+            F.col("at_price_item").isNotNull(), H.first(H.below(n, F.col("at_price_item")), "span", test=_is_price)
+        ).otherwise(F.col("at_price")).alias("box_price"),
+    )
+    address = F.col("box_address")
     images = F.transform(
-        F.col("gallery"), lambda g: F.coalesce(_filled(H.attr(g, "data-lazy")), _filled(H.attr(g, "src")), F.lit(""))
+        F.col("at_gallery"), lambda g: F.coalesce(_filled(H.attr(g, "data-lazy")), _filled(H.attr(g, "src")), F.lit(""))
+    )
+    map_node = H.first(address, test=lambda x: F.map_contains_key(x["attrs"], F.lit("data-map")))
+    values = boxes.select(
+        "*",
+        F.coalesce(H.text_of(H.below(n, F.col("box_title"))), F.lit("")).alias("v_title"),
+        images.alias("v_images"),
+        F.coalesce(T.collapse_blank_lines(H.text_of(H.below(n, F.col("box_about")), "\n")), F.lit("")).alias("v_description"),
+        _pairs(F.col("box_details"), True).alias("v_details"),
+        _pairs(address, False).alias("v_address"),
+        _filled(H.attr(H.first(address, "a", cls=["hz-btn-map"]), "href")).alias("v_map_url"),
+        F.from_json(H.attr(map_node, "data-map"), "map<string,string>", {"allowSingleQuotes": "false"}).alias("v_spot"),
+        H.text_of(H.below(n, F.col("box_price"))).alias("v_price"),
     )
-    lines = F.transform(
-        F.filter(H.below(n, F.col("about")), lambda x: (x["tag"] == "#text") & (T.strip(x["text"]) != "")),
-        lambda x: T.strip(x["text"]),
+    real = F.filter(
+        "v_images", lambda u: (u != "") & ~F.contains(u, F.lit("svg")) & ~F.contains(u, F.lit("data:image"))
     )
-    return boxes.select(
+    return values.select(
         "page_id",
-        F.col("url").alias("detail_url"),
-        F.coalesce(
-            F.when(in_title.isNotNull(), H.text_below(n, in_title)).otherwise(H.text_below(n, F.col("title_box"))),
-            H.text_below(n, F.col("h1")),
-            F.lit(""),
-        ).alias("title"),
-        F.array_distinct(
-            F.filter(
-                images,
-                lambda u: (u != "") & ~F.contains(u, F.lit("svg")) & ~F.contains(u, F.lit("data:image")),
-            )
-        ).alias("images"),
-        F.coalesce(T.collapse_blank_lines(F.array_join(lines, "\n")), F.lit("")).alias("description"),
-        _pairs(n, F.col("detail_box"), True).alias("details"),
-        _pairs(n, F.col("address_box"), False).alias("address"),
-        _filled(H.attr(H.first(address, "a", cls="hz-btn-map"), "href")).alias("map_url"),
-        F.try_element_at(spot, F.lit("latitude")).try_cast("double").alias("lat"),
-        F.try_element_at(spot, F.lit("longitude")).try_cast("double").alias("lon"),
-        F.coalesce(
-            _filled(F.try_element_at(spot, F.lit("pricePin"))), H.text_below(n, price_span), F.lit("")
-        ).alias("price"),
+        "detail_url",
+        F.col("v_title").alias("title"),
+        F.array_distinct(real).alias("images"),
+        F.col("v_description").alias("description"),
+        _last_by_key(F.col("v_details")).alias("details"),
+        _last_by_key(F.col("v_address")).alias("address"),
+        F.col("v_map_url").alias("map_url"),
+        F.try_element_at("v_spot", F.lit("latitude")).try_cast("double").alias("lat"),
+        F.try_element_at("v_spot", F.lit("longitude")).try_cast("double").alias("lon"),
+        F.coalesce(_filled(F.try_element_at("v_spot", F.lit("pricePin"))), "v_price", F.lit("")).alias("price"),
     )
 
 
@@ -203,7 +254,7 @@ def extract_image_urls(
     n = F.col("nodes")
     scope = n
     if card_class:
-        scope = F.flatten(F.transform(H.where(n, cls=card_class), lambda c: H.below(n, c)))
+        scope = F.flatten(F.transform(H.where(n, cls=[card_class.lower()]), lambda c: H.below(n, c)))
     urls = F.transform(
         H.where(scope, "img"), lambda x: T.image_url(x["attrs"], list(attr_priority), F.col("base"))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hemline.functions import fixed, text
+from hemline.operators.scale import settled
 
 NO_REPAIR = {"allowSingleQuotes": "false"}
 
@@ -46,8 +47,7 @@ def parse_tool_calls(replies: DataFrame, column: str = "text", tools: list[str]
     bodies = F.filter(F.concat(F.array(wrapped), tagged), lambda b: b["body"].isNotNull())
     calls = F.filter(F.transform("_bodies", lambda b: _call(b["tool"], b["body"], known)), lambda x: x.isNotNull())
     return (
-        replies.withColumn("_bodies", bodies)
-        .withColumn("_call", F.get(calls, F.lit(0)))
+        settled(replies.withColumn("_bodies", bodies), "_call", F.get(calls, F.lit(0)))
         .withColumn("tool", F.col("_call.tool"))
         .withColumn("params", F.col("_call.params"))
         .withColumn(

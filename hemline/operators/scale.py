@@ -135,6 +135,14 @@ def repeated(df: DataFrame, times: str, index: str, chunk: int = 10_000) -> Data
     return chunks.withColumn(index, F.explode(F.sequence(F.col("_chunk") * chunk, last))).drop("_chunk")
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column so that later filters and projections read it instead of computing it again.
+
+    The optimizer copies a plain expression into every filter pushed below it; it cannot copy a generated row.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def hash_bucket(text: Column, digits: int = 8) -> Column:
     """Number in [0, 16^digits) from the md5 of ``text``: the same draw on every run and in every engine."""
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("bigint")

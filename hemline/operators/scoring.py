@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hemline.functions import fixed, text
+from hemline.operators.scale import settled
 
 
 def _hits(rules: Column, response: Column) -> Column:
@@ -127,9 +128,9 @@ def parse_judgements(replies: DataFrame, column: str = "text") -> DataFrame:
         )
         for k in fixed.CRITERIA
     }
+    unwrapped = replies.withColumn("_body", text.unwrap_fence(F.col(column)))
     return (
-        replies.withColumn("_body", text.unwrap_fence(F.col(column)))
-        .withColumn("_parsed", F.from_json(body, judgement_type(), {"allowSingleQuotes": "false"}))
+        settled(unwrapped, "_parsed", F.from_json(body, judgement_type(), {"allowSingleQuotes": "false"}))
         .withColumn("ok", F.coalesce(F.rlike(body, F.lit(r"(?s)^\{.*\}$")) & overall.isNotNull(), F.lit(False)))
         .withColumns(criteria)
         .withColumn("overall", F.when(ok, overall).otherwise(F.lit(0.0)))
