@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import md5_text, query, table
+from checks.registry import md5_text, query, spread_table, table
 from hemline.functions import text as T
 from hemline.operators import listings, pages
 from hemline.operators.joins import dedupe_ordered
@@ -14,12 +14,7 @@ _LINKS = f"l AS (SELECT page_id, url AS page_url, unnest(regexp_extract_all(html
 
 
 def _pages(spark, sf):
-    return table(spark, sf, "pages")
-
-
-def _spread(df):
-    """A small file is one partition; parsing wants all cores."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, "page_id")
+    return spread_table(spark, sf, "pages", "page_id")
 
 
 @query("src_08_read_pages", "SELECT page_id, url, length(html) AS n FROM pages")
@@ -40,7 +35,7 @@ def _(spark, sf):
         F.replace(F.col("html"), F.lit("<h1>"), F.concat(F.lit('<h2><a href="/item/'), F.col("page_id").cast("string"), F.lit('">'))),
         F.lit("</h1>"), F.lit("</a></h2>"),
     )
-    found = pages.extract_listings(_spread(_pages(spark, sf).select("page_id", "url", linked.alias("html"))), "listings")
+    found = pages.extract_listings(_pages(spark, sf).select("page_id", "url", linked.alias("html")), "listings")
     return found.select("page_id", "pos", "title", "detail_url")
 
 
@@ -75,7 +70,7 @@ def planted_cards(spark, sf):
     "'New|Hot ' || (p_partkey % 3) AS labels, (p_partkey % 60) || 'x' || (p_partkey % 30) AS dimensions, 'AB' || (p_partkey % 90 + 100) || ' , ZZ9AA' AS zone, 'AB' || (p_partkey % 90 + 100) || '|ZZ9AA' AS codes, '/i/' || p_partkey || '.jpg' AS image_url, p_partkey // 20 + 40 AS total_found FROM part",
 )
 def _(spark, sf):
-    found = pages.extract_listings(_spread(planted_cards(spark, sf)))
+    found = pages.extract_listings(planted_cards(spark, sf).repartition(spark.sparkContext.defaultParallelism, "page_id"))
     return found.select(
         "page_id", "pos", "title", "detail_url", "price", "city", F.array_join("labels", "|").alias("labels"), "dimensions", "zone",
         F.array_join("codes", "|").alias("codes"), "image_url", "total_found",
@@ -95,7 +90,7 @@ def _(spark, sf):
         F.col("page_id"), F.col("page_id") % 40,
     )
     html = F.replace(F.col("html"), F.lit("<article>"), F.concat(extra, F.lit("<article>")))
-    d = pages.extract_details(_spread(_pages(spark, sf).select("page_id", "url", html.alias("html"))))
+    d = pages.extract_details(_pages(spark, sf).select("page_id", "url", html.alias("html")))
     pairs = F.transform(F.map_entries("details"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return d.select(
         "page_id", "detail_url", "title", F.size("images").cast("bigint").alias("n_images"), F.array_join(pairs, "|").alias("details"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import WS, query, sql_words, table
+from checks.registry import WS, query, spread_table, sql_words, table
 from hemline.functions import fixed
 from hemline.operators import scoring
 from hemline.sources import reports
@@ -29,7 +29,7 @@ def _list(words) -> str:
 
 
 def _responses(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread_table(spark, sf, "documents", "doc_id")
     return d.select("doc_id", F.col("lang").alias("test"), "source", "text")
 
 
@@ -153,7 +153,7 @@ def _(spark, sf):
 
 
 def _judgement_texts(spark, sf):
-    e = table(spark, sf, "events")
+    e = spread_table(spark, sf, "events", "event_id")
     k = F.col("event_id")
     scores = [((k * (i + 3)) % 10 + 1).cast("string") for i in range(5)]
     fields = F.concat_ws(
@@ -215,7 +215,7 @@ def _(spark, sf):
     + ") SELECT title, model, criterion, CASE WHEN model = 'base' THEN m + i ELSE value END AS score FROM e, c, (VALUES ('base'), ('finetuned')) t(model)",
 )
 def _(spark, sf):
-    e = table(spark, sf, "events")
+    e = spread_table(spark, sf, "events", "event_id")
 
     def evaluation(score):
         parts = [F.struct(score(i).alias("score"), F.lit("").alias("justification")).alias(c) for i, c in enumerate(fixed.CRITERIA)]
@@ -252,7 +252,7 @@ def _(spark, sf):
     "SELECT event_id, c AS category, event_id % 50 + i AS captioned, event_id % 3 AS failed, event_id % 50 + i + event_id % 3 AS total FROM events, (VALUES ('Summer_Men', 0), ('Winter_Men', 1)) t(c, i)",
 )
 def _(spark, sf):
-    e = table(spark, sf, "events")
+    e = spread_table(spark, sf, "events", "event_id")
     k = F.col("event_id")
     one = '"%s": {"captioned": %d, "failed": %d, "total": %d}, '
     doc = F.format_string(

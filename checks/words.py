@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import (
-    WORD, WS, choose, documents, md5_text, query, quote, sql_choose, sql_squeeze, sql_strip, sql_values, sql_words,
+    WORD, WS, choose, documents, md5_text, query, quote, sql_choose, sql_squeeze, sql_strip, sql_values, spread_table,
     table,
 )
 from hemline.functions import fixed, geo
@@ -17,7 +17,7 @@ B, A = rf"(^|[^{WORD}])", rf"($|[^{WORD}])"
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread_table(spark, sf, "documents", "doc_id").select("doc_id", "text")
 
 
 # --- captions ---------------------------------------------------------------------------------------------
@@ -106,7 +106,7 @@ _MEDIA = (
     f"u AS (SELECT DISTINCT key FROM k), m AS (SELECT key, {_MEDIA} AS media FROM u) SELECT p_partkey, media FROM k JOIN m USING (key)",
 )
 def _(spark, sf):
-    p = table(spark, sf, "part")
+    p = spread_table(spark, sf, "part", "p_partkey")
     tail = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), "p_name")).otherwise(F.lit("  "))
     return p.select("p_partkey", T.media_type(F.concat(choose(F.col("p_partkey"), _MEDIA_WORDS), tail)).alias("media"))
 
@@ -120,7 +120,7 @@ def _(spark, sf):
     "SELECT p_partkey, string_agg(media, ',' ORDER BY i) AS media FROM f GROUP BY p_partkey",
 )
 def _(spark, sf):
-    p = table(spark, sf, "part")
+    p = spread_table(spark, sf, "part", "p_partkey")
     k = F.col("p_partkey")
     listing = F.concat(
         choose(k, _MEDIA_WORDS), F.lit(","), choose(F.floor(k / 5), _MEDIA_WORDS), F.lit(", ,"), "p_type"
@@ -377,7 +377,7 @@ _FENCES = ["```html\n", "```\n", "  ```HTML5-x \n\n", "", "\n\n"]
     "SELECT page_id, md5(CASE WHEN regexp_matches(h, '(?i)^<!doctype\\s+html') THEN h ELSE '<!DOCTYPE html>' || chr(10) || h END) AS page, length(h) AS n FROM v",
 )
 def _(spark, sf):
-    p = table(spark, sf, "pages")
+    p = spread_table(spark, sf, "pages", "page_id")
     k = F.col("page_id")
     body = F.when(k % 3 == 0, F.left("html", F.lit(400))).when(k % 3 == 1, F.substr("html", F.lit(16))).otherwise(F.col("html"))
     raw = F.concat(choose(k, _FENCES), body, F.when(k % 2 == 0, "\n``` ").otherwise(""))
@@ -407,7 +407,7 @@ def _(spark, sf):
 
 def _calls(spark, sf):
     """Model replies built from events: every form of tool call by turns."""
-    e = table(spark, sf, "events")
+    e = spread_table(spark, sf, "events", "event_id")
     k = F.col("event_id")
     v = F.col("value").cast("string")
     params = F.concat(F.lit('{"prompt": "make '), "event_type", F.lit('", "city": "near me", "n": {"deep": {"v": '), v, F.lit("}}}"))
@@ -619,7 +619,7 @@ def _(spark, sf):
     "OR (a = 203 AND b = 0 AND c = 113) OR a >= 240 END AS is_private FROM i",
 )
 def _(spark, sf):
-    e = table(spark, sf, "events")
+    e = spread_table(spark, sf, "events", "event_id")
     k = F.col("event_id")
     quad = F.concat_ws(".", ((k * 7919) % 256).cast("string"), ((k * 31) % 256).cast("string"), (k % 256).cast("string"), F.lit("7"))
     odd = choose(F.floor(k / 6), ["fe80::1", "2a00:1450::5", "fd12::9", "::1", "999.1.1.1", "01.2.3.4"])

@@ -51,7 +51,12 @@ def squeeze(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """White-space separated words; none for blank text."""
-    return F.filter(F.split(c, rf"[{WS}]+"), lambda w: w != "")
+    tidy = strip(c)
+    return F.when(tidy != "", F.split(tidy, rf"[{WS}]+")).otherwise(F.array().cast("array<string>"))
+
+
+def n_words(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.size(words(c)))
 
 
 # --- captions ---------------------------------------------------------------------------------------------
@@ -522,41 +527,18 @@ def client_ip(forwarded: Column, real: Column, peer: Column) -> Column:
     return F.when(F.length(forwarded) > 0, first).when(F.length(real) > 0, strip(real)).otherwise(peer)
 
 
-# IPv4 blocks that are not public, as (first, last), and two public hosts inside one of them
-PRIVATE_BLOCKS = [
-    ("0.0.0.0", "0.255.255.255"),
-    ("10.0.0.0", "10.255.255.255"),
-    ("127.0.0.0", "127.255.255.255"),
-    ("169.254.0.0", "169.254.255.255"),
-    ("172.16.0.0", "172.31.255.255"),
-    ("192.0.0.0", "192.0.0.255"),
-    ("192.0.2.0", "192.0.2.255"),
-    ("192.168.0.0", "192.168.255.255"),
-    ("198.18.0.0", "198.19.255.255"),
-    ("198.51.100.0", "198.51.100.255"),
-    ("203.0.113.0", "203.0.113.255"),
-    ("240.0.0.0", "255.255.255.255"),
-]
-PUBLIC_HOSTS = ["192.0.0.9", "192.0.0.10"]
-
-
-def _ip_number(text: str) -> int:
-    a, b, c, d = (int(p) for p in text.split("."))
-    return ((a * 256 + b) * 256 + c) * 256 + d
+# IPv4 blocks that are not public, written over the dotted text, and the two public hosts inside one of them
+PRIVATE_V4 = (
+    r"^(0\.|10\.|127\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.0\.0\.(?!9$|10$)|192\.0\.2\.|192\.168\.|"
+    r"198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|24[0-9]\.|25[0-5]\.)"
+)
+PRIVATE_V6 = r"^(::1?$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|2001:0?db8:|::ffff:|100::|2001:[0-1]?[0-9a-f]{0,2}::?)"
 
 
 def is_private_ip(ip: Column) -> Column:
     """True for private, loopback, link-local or unreadable addresses."""
-    first = strip(F.get(F.split(F.coalesce(ip, F.lit("")), ","), F.lit(0)))
-    octet = "(0|[1-9][0-9]{0,2})"
-    is_v4 = F.rlike(first, F.lit(rf"^{octet}\.{octet}\.{octet}\.{octet}$"))
-    part = [F.split_part(first, F.lit("."), F.lit(i)).try_cast("bigint") for i in (1, 2, 3, 4)]
-    too_big = any_of([p > 255 for p in part])
-    number = ((part[0] * 256 + part[1]) * 256 + part[2]) * 256 + part[3]
-    inside = any_of([number.between(_ip_number(a), _ip_number(b)) for a, b in PRIVATE_BLOCKS])
-    v4 = too_big | (inside & ~number.isin([_ip_number(h) for h in PUBLIC_HOSTS]))
-
-    low = F.lower(first)
-    is_v6 = F.rlike(low, F.lit(r"^[0-9a-f:.]+(%.+)?$")) & F.rlike(low, F.lit(":.*:"))
-    v6 = F.rlike(low, F.lit(r"^(::1?$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|2001:0?db8:|::ffff:|100::|2001:0?0?0?[0-9a-f]{0,2}::?)"))
-    return F.when(is_v4, v4).when(is_v6, v6).otherwise(F.lit(True))
+    low = F.lower(strip(F.split_part(F.coalesce(ip, F.lit("")), F.lit(","), F.lit(1))))
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    is_v4 = F.rlike(low, F.lit(rf"^{octet}\.{octet}\.{octet}\.{octet}$"))
+    is_v6 = F.rlike(low, F.lit(r"^[0-9a-f]*:[0-9a-f:]*:[0-9a-f:.]*(%.+)?$"))
+    return F.when(is_v4, F.rlike(low, F.lit(PRIVATE_V4))).when(is_v6, F.rlike(low, F.lit(PRIVATE_V6))).otherwise(F.lit(True))

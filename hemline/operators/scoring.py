@@ -10,8 +10,11 @@ from hemline.operators.scale import settled
 
 
 def _hits(rules: Column, response: Column) -> Column:
-    low = F.lower(response)
-    return F.filter(rules, lambda r: F.contains(low, F.lower(r)))
+    """Rules found in the response. The outer array holds the lower-cased text, so it is made once, not per rule."""
+    found = F.transform(
+        F.array(F.lower(response)), lambda low: F.filter(rules, lambda r: F.contains(low, F.lower(r)))
+    )
+    return F.get(found, F.lit(0))
 
 
 def coverage_score(responses: DataFrame, rules: DataFrame) -> DataFrame:
@@ -20,7 +23,7 @@ def coverage_score(responses: DataFrame, rules: DataFrame) -> DataFrame:
     return (
         joined.withColumn("found", _hits(F.col("expected"), F.col("text")))
         .withColumn("score", F.coalesce(F.try_divide(F.size("found"), F.size("expected")) * 100, F.lit(0.0)))
-        .withColumn("n_words", F.size(text.words(F.col("text"))))
+        .withColumn("n_words", text.n_words(F.col("text")))
     )
 
 
@@ -56,13 +59,13 @@ def constraint_score(responses: DataFrame, rules: DataFrame, penalty: float = 20
     )
 
 
-def prompt_rules(c: Column) -> dict[str, Column]:
-    """The six checks of a response by name. Any non-ASCII character counts as an emoji, any hyphen as a list."""
-    low = F.lower(c)
+def prompt_rules(c: Column, low: Column) -> dict[str, Column]:
+    """The six checks of a response and its lower-cased form. Any non-ASCII character counts as an emoji, any
+    hyphen as a list."""
     newlines = F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     markers = ["1.", "•", "-", "1)"]
     return {
-        "word_count": F.size(text.words(c)) <= 30,
+        "word_count": text.n_words(c) <= 30,
         "list_format": text.any_of([F.contains(c, F.lit(m)) for m in markers]) | (newlines >= 3),
         "emoji": F.rlike(c, F.lit(r"[^\x00-\x7f]")),
         "hashtag": F.contains(c, F.lit("#")),
@@ -73,11 +76,14 @@ def prompt_rules(c: Column) -> dict[str, Column]:
 
 def rule_pass_rate(responses: DataFrame, groups: list[str]) -> DataFrame:
     """Pass rate of every check and over all checks, in percent. One pass, no row explosion."""
-    checks = prompt_rules(F.col("text"))
-    rates = [(F.avg(ok.cast("double")) * 100).alias(name) for name, ok in checks.items()]
-    overall = sum([ok.cast("int") for ok in checks.values()], F.lit(0))
-    return responses.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"), *rates, (F.avg(overall / F.lit(len(checks))) * 100).alias("overall")
+    lowered = responses.select(*groups, "text", F.lower("text").alias("_low"))
+    checks = prompt_rules(F.col("text"), F.col("_low"))
+    marked = lowered.select(*groups, *[ok.cast("int").alias(name) for name, ok in checks.items()])
+    passed = sum([F.col(name) for name in checks], F.lit(0))
+    return marked.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[(F.avg(name) * 100).alias(name) for name in checks],
+        (F.avg(passed / F.lit(len(checks))) * 100).alias("overall"),
     )
 
 

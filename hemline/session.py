@@ -47,3 +47,13 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Feed every core from input that comes in fewer splits than there are cores, such as one small file.
+
+    Large inputs have more splits than that and pass through without a shuffle. ``df`` must be a plain scan:
+    asking a shuffled table for its partitions would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

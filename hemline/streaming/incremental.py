@@ -6,6 +6,7 @@ failure overwrites its own output and nothing else.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +23,12 @@ def _folder(root: str, batch_id: int) -> str:
 def read_state(spark: SparkSession, root: str, schema: str, batch_id: int | None = None) -> DataFrame:
     """Rows of one batch folder, or of all of them; empty when nothing was written yet."""
     path = root if batch_id is None else _folder(root, batch_id)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    exists = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
-    if not exists:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
 
 
 def run_available(stream: DataFrame, each_batch, checkpoint: str, mode: str = "append") -> None:
