@@ -70,7 +70,7 @@ def planted_cards(spark, sf):
     "'New|Hot ' || (p_partkey % 3) AS labels, (p_partkey % 60) || 'x' || (p_partkey % 30) AS dimensions, 'AB' || (p_partkey % 90 + 100) || ' , ZZ9AA' AS zone, 'AB' || (p_partkey % 90 + 100) || '|ZZ9AA' AS codes, '/i/' || p_partkey || '.jpg' AS image_url, p_partkey // 20 + 40 AS total_found FROM part",
 )
 def _(spark, sf):
-    found = pages.extract_listings(planted_cards(spark, sf).repartition(spark.sparkContext.defaultParallelism, "page_id"))
+    found = pages.extract_listings(planted_cards(spark, sf).repartition(spark.sparkContext.defaultParallelism))
     return found.select(
         "page_id", "pos", "title", "detail_url", "price", "city", F.array_join("labels", "|").alias("labels"), "dimensions", "zone",
         F.array_join("codes", "|").alias("codes"), "image_url", "total_found",

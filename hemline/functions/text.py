@@ -32,6 +32,11 @@ def any_of(conditions: list[Column]) -> Column:
     return out
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def literal_map(pairs) -> Column:
     return F.create_map(*[F.lit(v) for kv in pairs for v in kv])
 
@@ -78,27 +83,36 @@ def sanitize_caption(
     woman for "model" and "person".
     """
     flat = strip(F.regexp_replace(c, r"\n", " "))
-    low = F.lower(flat)
+    bare = let(flat, lambda x: _without_preamble(x, preambles))
+    if rewrite:
+        neutral = F.lit("A woman wearing")
+        if category is not None:
+            neutral = F.when(F.contains(category, F.lit("Men")), F.lit("A man wearing")).otherwise(neutral)
+        bare = let(bare, lambda x: _rewritten(x, neutral))
+    return squeeze(bare)
+
+
+def _without_preamble(flat: Column, preambles: list[str]) -> Column:
+    low = F.lower(F.left(flat, F.lit(max(map(len, preambles)))))
     body = F.when(F.lit(False), flat)
     for p in preambles:
         rest = strip(F.substr(flat, F.lit(len(p) + 1)))
         if p in fixed.PREAMBLES_WITH_ARTICLE:
             rest = F.concat(F.lit("A "), rest)
         body = body.when(F.startswith(low, F.lit(p.lower())), rest)
-    body = body.otherwise(flat)
-    if rewrite:
-        neutral = F.lit("A woman wearing")
-        if category is not None:
-            neutral = F.when(F.contains(category, F.lit("Men")), F.lit("A man wearing")).otherwise(neutral)
-        subject = F.regexp_extract(body, r"^The (model|person|man|woman) is wearing", 1)
-        start = (
-            F.when(subject == "man", F.lit("A man wearing"))
-            .when(subject == "woman", F.lit("A woman wearing"))
-            .otherwise(neutral)
-        )
-        tail = F.regexp_replace(body, r"^The (model|person|man|woman) is wearing", "")
-        body = F.when(subject != "", F.concat(start, tail)).otherwise(body)
-    return squeeze(body)
+    return body.otherwise(flat)
+
+
+def _rewritten(body: Column, neutral: Column) -> Column:
+    pattern = "^The (model|person|man|woman) is wearing"
+    subject = F.regexp_extract(body, pattern, 1)
+    start = (
+        F.when(subject == "man", F.lit("A man wearing"))
+        .when(subject == "woman", F.lit("A woman wearing"))
+        .otherwise(neutral)
+    )
+    tail = F.regexp_replace(body, pattern, "")
+    return F.when(subject != "", F.concat(start, tail)).otherwise(body)
 
 
 def has_good_start(c: Column) -> Column:
@@ -109,14 +123,15 @@ def has_good_start(c: Column) -> Column:
 
 def media_type(c: Column, aliases=fixed.MEDIA_ALIASES) -> Column:
     """Slug of one media type: the exact alias, else the first alias that contains or is contained in it."""
-    key = F.lower(strip(c))
-    near = F.coalesce(
-        *[F.when(F.contains(key, F.lit(a)) | F.contains(F.lit(a), key), F.lit(s)) for a, s in aliases]
-    )
-    known = F.try_element_at(literal_map(aliases), key)
-    return F.when(F.coalesce(key, F.lit("")) == "", F.lit(fixed.DEFAULT_MEDIA)).otherwise(
-        F.coalesce(known, near, F.lit(fixed.DEFAULT_MEDIA))
-    )
+
+    def slug(key: Column) -> Column:
+        near = [F.when(F.contains(key, F.lit(a)) | F.contains(F.lit(a), key), F.lit(s)) for a, s in aliases]
+        known = F.try_element_at(literal_map(aliases), key)
+        return F.when(F.coalesce(key, F.lit("")) == "", F.lit(fixed.DEFAULT_MEDIA)).otherwise(
+            F.coalesce(known, *near, F.lit(fixed.DEFAULT_MEDIA))
+        )
+
+    return let(F.lower(strip(c)), slug)
 
 
 def media_types(c: Column, aliases=fixed.MEDIA_ALIASES) -> Column:
@@ -157,29 +172,32 @@ def ascii_fold(c: Column) -> Column:
 
 
 def city_slug(c: Column) -> Column:
-    key = F.lower(strip(c))
-    plain = strip(ascii_fold(key))
     slugs = literal_map(fixed.CITY_SLUGS.items())
-    named = F.coalesce(
-        *[
+
+    def slug(key: Column, plain: Column) -> Column:
+        named = [
             F.when(F.contains(key, F.lit(n)) | F.contains(plain, F.lit(n)), F.lit(fixed.CITY_SLUGS[n]))
             for n in fixed.CITIES_BY_MENTION
         ]
-    )
-    source = F.when(plain == "", key).otherwise(plain)
-    slug = F.regexp_replace(F.regexp_replace(source, "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.coalesce(F.try_element_at(slugs, key), F.try_element_at(slugs, plain), named, slug)
+        source = F.when(plain == "", key).otherwise(plain)
+        made = F.regexp_replace(F.regexp_replace(source, "[^a-z0-9]+", "-"), "^-+|-+$", "")
+        return F.coalesce(F.try_element_at(slugs, key), F.try_element_at(slugs, plain), *named, made)
+
+    return let(F.lower(strip(c)), lambda key: let(strip(ascii_fold(key)), lambda plain: slug(key, plain)))
 
 
 def city_in_text(c: Column, cities: list[str] = fixed.CITIES) -> Column:
     """Longest known city named as a whole word anywhere in the text, else null."""
-    low = F.lower(c)
-    return F.coalesce(
-        *[
-            F.when(F.contains(low, F.lit(n)) & F.rlike(low, F.lit(BEFORE + n + AFTER)), F.lit(n))
-            for n in sorted(cities, key=len, reverse=True)
-        ]
-    )
+
+    def longest(low: Column) -> Column:
+        return F.coalesce(
+            *[
+                F.when(F.contains(low, F.lit(n)) & F.rlike(low, F.lit(BEFORE + n + AFTER)), F.lit(n))
+                for n in sorted(cities, key=len, reverse=True)
+            ]
+        )
+
+    return let(F.lower(c), longest)
 
 
 def is_near_me(c: Column, variant: str = "server") -> Column:
@@ -193,8 +211,11 @@ def is_near_me(c: Column, variant: str = "server") -> Column:
 
 
 def has_listing_intent(c: Column) -> Column:
-    low = F.coalesce(F.lower(c), F.lit(""))
-    return any_of([F.contains(low, F.lit(t)) for t in fixed.LISTING_INTENT_TERMS]) | is_near_me(c)
+    terms = let(
+        F.coalesce(F.lower(c), F.lit("")),
+        lambda low: any_of([F.contains(low, F.lit(t)) for t in fixed.LISTING_INTENT_TERMS]),
+    )
+    return terms | is_near_me(c)
 
 
 def null_if_placeholder(c: Column) -> Column:
@@ -472,30 +493,38 @@ def absolute_url(url: Column, base: Column) -> Column:
     no_fragment = F.split_part(base, F.lit("#"), F.lit(1))
     no_query = F.split_part(no_fragment, F.lit("?"), F.lit(1))
     folder = F.regexp_replace(F.substr(no_query, F.length(host) + 1), "[^/]*$", "")
-    path = F.split_part(F.split_part(url, F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1))
-    rest = F.substr(url, F.length(path) + 1)
-    full = F.when(F.startswith(path, F.lit("/")), path).otherwise(
-        F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)
+
+    def inside(u: Column) -> Column:
+        path = F.regexp_extract(u, "^[^?#]*", 0)
+        rooted = F.when(F.startswith(path, F.lit("/")), path).otherwise(
+            F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)
+        )
+        return F.concat(host, let(rooted, _without_dots), F.regexp_extract(u, "[?#].*$", 0))
+
+    return let(
+        url,
+        lambda u: F.when(F.startswith(u, F.lit("http")), u)
+        .when(u == "", base)
+        .when(F.startswith(u, F.lit("//")), F.concat(scheme, F.lit(":"), u))
+        .when(F.rlike(u, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), u)
+        .when(F.startswith(u, F.lit("#")), F.concat(no_fragment, u))
+        .when(F.startswith(u, F.lit("?")), F.concat(no_query, u))
+        .when(u.isNotNull(), inside(u)),
     )
-    ends_in_dots = F.rlike(full, F.lit(r"/\.\.?$"))
+
+
+def _without_dots(path: Column) -> Column:
+    """Path with its "." and ".." steps worked out."""
     steps = F.aggregate(
-        F.split(F.substr(full, F.lit(2)), "/"),
+        F.split(F.substr(path, F.lit(2)), "/"),
         F.array().cast("array<string>"),
         lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
         .when(s == ".", done)
         .otherwise(F.concat(done, F.array(s))),
     )
-    tidy = F.concat(F.lit("/"), F.array_join(steps, "/"), F.when(ends_in_dots, F.lit("/")).otherwise(F.lit("")))
-    tidy = F.when(F.rlike(full, F.lit(r"/\.")), F.regexp_replace(tidy, "^//+", "/")).otherwise(full)
-    return (
-        F.when(F.startswith(url, F.lit("http")), url)
-        .when(url == "", base)
-        .when(F.startswith(url, F.lit("//")), F.concat(scheme, F.lit(":"), url))
-        .when(F.rlike(url, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), url)
-        .when(F.startswith(url, F.lit("#")), F.concat(no_fragment, url))
-        .when(F.startswith(url, F.lit("?")), F.concat(no_query, url))
-        .otherwise(F.concat(host, tidy, rest))
-    )
+    end = F.when(F.rlike(path, F.lit(r"/\.\.?$")), F.lit("/")).otherwise(F.lit(""))
+    tidy = F.regexp_replace(F.concat(F.lit("/"), F.array_join(steps, "/"), end), "^//+", "/")
+    return F.when(F.rlike(path, F.lit(r"/\.")), tidy).otherwise(path)
 
 
 def image_url(attrs: Column, priority: list[str], base: Column) -> Column:
@@ -505,15 +534,18 @@ def image_url(attrs: Column, priority: list[str], base: Column) -> Column:
         F.contains(style, F.lit("background-image")) & F.rlike(style, F.lit(r"url\(['\"]?(.*?)['\"]?\)")),
         F.regexp_extract(style, r"url\(['\"]?(.*?)['\"]?\)", 1),
     )
+
+    def last_candidate(value: Column) -> Column:
+        parts = F.filter(F.transform(F.split(value, ","), strip), lambda p: p != "")
+        return F.coalesce(
+            let(parts, lambda ps: F.get(F.split(F.get(ps, F.size(ps) - 1), rf"[{WS}]+"), F.lit(0))), value
+        )
+
     choices = [background]
     for name in [*priority, "src"]:
         value = F.try_element_at(attrs, F.lit(name))
         value = F.when(value != "", value)
-        if "srcset" in name:
-            parts = F.filter(F.transform(F.split(value, ","), strip), lambda p: p != "")
-            last = F.get(F.split(F.get(parts, F.size(parts) - 1), rf"[{WS}]+"), F.lit(0))
-            value = F.when(F.size(parts) > 0, last).otherwise(value)
-        choices.append(value)
+        choices.append(let(value, last_candidate) if "srcset" in name else value)
     return absolute_url(F.coalesce(*choices), base)
 
 
