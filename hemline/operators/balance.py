@@ -82,17 +82,16 @@ def readiness(counts: DataFrame, image_totals: DataFrame) -> DataFrame:
 
     The test of the smallest category is only made when the total is large enough.
     """
-    c = counts.agg(F.sum("n").alias("total"), F.min("n").alias("smallest"), F.lit(0).alias("one"))
-    i = F.broadcast(image_totals.withColumn("one", F.lit(0)))
+    c = counts.agg(F.sum("n").alias("total"), F.min("n").alias("smallest"))
+    both = c.unionByName(image_totals.select("checked", "tiny", "issues"), allowMissingColumns=True)
+    facts = both.agg(*[F.max(x).alias(x) for x in both.columns])
     found = F.array(
         F.when(F.col("total") < 200, "dataset too small").when(F.col("smallest") < 30, "some categories too small"),
         F.when(F.col("issues") > 10, "image quality issues"),
         F.when(F.col("tiny") > F.col("checked") * 0.1, "too many tiny images"),
     )
-    return (
-        c.join(i, "one")
-        .select(F.filter(found, lambda x: x.isNotNull()).alias("issues"))
-        .select((F.size("issues") == 0).alias("ready"), "issues")
+    return facts.select(F.filter(found, lambda x: x.isNotNull()).alias("issues")).select(
+        (F.size("issues") == 0).alias("ready"), "issues"
     )
 
 

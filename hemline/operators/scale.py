@@ -182,9 +182,8 @@ def smallest_share(
         .filter(F.col("_rank") == F.col("_take"))
         .select(*by, F.col("_hash").alias("_last"))
     )
-    # without groups the border is a single row
-    side = last if groups else F.broadcast(last)
-    out = marked.join(side, by, "left").withColumn(
-        name, F.coalesce(F.col("_hash") <= F.col("_last"), F.lit(False))
-    )
-    return out.drop("_key", "_hash", "_last", "_all")
+    if groups:
+        out = marked.join(last, by, "left").withColumn(name, F.col("_hash") <= F.col("_last"))
+    else:
+        out = marked.withColumn(name, F.col("_hash") <= last.select("_last").scalar())
+    return out.withColumn(name, F.coalesce(name, F.lit(False))).drop("_key", "_hash", "_last", "_all")

@@ -9,7 +9,7 @@ from hemline.functions import fixed
 
 
 def _whole_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_path"))
+    return spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
 
 
 def read_eval_report(spark: SparkSession, path: str) -> DataFrame:
