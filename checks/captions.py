@@ -501,7 +501,7 @@ SPLIT = "md5('42|' || {0})"
     "AS split FROM o",
 )
 def _(spark, sf):
-    return sampling.train_eval_split(documents(spark, sf).select("pos"), "pos")
+    return sampling.train_eval_split(documents(spark, sf).select("pos"), "pos", unique=True)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hemline.functions import text
-from hemline.operators.scale import HOT_ROWS, first_n, ranked
+from hemline.operators.scale import HOT_ROWS, attach, first_n, ranked
 
 
 def recent_chats(chats: DataFrame, limit: int = 50) -> DataFrame:
@@ -117,18 +117,18 @@ def confirm_pending(
     )
 
 
-def apply_changes(base: DataFrame, log: DataFrame) -> DataFrame:
+def apply_changes(base: DataFrame, log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Chats after a change log (op insert/update/delete, id, title, user_id, ts, seq) in (ts, seq) order.
 
     Updates set the title and updated_at; the owner is the inserting user. A delete ends a chat; an insert
     after it starts a new one. Inserts of a living chat and updates of a missing one change nothing.
-    Every step is an aggregate per id, so long logs of one chat are combined before they are shuffled.
+    Every step is an aggregate per id or a join to one row per id, so the long log of one chat is combined
+    before it is shuffled and dealt to several tasks where it is joined.
     """
     when = F.struct("ts", "seq")
     deleted = log.filter("op = 'delete'").groupBy("id").agg(F.max(when).alias("_end"))
     alive = (
-        log.filter("op <> 'delete'")
-        .join(deleted, "id", "left")
+        attach(log.filter("op <> 'delete'"), deleted, "id", hot_rows)
         .filter(F.col("_end").isNull() | (when > F.col("_end")))
         .drop("_end")
     )
@@ -144,10 +144,10 @@ def apply_changes(base: DataFrame, log: DataFrame) -> DataFrame:
         )
     )
     living = old.select(*fresh.columns).unionByName(fresh)
+    born = living.select("id", "_born", F.lit(True).alias("_lives"))
     later = (
-        alive.filter("op = 'update'")
-        .join(living.select("id", "_born"), "id")
-        .filter(F.col("_born").isNull() | (when > F.col("_born")))
+        attach(alive.filter("op = 'update'"), born, "id", hot_rows)
+        .filter(F.col("_lives") & (F.col("_born").isNull() | (when > F.col("_born"))))
         .groupBy("id")
         .agg(F.max_by("title", when).alias("_title"), F.max("ts").alias("_ts"), F.lit(True).alias("_changed"))
     )

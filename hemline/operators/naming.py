@@ -14,7 +14,7 @@ def assign_names(files: DataFrame, prefixes: DataFrame, hot_rows: int = HOT_ROWS
     ``files`` is (category, filename). Numbers already used by names of that form in the category are
     skipped, whatever their extension; extensions are lower-cased.
     """
-    named = files.join(F.broadcast(prefixes), "category").select(
+    named = files.join(small_side(prefixes), "category").select(
         "category", "filename", "prefix", F.lower("filename").alias("low")
     )
     # taken numbers are never more than files, so twice the files bounds every group below

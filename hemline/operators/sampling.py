@@ -77,11 +77,12 @@ def generate_instructions(
 
 
 def train_eval_split(
-    df: DataFrame, key: str, fraction: float = 0.1, seed: int = 42, within: list[str] | None = None
+    df: DataFrame, key: str, fraction: float = 0.1, seed: int = 42, within: list[str] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Add ``split``: exactly floor(n * fraction) keys go to eval. Rows with the same key stay together, so
-    copies of one source never land on both sides."""
-    marked = smallest_share(df, within or [], F.col(key), fraction, str(seed), "_eval")
+    copies of one source never land on both sides. ``unique`` promises that no key repeats."""
+    marked = smallest_share(df, within or [], F.col(key), fraction, str(seed), "_eval", unique=unique)
     return marked.withColumn("split", F.when(F.col("_eval"), "eval").otherwise("train")).drop("_eval")
 
 

@@ -24,6 +24,27 @@ def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def attach(left: DataFrame, facts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left join to ``facts``, which has one row per key, when ``left`` may hold very many rows of one key.
+
+    Rows of such keys are dealt to several tasks by a hash of the row, and their facts are copied to each of
+    them. There can be no more such keys than rows / hot_rows, so the list of them stays short.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = counts.select(key, F.ceil(F.col("_n") / max(hot_rows, 1)).alias("_parts"))
+    if hot.isEmpty():
+        return left.join(facts, key, "left")
+    hot = small_side(stored(hot, "hot"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), parts)).drop("_parts")
+    copied = (
+        facts.join(hot, key, "left")
+        .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+        .drop("_parts")
+    )
+    return dealt.join(copied, [key, "_part"], "left").drop("_part")
+
+
 class Ordered:
     """Rows in order inside their groups, with ranks and running values.
 
@@ -154,12 +175,14 @@ def draw(text: Column, n) -> Column:
 
 
 def smallest_share(
-    df: DataFrame, groups: list[str], key: Column, fraction: float, seed: str, name: str, prefix: int = 5
+    df: DataFrame, groups: list[str], key: Column, fraction: float, seed: str, name: str, prefix: int = 5,
+    unique: bool = False,
 ) -> DataFrame:
     """Mark exactly floor(n * fraction) distinct keys of each group: those with the smallest seeded hashes.
 
     A histogram over hash prefixes finds the prefix the border falls in, and only the keys of that one
-    prefix (one in 16^prefix) are ranked, so no group is ever sorted as a whole.
+    prefix (one in 16^prefix) are ranked, so no group is ever sorted as a whole. ``unique`` says that no key
+    repeats, which saves the pass that makes them distinct.
     """
     marked = df.withColumn("_key", key).withColumn(
         "_hash", F.md5(F.concat(F.lit(f"{seed}|"), F.col("_key").cast("string")))
@@ -167,7 +190,8 @@ def smallest_share(
     if not groups:
         marked = marked.withColumn("_all", F.lit(0))
     by = groups or ["_all"]
-    items = marked.select(*by, "_key", "_hash").distinct().withColumn("_bin", F.left("_hash", F.lit(prefix)))
+    items = marked.select(*by, "_key", "_hash")
+    items = (items if unique else items.distinct()).withColumn("_bin", F.left("_hash", F.lit(prefix)))
     bins = items.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     over = Window.partitionBy(*by)
     border = (
@@ -183,7 +207,9 @@ def smallest_share(
         .select(*by, F.col("_hash").alias("_last"))
     )
     if groups:
-        out = marked.join(last, by, "left").withColumn(name, F.col("_hash") <= F.col("_last"))
+        # one row per group, stored so that its size can be checked without computing it twice
+        side = small_side(stored(last, "borders"))
+        out = marked.join(side, by, "left").withColumn(name, F.col("_hash") <= F.col("_last"))
     else:
         out = marked.withColumn(name, F.col("_hash") <= last.select("_last").scalar())
     return out.withColumn(name, F.coalesce(name, F.lit(False))).drop("_key", "_hash", "_last", "_all")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hemline.functions import fixed, text
-from hemline.operators.scale import settled
+from hemline.operators.scale import settled, small_side
 
 
 def _hits(rules: Column, response: Column) -> Column:
@@ -19,7 +19,7 @@ def _hits(rules: Column, response: Column) -> Column:
 
 def coverage_score(responses: DataFrame, rules: DataFrame) -> DataFrame:
     """Share of expected words found as substrings, in percent. ``rules`` is (test, must), one row per test."""
-    joined = responses.join(F.broadcast(rules.select("test", F.col("must").alias("expected"))), "test")
+    joined = responses.join(small_side(rules.select("test", F.col("must").alias("expected"))), "test")
     return (
         joined.withColumn("found", _hits(F.col("expected"), F.col("text")))
         .withColumn("score", F.coalesce(F.try_divide(F.size("found"), F.size("expected")) * 100, F.lit(0.0)))
@@ -49,7 +49,7 @@ def diversity_score(samples: DataFrame, groups: list[str], approximate: bool = F
 
 def constraint_score(responses: DataFrame, rules: DataFrame, penalty: float = 20) -> DataFrame:
     """Percent of required words found, less a penalty per forbidden word, never below 0, with its band."""
-    joined = responses.join(F.broadcast(rules.select("test", "must", "must_not")), "test")
+    joined = responses.join(small_side(rules.select("test", "must", "must_not")), "test")
     score = F.coalesce(F.try_divide(F.size("found"), F.size("must")) * 100, F.lit(0.0)) - F.size("forbidden") * penalty
     return (
         joined.withColumn("found", _hits(F.col("must"), F.col("text")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hemline.operators.balance import balance_gaps
 from hemline.operators.chats import apply_changes
 from hemline.operators.runs import failure_runs
+from hemline.operators.scale import attach
 from hemline.sources.dims import category_dim
 
 
@@ -104,10 +105,10 @@ def stream_failure_runs(
         )
         stopped = read_state(spark, stop_root, STOPS + ", batch bigint").filter(F.col("batch") != batch_id)
         rows = failure_runs(batch, ["ts", "event_id"], max_consecutive, max_total)
-        rows = rows.join(before, "key_id", "left").na.fill({"c0": 0, "t0": 0})
+        rows = attach(rows, before, "key_id").na.fill({"c0": 0, "t0": 0})
         at = F.struct("ts", "event_id")
         first_ok = rows.filter("ok").groupBy("key_id").agg(F.min(at).alias("ok_at"))
-        rows = rows.join(first_ok, "key_id", "left")
+        rows = attach(rows, first_ok, "key_id")
         no_success_yet = F.coalesce(at < F.col("ok_at"), F.lit(True))
         rows = rows.withColumn(
             "consecutive", F.col("consecutive") + F.when(no_success_yet, F.col("c0")).otherwise(0)

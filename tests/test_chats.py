@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from hemline.operators import chats
@@ -17,7 +18,8 @@ def replay(base, log):
     return state
 
 
-def test_apply_changes_equals_replay(spark):
+@pytest.mark.parametrize("hot_rows", [10, 10_000])
+def test_apply_changes_equals_replay(spark, hot_rows):
     import datetime
     import random
 
@@ -29,7 +31,7 @@ def test_apply_changes_equals_replay(spark):
         id_ = "c0" if seq % 3 == 0 else f"c{rnd.randint(0, 15)}"
         log.append((rnd.choice(["insert", "update", "update", "delete"]), id_, f"t{seq}", f"u{seq % 4}", start + datetime.timedelta(hours=rnd.randint(1, 200)), seq))
     b = spark.createDataFrame([(k, *v) for k, v in base.items()], "id string, title string, user_id string, created_at timestamp, updated_at timestamp")
-    got = {r.id: (r.title, r.user_id, r.created_at, r.updated_at) for r in chats.apply_changes(b, spark.createDataFrame(log, LOG)).collect()}
+    got = {r.id: (r.title, r.user_id, r.created_at, r.updated_at) for r in chats.apply_changes(b, spark.createDataFrame(log, LOG), hot_rows).collect()}
     assert got == replay(base, log)
 
 

@@ -116,3 +116,11 @@ def test_small_side_checks_its_size(spark):
     hinted = scale.small_side(df, 10)._jdf.queryExecution().analyzed().toString()
     plain = scale.small_side(df, 9)._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in hinted and "broadcast" not in plain
+
+
+@pytest.mark.parametrize("hot_rows", [20, 10_000])
+def test_attach_deals_hot_keys_and_loses_nothing(spark, rows, hot_rows):
+    data, df = skewed(spark)
+    facts = spark.createDataFrame([("hot", 1), ("a", 2), ("zz", 3)], "k string, fact int")
+    got = rows(scale.attach(df, facts, "k", hot_rows), "k", "t", "fact")
+    assert got == sorted([(k, t, {"hot": 1, "a": 2}.get(k)) for k, t, _ in data], key=repr)
