@@ -248,3 +248,30 @@ def _(spark, sf):
         F.lit("").alias("description"), F.array(F.lit("x.png")).alias("images"),
     )
     return listings.render_details(d)
+
+
+_REPORT = "p_partkey // 20 AS query, p_partkey, p_name, p_brand, row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) AS r, count(*) OVER (PARTITION BY p_partkey // 20) AS n"
+
+
+@query(
+    "listing_search_reports",
+    f"WITH p AS (SELECT {_REPORT} FROM part), b AS (SELECT query, any_value(n) AS n, string_agg(chr(10) || '### ' || r || '. [' || p_name || ' & co ' || p_partkey || '](/d/' || p_partkey || ')' || chr(10) || 'New | Hot ' || (p_partkey % 3) || chr(10) || '- **Location:** ' || p_brand || chr(10) "
+    "|| '- **Price:** Rs ' || (p_partkey % 900) || chr(10) || '- **Size:** ' || (p_partkey % 60) || 'x' || (p_partkey % 30) || ' ft' || CASE WHEN r <= 3 AND p_partkey % 2 = 0 THEN chr(10) || '- **Contact:** c' || p_partkey ELSE '' END || chr(10) || chr(10) || '![' || p_name || ' & co ' || p_partkey || '](/i/' || p_partkey || '.jpg)' "
+    "|| chr(10) || '- [View Details](/d/' || p_partkey || ')', chr(10) ORDER BY r) AS body FROM p WHERE r <= 5 GROUP BY query), u AS (SELECT *, 'http://s.example.com/?type%5B%5D=smd&type%5B%5D=digital&location%5B%5D=wah-cantt' AS url, query + 40 AS total FROM b) "
+    "SELECT query, '## Billboard Listings in Wah Cantt (Smd, Digital)' || chr(10) || '**' || total || ' total listings found** on the site' || chr(10) || '*Showing top ' || least(n, 5) || ' results | [View all](' || url || ')*' || chr(10) || chr(10) || body || chr(10) || chr(10) || '---' || chr(10) || '### ' || "
+    "format('{:,}', total - least(n, 5)) || ' more listing(s) available' || chr(10) || '**[View all Wah Cantt listings](' || url || ')**' AS report FROM u",
+)
+def _(spark, sf):
+    from hemline.plans.listing_search import listing_reports
+
+    found = planted_cards(spark, sf).repartition(spark.sparkContext.defaultParallelism)
+    result_pages = found.select("page_id", F.col("page_id").alias("query"), F.lit(1).alias("page_no"), "url", "html")
+    k = F.col("p_partkey")
+    contact = F.format_string(
+        '<div class="property-detail-wrap"><ul><li><strong>Contact:</strong><span>c%d</span></li></ul></div>', k
+    )
+    details = table(spark, sf, "part").filter("p_partkey % 2 = 0").select(
+        k.alias("page_id"), F.concat(F.lit("/d/"), k.cast("string")).alias("url"), contact.alias("html")
+    )
+    requests = result_pages.select("query", F.lit(" WAH Cantt").alias("city"), F.lit("smd,led").alias("ad_type"))
+    return listing_reports(requests, result_pages, details, "http://s.example.com/")

@@ -48,10 +48,11 @@ def delete_cascade(chats: DataFrame, messages: DataFrame, ids: DataFrame) -> tup
     )
 
 
-def context_window(messages: DataFrame, order: list[str], n: int = 10) -> DataFrame:
-    """Last ``n`` messages per chat without system rows, in their own order, numbered from 1 in ``place``."""
+def context_window(messages: DataFrame, order: list[str], n: int = 10, skip_system: bool = True) -> DataFrame:
+    """Last ``n`` messages per chat in their own order, numbered from 1 in ``place``; by default without system rows."""
     latest = [F.desc(c) for c in order]
-    kept = first_n(messages.filter("role <> 'system'"), ["chat_id"], latest, n, "_back")
+    said = messages.filter("role <> 'system'") if skip_system else messages
+    kept = first_n(said, ["chat_id"], latest, n, "_back")
     size = F.count(F.lit(1)).over(Window.partitionBy("chat_id"))
     return kept.withColumn("place", size - F.col("_back") + 1).drop("_back")
 

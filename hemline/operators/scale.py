@@ -79,44 +79,44 @@ class Ordered:
         """Add running values up to and including each row: ``name=("sum" | "max" | "min", column)``."""
         fold = {"sum": F.sum, "max": F.max, "min": F.min}
         here = self._local().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        if not self.split:
-            for name, (how, col) in values.items():
-                self.df = self.df.withColumn(name, fold[how](col).over(here))
-            return self
-        slabs = self.df.groupBy(*self.keys, "_slab").agg(
-            *[fold[how](col).alias(f"_{name}") for name, (how, col) in values.items()]
-        )
-        earlier = Window.partitionBy(*self.keys).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
-        slabs = slabs.select(
-            *self.keys, "_slab", *[fold[how](f"_{n}").over(earlier).alias(f"_{n}") for n, (how, _) in values.items()]
-        )
         df = self.df
         for name, (how, col) in values.items():
             df = df.withColumn(name, fold[how](col).over(here))
-        df = _join_null_safe(df, slabs, [*self.keys, "_slab"])
-        for name, (how, _) in values.items():
-            if how == "sum":
-                both = F.coalesce(F.col(name) + F.col(f"_{name}"), F.col(name), F.col(f"_{name}"))
-            else:
-                both = (F.greatest if how == "max" else F.least)(F.col(name), F.col(f"_{name}"))
-            df = df.withColumn(name, both).drop(f"_{name}")
+        if self.split:
+            df = _join_null_safe(df, self._carried(values, fold), [*self.keys, "_slab"])
+            for name, (how, _) in values.items():
+                before = F.col(f"_{name}")
+                if how == "sum":
+                    both = F.coalesce(F.col(name) + before, F.col(name), before)
+                else:
+                    both = (F.greatest if how == "max" else F.least)(F.col(name), before)
+                df = df.withColumn(name, both).drop(f"_{name}")
         self.df = df
         return self
 
-    def rank(self, name: str) -> Ordered:
-        """Add the row number from 1 inside each group."""
-        if not self.split:
-            self.df = self.df.withColumn(name, F.row_number().over(self._local()).cast("bigint"))
-            return self
-        slabs = self.df.groupBy(*self.keys, "_slab").agg(
-            F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")
+    def _carried(self, values: dict[str, tuple[str, Column]], fold: dict) -> DataFrame:
+        """What the earlier slabs of a group come to, for groups that go on from one slab into the next.
+
+        Slabs are ranges, so at most one group crosses from each slab into the next: this table never has more
+        rows than there are slabs and is safe to broadcast.
+        """
+        totals = self.df.groupBy(*self.keys, "_slab").agg(
+            *[fold[how](col).alias(f"_{name}") for name, (how, col) in values.items()]
         )
         earlier = Window.partitionBy(*self.keys).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
-        slabs = slabs.select(
-            *self.keys, "_slab", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+        carried = totals.select(
+            *self.keys,
+            "_slab",
+            *[fold[how](f"_{name}").over(earlier).alias(f"_{name}") for name, (how, _) in values.items()],
+            F.count(F.lit(1)).over(earlier).alias("_earlier"),
         )
-        df = _join_null_safe(self.df, slabs, [*self.keys, "_slab"])
-        self.df = df.withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_first", "_before")
+        return F.broadcast(carried.filter("_earlier > 0").drop("_earlier"))
+
+    def rank(self, name: str) -> Ordered:
+        """Add the row number from 1 inside each group."""
+        if self.split:
+            return self.running(**{name: ("sum", F.lit(1).cast("bigint"))})
+        self.df = self.df.withColumn(name, F.row_number().over(self._local()).cast("bigint"))
         return self
 
     def done(self) -> DataFrame:
@@ -129,7 +129,7 @@ def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFra
     match = F.lit(True)
     for c in on:
         match = match & left[c].eqNullSafe(renamed[f"_k_{c}"])
-    return left.join(renamed, match, "left").drop(*[f"_k_{c}" for c in on])
+    return left.join(F.broadcast(renamed), match, "left").drop(*[f"_k_{c}" for c in on])
 
 
 def ranked(

@@ -100,6 +100,7 @@ def stream_failure_runs(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()  # read several times below; lost blocks are read again from the source
         before = read_state(spark, state_root, FAILURES, batch_id - 1).select(
             "key_id", F.col("consecutive").alias("c0"), F.col("total").alias("t0")
         )
@@ -126,6 +127,7 @@ def stream_failure_runs(
             "key_id", F.col("c0").alias("consecutive"), F.col("t0").alias("total")
         )
         now.unionByName(kept).write.mode("overwrite").parquet(_folder(state_root, batch_id))
+        batch.unpersist()
 
     run_available(calls, step, checkpoint)
 
