@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hemline.functions import text as T
 from hemline.operators.listings import enrich_top, render_listing_report
 from hemline.operators.pages import extract_details, extract_listings
+from hemline.operators.scale import first_n
 from hemline.session import stored
 
 ORDER = ["page_no", "pos"]
@@ -44,7 +45,9 @@ def listing_reports(
         "total_found",
         T.search_url(F.col("city"), F.col("types"), F.lit(1), base).alias("search_url"),
     )
-    known = extract_details(details).select(
+    # only the detail pages of the first listings are worth parsing
+    wanted = first_n(found, ["query"], ORDER, contacts).select(F.col("detail_url").alias("url")).distinct()
+    known = extract_details(details.join(wanted, "url", "left_semi").select("page_id", "url", "html")).select(
         "detail_url", F.try_element_at("details", F.lit("Contact")).alias("contact")
     )
     listings = enrich_top(found, known, ["query"], ORDER, contacts, "listing_id", "detail_url", "contact")
