@@ -13,11 +13,6 @@ from hemline.session import shared_path
 from hemline.sources import captions as caption_files
 from hemline.sources import examples as example_files
 from hemline.sources import images as image_files
-from hemline.sources.dims import category_dim
-
-
-def _pos():
-    return F.coalesce(*[F.when(F.col("category") == c, i) for i, c in enumerate(LANGS)])
 
 
 def doc_counts(spark, sf):

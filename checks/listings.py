@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import md5_text, query, spread_table, table
+from checks.registry import query, spread_table, table
 from hemline.functions import text as T
 from hemline.operators import listings, pages
 from hemline.operators.joins import dedupe_ordered
@@ -26,7 +26,7 @@ def _(spark, sf):
 
 @query(
     "ext_01_extract_listings",
-    "WITH h AS (SELECT page_id, url, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS t FROM pages), p AS (SELECT page_id, replace(replace(replace(replace(html, '<h1>', '<h2><a href=\"/item/' || page_id || '\">'), '</h1>', '</a></h2>'), '<article>', '<article>'), '', '') AS x FROM pages) "
+    "WITH h AS (SELECT page_id, url, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS t FROM pages) "
     "SELECT page_id, 1 AS pos, trim(replace(replace(replace(replace(t, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"')) AS title, '/item/' || page_id AS detail_url FROM h WHERE trim(t) <> ''",
 )
 def _(spark, sf):
@@ -146,9 +146,6 @@ def _(spark, sf):
     return _pages(spark, sf).select("page_id", picked.alias("image"))
 
 
-_SITE = "regexp_extract(page_url, '//([^/]+)/', 1)"
-
-
 @query(
     "ext_04_page_flow",
     f"WITH {_LINKS}, pg AS (SELECT page_id, regexp_extract(url, '//([^/]+)/', 1) AS site, row_number() OVER (PARTITION BY regexp_extract(url, '//([^/]+)/', 1) ORDER BY page_id) AS page_no FROM pages QUALIFY page_no <= 100), "
@@ -182,9 +179,6 @@ def _parts(spark, sf):
     )
 
 
-ORDER = ["p_retailprice desc", "p_partkey"]
-
-
 def _order():
     return [F.desc("p_retailprice"), F.asc("p_partkey")]
 

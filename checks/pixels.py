@@ -8,6 +8,8 @@ from checks.registry import query, table
 from hemline.functions import fixed
 from hemline.operators import images
 from hemline.operators.scale import draw
+from hemline.session import shared_path
+from hemline.sources import images as image_files
 
 
 def _images(spark, sf):
@@ -31,6 +33,43 @@ _GRAY = (
 )
 
 
+@query(
+    "src_06_read_images",
+    f"WITH {_GRAY} SELECT 'Summer_Men' AS category, vec_id || '.png' AS filename, 8 AS width, any_value(h)::int AS height, 1 AS n_channels, md5(string_agg(printf('%02X', v), '' ORDER BY y, x)) AS pixels "
+    "FROM p JOIN (SELECT DISTINCT vec_id, h FROM g) USING (vec_id) GROUP BY vec_id UNION ALL SELECT 'Summer_Men', vec_id || '.png', -1, -1, -1, md5('') FROM embeddings WHERE vec_id % 50 = 49",
+)
+def _(spark, sf):
+    root = shared_path(spark, "images")
+
+    def write(rows):
+        """Each task writes its images as PNG files into the shared folder."""
+        import struct
+        import zlib
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        store.create_dir(f"{base}/Summer/Men", recursive=True)
+
+        def chunk(tag, body):
+            return struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
+
+        for r in rows:
+            png = b"no image"
+            if r.width > 0:
+                lines = b"".join(b"\0" + bytes(r.data[i : i + r.width]) for i in range(0, len(r.data), r.width))
+                head = struct.pack(">IIBBBBB", r.width, r.height, 8, 0, 0, 0, 0)
+                png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+            with store.open_output_stream(f"{base}/Summer/Men/{r.vec_id}.png") as out:
+                out.write(png)
+
+    _images(spark, sf).foreachPartition(write)
+    return image_files.read_images(spark, root).select(
+        "category", "filename", "width", "height", "n_channels",
+        F.md5(F.encode(F.when(F.col("width") > 0, F.hex("data")).otherwise(""), "utf-8")).alias("pixels"),
+    )
+
+
 def _checked(df):
     """Sum of pixel values weighted by place: equal only for equal images."""
     digits = F.expr("transform(sequence(0, length(pixels) div 3 - 1), i -> conv(hex(substring(pixels, i * 3 + 1, 1)), 16, 10) * (i + 1))")

@@ -27,14 +27,21 @@ def captions_without_image(captions: DataFrame, images: DataFrame) -> DataFrame:
     return captions.join(images, "filename", "left_anti")
 
 
+def item_columns(items: DataFrame, other: DataFrame, key: str = "filename", category: str = "category") -> list[str]:
+    """Columns that identify an item in ``other``: file names repeat over categories, so both where it has both."""
+    return [c for c in (category, key) if c in other.columns and c in items.columns]
+
+
 def pending_items(
     items: DataFrame, done: DataFrame, ledger: DataFrame | None = None, limit: int | None = None,
     key: str = "filename", category: str = "category",
 ) -> DataFrame:
     """Items neither done nor handled today, the first ``limit`` per category by key."""
-    rest = items.join(done.select(key), key, "left_anti")
-    if ledger is not None:
-        rest = rest.join(ledger.select(key), key, "left_anti")
+    rest = items
+    for other in (done, ledger):
+        if other is not None:
+            on = item_columns(items, other, key, category)
+            rest = rest.join(other.select(*on), on, "left_anti")
     return rest if limit is None else first_n(rest, [category], [key], limit)
 
 

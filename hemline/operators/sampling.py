@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hemline.functions import fixed, text
 from hemline.operators.balance import needed
-from hemline.operators.scale import HOT_ROWS, draw, ranked, repeated, smallest_share
+from hemline.operators.scale import HOT_ROWS, draw, ranked, repeated, small_side, smallest_share
 
 # Own wordings; callers pass their own catalogue. Every placeholder is optional.
 DEFAULT_TEMPLATES = [
@@ -104,7 +104,8 @@ def augmentation_plan(
         (draw(_tag(seed, "image", key), F.col("n")) + 1).alias("k"),
         _pick(list(fixed.TRANSFORMS), seed, "transform", key).alias("transform"),
     )
-    numbered = ranked(images, ["category"], ["filename"], "k", hot_rows).withColumnRenamed("filename", "source")
+    usable = images.join(small_side(short.select("category")), "category", "left_semi")
+    numbered = ranked(usable, ["category"], ["filename"], "k", hot_rows).withColumnRenamed("filename", "source")
     stem = F.regexp_replace("source", r"\.[^.]*$", "")
     ext = F.regexp_extract("source", r"(\.[^.]*)$", 1)
     name = F.concat(stem, F.lit("_aug_"), F.col("i").cast("string"), F.lit("_"), "transform", ext)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hemline.operators.balance import allocate_quota
-from hemline.operators.joins import assign_keys, pending_items
+from hemline.operators.joins import assign_keys, item_columns, pending_items
 from hemline.sources.captions import caption_file_counts
 
 
@@ -19,7 +19,7 @@ def daily_captioning_plan(
 
     At most ``quota`` items per category can be chosen, so each task cuts its list to that before the shuffle.
     """
-    captioned = items.join(done, "filename", "left_semi")
+    captioned = items.join(done, item_columns(items, done), "left_semi")
     targets = allocate_quota(caption_file_counts(captioned, categories), quota).select("category", "target")
     chosen = (
         pending_items(items, done, ledger, limit=quota)

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 PYTHON_JOBS = ("listing_search", "ext_01", "ext_02", "sam_05", "sam_06", "sam_07")
-WRITES_FIRST = ("str_", "src_01", "src_02", "src_04", "src_05", "src_13", "win_09_failure_runs_split")
+WRITES_FIRST = ("str_", "src_01", "src_02", "src_04", "src_05", "src_06", "src_13", "win_09_failure_runs_split")
 
 
 def plan(df) -> str:

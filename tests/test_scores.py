@@ -113,3 +113,12 @@ def test_weights_are_met(spark):
     df = spark.range(4000).select(F.col("id"), F.lit("social_media").alias("category"))
     share = sampling.weighted_choice(df, F.col("id")).filter("content_type = 'caption'").count() / 4000
     assert share == pytest.approx(0.75, abs=0.03)
+
+
+def test_pending_items_know_their_category(spark, rows):
+    items = spark.createDataFrame([("a", "1.jpg"), ("b", "1.jpg"), ("b", "2.jpg")], "category string, filename string")
+    done = spark.createDataFrame([("a", "1.jpg")], "category string, filename string")
+    today = spark.createDataFrame([("2.jpg",)], "filename string")
+    assert rows(joins.pending_items(items, done), "category", "filename") == [("b", "1.jpg"), ("b", "2.jpg")]
+    assert rows(joins.pending_items(items, done, today), "category", "filename") == [("b", "1.jpg")]
+    assert rows(joins.pending_items(items, done.select("filename")), "category", "filename") == [("b", "2.jpg")]
