@@ -130,8 +130,15 @@ def _decoded(row):
     return decode(row.width, row.height, row.n_channels, row.data)
 
 
-def augment_batches(batches):
+def slices(batches, rows: int = 64):
+    """Short pieces of the Arrow batches: results can be far larger than the stored bytes they come from."""
     for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
+
+
+def augment_batches(batches):
+    for pdf in slices(batches):
         out = []
         for row in pdf.itertuples():
             a = _decoded(row)
@@ -143,7 +150,7 @@ def augment_batches(batches):
 
 def random_batches(batches):
     steps = [("angle", "rotate"), ("brightness", "brightness"), ("contrast", "contrast")]
-    for pdf in batches:
+    for pdf in slices(batches):
         out = []
         for row in pdf.itertuples():
             a = _decoded(row)
@@ -161,7 +168,7 @@ def random_batches(batches):
 
 
 def prepare_batches(size, batches):
-    for pdf in batches:
+    for pdf in slices(batches):
         ok, values = [], []
         for row in pdf.itertuples():
             a = _decoded(row)

@@ -73,15 +73,6 @@ def image_overview(images: DataFrame) -> DataFrame:
 
 # --- pixels -----------------------------------------------------------------------------------------------
 
-PIXELS = "width int, height int, n_channels int, data binary"
-
-
-def _on_pixels(df: DataFrame, schema: str, fn) -> DataFrame:
-    """Run ``fn`` on Arrow batches; keep batches small, one row holds a whole image."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    return df.mapInPandas(fn, schema)
-
-
 def augment_images(plan: DataFrame) -> DataFrame:
     """Apply ``transform`` of each row to its image. Adds RGB-ordered ``pixels`` of the same size.
 
@@ -90,7 +81,7 @@ def augment_images(plan: DataFrame) -> DataFrame:
     from hemline.functions import pixels
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plan.schema if f.name != "data")
-    return _on_pixels(plan, schema + ", pixels binary", pixels.shipped(pixels.augment_batches))
+    return plan.mapInPandas(pixels.shipped(pixels.augment_batches), schema + ", pixels binary")
 
 
 def random_plan(images: DataFrame, level: str, key: Column, seed: str = "42") -> DataFrame:
@@ -124,7 +115,7 @@ def augment_random(plan: DataFrame) -> DataFrame:
     from hemline.functions import pixels
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plan.schema if f.name != "data")
-    return _on_pixels(plan, schema + ", pixels binary", pixels.shipped(pixels.random_batches))
+    return plan.mapInPandas(pixels.shipped(pixels.random_batches), schema + ", pixels binary")
 
 
 def prepare_images(images: DataFrame, size: int = 512) -> DataFrame:
@@ -132,6 +123,6 @@ def prepare_images(images: DataFrame, size: int = 512) -> DataFrame:
     from hemline.functions import pixels
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema if f.name != "data")
-    return _on_pixels(
-        images, schema + ", ok boolean, values array<float>", pixels.shipped(pixels.prepare_batches, size)
+    return images.mapInPandas(
+        pixels.shipped(pixels.prepare_batches, size), schema + ", ok boolean, values array<float>"
     )
