@@ -8,7 +8,10 @@ from pyspark.sql import functions as F  # noqa: F401
 
 from hemline.llm.bpe import round_trip
 from hemline.llm.frames import table
+from hemline.llm.language import identify_documents
+from hemline.llm.mixing import mix_rows
 from hemline.llm.registry import query
+from hemline.llm.simhash import near_duplicates
 from hemline.llm.token_counts import count_tokens
 from hemline.llm.token_files import token_files
 
@@ -19,12 +22,29 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op2_mix_to_weights")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_rows(table(spark, sf, "documents"))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """Language, posterior and whether it is accepted, for every document."""
+    found = identify_documents(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+    return found.withColumn("posterior", F.round("posterior", 6))
+
+
 @query("op6_byte_bpe")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+@query("op7_simhash_near_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query("op8_token_files")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return token_files(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
