@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
 from hemline.llm.bpe import round_trip
+from hemline.llm.edit_fingerprints import edited_neighbours
 from hemline.llm.frames import table
 from hemline.llm.language import identify_documents
 from hemline.llm.mixing import mix_rows
+from hemline.llm.personal_data import report
 from hemline.llm.registry import query
 from hemline.llm.simhash import near_duplicates
 from hemline.llm.token_counts import count_tokens
@@ -27,6 +29,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return mix_rows(table(spark, sf, "documents"))
 
 
+@query("op3_personal_data")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return report(table(spark, sf, "documents"))
+
+
 @query("op5_language_id")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     """Language, posterior and whether it is accepted, for every document."""
@@ -48,3 +55,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_token_files")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return token_files(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_order_minhash")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return edited_neighbours(table(spark, sf, "documents"))
