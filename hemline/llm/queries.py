@@ -8,8 +8,9 @@ from pyspark.sql import functions as F  # noqa: F401
 
 from hemline.llm.bpe import round_trip
 from hemline.llm.edit_fingerprints import edited_neighbours
-from hemline.llm.frames import table
+from hemline.llm.frames import sha256_hex, table
 from hemline.llm.language import identify_documents
+from hemline.llm.line_dedup import dedup_lines
 from hemline.llm.mixing import mix_rows
 from hemline.llm.personal_data import report
 from hemline.llm.registry import query
@@ -60,3 +61,10 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_order_minhash")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return edited_neighbours(table(spark, sf, "documents"))
+
+
+@query("op10_line_dedup")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of every document, lines deleted as later copies, and the digest of what is left."""
+    found = dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_deleted", sha256_hex(F.col("text")).alias("text_sha256"))
