@@ -17,6 +17,7 @@ from hemline.llm.registry import query
 from hemline.llm.simhash import near_duplicates
 from hemline.llm.token_counts import count_tokens
 from hemline.llm.token_files import token_files
+from hemline.llm.top_k import top_k
 
 
 @query("op1_token_counts")
@@ -35,6 +36,11 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return report(table(spark, sf, "documents"))
 
 
+@query("op4_exact_top_k")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k(table(spark, sf, "embeddings"))
+
+
 @query("op5_language_id")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     """Language, posterior and whether it is accepted, for every document."""
