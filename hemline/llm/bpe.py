@@ -172,9 +172,9 @@ class Coder:
         ).to_arrow_table()
         self._db.unregister("coded")
         out = [b""] * len(counts)
-        for d, text, n in zip(*(got.column(i).to_pylist() for i in range(3))):
-            if n != counts[d]:
-                raise ValueError("an id is not in the vocabulary")
+        if sum(got.column("n").to_pylist()) != len(ids):
+            raise ValueError("an id is not in the vocabulary")
+        for d, text in zip(got.column("doc").to_pylist(), got.column("text").to_pylist()):
             out[d] = text.encode("latin-1")
         return out
 

@@ -141,7 +141,7 @@ def test_personal_data_of_very_long_texts(spark):
 
 def test_terms_that_reveal_a_value(spark):
     told = [(i, f"Dear Quimby of Zorland please write to bob@x.com for offer {i}") for i in range(6)]
-    plain = [(10 + i, "please write to the offer for all, Dear reader of") for i in range(40)] + [(90, "Quimby was here")]
+    plain = [(10 + i, "please write to the offer for all, Dear reader of") for i in range(40)] + [(90 + i, "Quimby was here") for i in range(6)]
     df = spark.createDataFrame(told + plain, "doc_id bigint, text string")
     got = {r["doc_id"]: r["spans"] for r in report(df).collect()}
     assert got[0] == "email:39:48,term:15:22"  # Zorland comes with the address only; Quimby elsewhere too
@@ -211,8 +211,9 @@ def test_language_evidence(spark):
 
 
 def test_language_edges(spark):
-    rows = [(1, None, None, None, 1), (1, "", "en", "x", 1), (2, "12 %% 漢字", "en", "x", 1), (3, "the of and to in with", "en", "x", 1), (3, "the of and to in with", "en", "x", 1)]
+    rows = [(1, None, None, None, 1), (1, "", "en", "x", 1), (2, "12 %% 漢字", None, "x", 1), (3, "the of and to in with", "en", "x", 1), (3, "the of and to in with", "en", "x", 1)]
     df = spark.createDataFrame(rows, DOCS).withColumnRenamed("n_chars", "Language")
-    got = sorted((r["doc_id"], r["accepted"]) for r in identify_documents(df).collect())
+    model = train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    got = sorted((r["doc_id"], r["accepted"]) for r in identify(df, model, df["source"], df["lang"]).collect())
     assert got == [(1, False), (1, False), (2, False), (3, True), (3, True)]
     assert identify_documents(df.limit(0)).count() == 0
