@@ -219,8 +219,7 @@ STATS = (
 
 @query(
     "agg_06_image_stats",
-    f"WITH {IMAGES}, first AS (SELECT * FROM sized QUALIFY row_number() OVER (PARTITION BY category ORDER BY k) <= 20) "
-    f"SELECT category, {STATS} FROM first GROUP BY category",
+    f"WITH {IMAGES} SELECT category, {STATS} FROM sized GROUP BY category",
 )
 def _(spark, sf):
     return _rounded(images.image_stats(part_images(spark, sf)), {"avg_width", "avg_height", "avg_aspect"})
@@ -269,7 +268,7 @@ def _(spark, sf):
 
 @query(
     "join_01_pair_images_captions",
-    f"WITH {DOCS}, caps AS (SELECT category, filename, 'v' || g.i || ' ' || left(caption, 20) AS caption, g.i AS pos FROM docs, "
+    f"WITH {DOCS}, caps AS (SELECT category, filename, 'v' || g.i || ' ' || md5(caption) AS caption, g.i AS pos FROM docs, "
     "range(2) g(i) WHERE docs.pos % 3 = 0 OR g.i = 0) SELECT d.category, d.filename, max_by(c.caption, c.pos) AS caption "
     f"FROM docs d JOIN caps c USING (category, filename) JOIN labels l ON l.doc_id = d.pos GROUP BY ALL",
 )
@@ -278,7 +277,7 @@ def _(spark, sf):
     copies = docs.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1)))).filter("pos % 3 = 0 OR i = 0")
     caps = copies.select(
         "category", "filename",
-        F.concat(F.lit("v"), F.col("i").cast("string"), F.lit(" "), F.left("caption", F.lit(20))).alias("caption"),
+        F.concat(F.lit("v"), F.col("i").cast("string"), F.lit(" "), md5_text("caption")).alias("caption"),
         F.col("i").alias("pos"),
     )
     imgs = docs.select("category", "filename").join(labelled(spark, sf), "filename", "left_semi")
@@ -355,7 +354,7 @@ def _(spark, sf):
 @query(
     "win_08_assign_keys",
     f"WITH {PENDING}, o AS (SELECT category, filename, row_number() OVER (ORDER BY filename) - 1 AS i FROM rest) "
-    "SELECT category, filename, i // 15 AS key_id FROM o WHERE i < 8 * 15",
+    "SELECT category, filename, CASE WHEN i < 9 * 15 THEN i // 15 END AS key_id FROM o",
 )
 def _(spark, sf):
     todo = _pending(spark, sf).select("category", "filename")
@@ -412,14 +411,14 @@ def _(spark, sf):
 @query(
     "set_01_union_categories",
     f"WITH {DOCS} SELECT category, filename, CASE WHEN category = 'fr' THEN source END AS source FROM docs "
-    "WHERE category IN ('en', 'fr', 'de')",
+    "WHERE category IN ('en', 'fr', 'de', 'es')",
 )
 def _(spark, sf):
     docs = documents(spark, sf)
-    parts = [docs.filter(F.col("category") == c) for c in ("en", "fr", "de")]
+    parts = [docs.filter(F.col("category") == c) for c in ("en", "fr", "de", "es")]
     return joins.union_categories(
         parts[0].select("category", "filename"), parts[1].select("category", "filename", "source"),
-        parts[2].select("category", "filename"),
+        parts[2].select("category", "filename"), parts[3].select("category", "filename"),
     )
 
 

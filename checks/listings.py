@@ -106,6 +106,35 @@ def _(spark, sf):
     return pages.extract_links(_pages(spark, sf), includes=["a", "e"], excludes=["th"]).select("page_id", "url")
 
 
+@query(
+    "ext_03_links_of_planted_pages",
+    f"WITH {_LINKS} SELECT page_id, unnest(['/y?a=1&b=' || page_id, '/q' || page_id, '/u' || page_id]) AS url FROM pages UNION SELECT page_id, url FROM l",
+)
+def _(spark, sf):
+    k = F.col("page_id").cast("string")
+    planted = F.concat(
+        F.lit('<p><a href="/y?a=1&amp;b='), k, F.lit('">x</a><!-- <a href="/hidden">n</a> --><a class=c href=\'/q'), k,
+        F.lit("'>y</a><A HREF=/u"), k, F.lit('>z</A><a name="no address">w</a></p>'), "html",
+    )
+    return pages.extract_links(_pages(spark, sf).select("page_id", planted.alias("html"))).select("page_id", "url")
+
+
+@query(
+    "ext_03_image_urls",
+    "SELECT page_id, unnest(['http://h.example.com/i/' || page_id || '.jpg', 'http://h.example.com/big' || page_id || '.png', 'https://cdn.example.com/e' || page_id || '.webp']) AS url FROM pages",
+)
+def _(spark, sf):
+    k = F.col("page_id").cast("string")
+    cards = F.concat(
+        F.lit('<div class="Card"><img src="/i/'), k, F.lit('.jpg"><img data-src="/small.png" srcset="/a.png 1x, /big'), k,
+        F.lit('.png 2x"></div><div class="card"><image-element src="//cdn.example.com/e'), k,
+        F.lit('.webp"></image-element><img src="/logo.png"></div><img src="/outside.png">'),
+    )
+    df = _pages(spark, sf).select("page_id", F.lit("http://h.example.com/x/").alias("url"), F.concat(cards, "html").alias("html"))
+    found = pages.extract_image_urls(df, ["srcset", "data-src"], "card", excludes=["logo"])
+    return found.select("page_id", F.regexp_replace("url", "^https?://cdn", "https://cdn").alias("url"))
+
+
 @query(
     "txt_32_filter_urls", f"WITH {_LINKS} SELECT page_id, url FROM l WHERE NOT contains(url, ',') AND NOT contains(url, '.')"
 )
@@ -148,22 +177,25 @@ def _(spark, sf):
 
 @query(
     "ext_04_page_flow",
-    f"WITH {_LINKS}, pg AS (SELECT page_id, regexp_extract(url, '//([^/]+)/', 1) AS site, row_number() OVER (PARTITION BY regexp_extract(url, '//([^/]+)/', 1) ORDER BY page_id) AS page_no FROM pages QUALIFY page_no <= 100), "
-    "u AS (SELECT DISTINCT site, page_no, left(l.url, 4) AS url FROM pg JOIN l USING (page_id)), f AS (SELECT site, url, min(page_no) AS page_no FROM u GROUP BY ALL), n AS (SELECT site, page_no, count(*) AS n_new FROM f GROUP BY ALL), "
-    "m AS (SELECT site, page_no, count(DISTINCT u.url) AS n FROM pg LEFT JOIN u USING (site, page_no) GROUP BY ALL), j AS (SELECT site, page_no, n, coalesce(n_new, 0) AS n_new, sum(coalesce(n_new, 0)) OVER w AS total, "
+    f"WITH {_LINKS}, st AS (SELECT page_id, page_id % 11 <> 0 AS has_next, CASE WHEN page_id % 3 = 0 THEN 'one large site' ELSE regexp_extract(url, '//([^/]+)/', 1) || page_id % 5 END AS site FROM pages), pg AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id % 11 = 0, page_id) AS page_no FROM st), "
+    "u AS (SELECT DISTINCT site, page_no, CASE WHEN page_id % 2 = 0 THEN l.url ELSE left(md5(l.url), 2) END AS url FROM pg JOIN l USING (page_id)), f AS (SELECT site, url, min(page_no) AS page_no FROM u GROUP BY ALL), n AS (SELECT site, page_no, count(*) AS n_new FROM f GROUP BY ALL), "
+    "m AS (SELECT site, page_no, any_value(has_next) AS has_next, count(DISTINCT u.url) AS n FROM pg LEFT JOIN u USING (site, page_no) GROUP BY ALL), j AS (SELECT site, page_no, n, has_next, coalesce(n_new, 0) AS n_new, sum(coalesce(n_new, 0)) OVER w AS total, "
     "max(CASE WHEN n_new > 0 THEN page_no END) OVER w AS lastnew FROM m LEFT JOIN n USING (site, page_no) WINDOW w AS (PARTITION BY site ORDER BY page_no)), "
-    "s AS (SELECT *, CASE WHEN page_no - coalesce(lastnew, 0) >= 3 THEN 'no growth' WHEN page_no >= 100 THEN 'page limit' END AS stop FROM j) "
+    "s AS (SELECT *, CASE WHEN page_no - coalesce(lastnew, 0) >= 3 THEN 'no growth' WHEN NOT has_next THEN 'last page' END AS stop FROM j) "
     "SELECT site, page_no, n, n_new, total::bigint AS total, stop FROM s QUALIFY count(stop) OVER (PARTITION BY site ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0",
 )
 def _(spark, sf):
-    from hemline.operators.scale import first_n
+    from hemline.operators.scale import ranked
 
-    p = _pages(spark, sf).withColumn("site", F.regexp_extract("url", "//([^/]+)/", 1))
-    numbered = first_n(p.select("site", "page_id"), ["site"], ["page_id"], 100, "page_no")
-    links = pages.extract_links(_pages(spark, sf)).select("page_id", F.left("url", F.lit(4)).alias("url"))
-    rows = numbered.join(links, "page_id", "left").withColumn("has_next", F.lit(True))
-    flow = pages.page_flow(rows.select("site", F.col("page_no").cast("bigint").alias("page_no"), "url", "has_next"))
-    return flow
+    k = F.col("page_id")
+    site = F.when(k % 3 == 0, "one large site").otherwise(F.concat(F.regexp_extract("url", "//([^/]+)/", 1), (k % 5).cast("string")))
+    p = _pages(spark, sf).select("page_id", site.alias("site"), (k % 11 != 0).alias("has_next"), (k % 11 == 0).alias("_last"))
+    numbered = ranked(p, ["site"], ["_last", "page_id"], "page_no")
+    links = pages.extract_links(_pages(spark, sf))
+    # every other page repeats few addresses
+    url = F.when(k % 2 == 0, F.col("url")).otherwise(F.left(F.md5(F.col("url").cast("binary")), F.lit(2)))
+    rows = numbered.join(links.select("page_id", url.alias("url")), "page_id", "left")
+    return pages.page_flow(rows.select("site", "page_no", "url", "has_next"))
 
 
 # --- parts as listings ------------------------------------------------------------------------------------
@@ -215,8 +247,8 @@ def _(spark, sf):
     f"WITH top AS ({_TOP}), c AS (SELECT p_brand AS query, count(*) AS n FROM part GROUP BY 1), b AS (SELECT t.query, string_agg(chr(10) || '### ' || rank || '. [' || p_name || '](/d/' || p.p_partkey || ')' || CASE WHEN p.p_partkey % 2 = 0 THEN chr(10) || 'New | Hot' ELSE '' END "
     "|| chr(10) || '- **Location:** town' || chr(10) || '- **Price:** Rs ' || p_size || CASE WHEN p.p_partkey % 3 = 0 THEN chr(10) || '- **Size:** 6x3 ft' ELSE '' END || CASE WHEN p.p_partkey % 5 = 0 THEN chr(10) || chr(10) || '![' || p_name || '](http://i/1.png)' ELSE '' END "
     "|| chr(10) || '- [View Details](/d/' || p.p_partkey || ')', chr(10) ORDER BY rank) AS body FROM top t JOIN part p USING (p_partkey) GROUP BY t.query) "
-    "SELECT query, '## Billboard Listings in Dera Town (Wall Panels)' || chr(10) || '**12345 total listings found** on the site' || chr(10) || '*Showing top ' || least(n, 5) || ' results | [View all](u)*' || chr(10) || chr(10) || body || chr(10) || chr(10) || '---' || chr(10) "
-    "|| '### ' || format('{:,}', 12345 - least(n, 5)) || ' more listing(s) available' || chr(10) || '**[View all Dera Town listings](u)**' AS report FROM c JOIN b USING (query)",
+    "SELECT query, '## Billboard Listings in Dera Town (Wall Panels)' || chr(10) || '**12345 total listings found** on the site' || chr(10) || '*First ' || least(n, 5) || ' shown | [All results](u)*' || chr(10) || chr(10) || body || chr(10) || chr(10) || '---' || chr(10) "
+    "|| '### ' || format('{:,}', 12345 - least(n, 5)) || ' further listings' || chr(10) || '**[See every listing in Dera Town](u)**' AS report FROM c JOIN b USING (query)",
 )
 def _(spark, sf):
     parts = _parts(spark, sf)
@@ -252,8 +284,8 @@ _REPORT = "p_partkey // 20 AS query, p_partkey, p_name, p_brand, row_number() OV
     f"WITH p AS (SELECT {_REPORT} FROM part), b AS (SELECT query, any_value(n) AS n, string_agg(chr(10) || '### ' || r || '. [' || p_name || ' & co ' || p_partkey || '](/d/' || p_partkey || ')' || chr(10) || 'New | Hot ' || (p_partkey % 3) || chr(10) || '- **Location:** ' || p_brand || chr(10) "
     "|| '- **Price:** Rs ' || (p_partkey % 900) || chr(10) || '- **Size:** ' || (p_partkey % 60) || 'x' || (p_partkey % 30) || ' ft' || CASE WHEN r <= 3 AND p_partkey % 2 = 0 THEN chr(10) || '- **Contact:** c' || p_partkey ELSE '' END || chr(10) || chr(10) || '![' || p_name || ' & co ' || p_partkey || '](/i/' || p_partkey || '.jpg)' "
     "|| chr(10) || '- [View Details](/d/' || p_partkey || ')', chr(10) ORDER BY r) AS body FROM p WHERE r <= 5 GROUP BY query), u AS (SELECT *, 'http://s.example.com/?type%5B%5D=smd&type%5B%5D=digital&location%5B%5D=wah-cantt' AS url, query + 40 AS total FROM b) "
-    "SELECT query, '## Billboard Listings in Wah Cantt (Smd, Digital)' || chr(10) || '**' || total || ' total listings found** on the site' || chr(10) || '*Showing top ' || least(n, 5) || ' results | [View all](' || url || ')*' || chr(10) || chr(10) || body || chr(10) || chr(10) || '---' || chr(10) || '### ' || "
-    "format('{:,}', total - least(n, 5)) || ' more listing(s) available' || chr(10) || '**[View all Wah Cantt listings](' || url || ')**' AS report FROM u",
+    "SELECT query, '## Billboard Listings in Wah Cantt (Smd, Digital)' || chr(10) || '**' || total || ' total listings found** on the site' || chr(10) || '*First ' || least(n, 5) || ' shown | [All results](' || url || ')*' || chr(10) || chr(10) || body || chr(10) || chr(10) || '---' || chr(10) || '### ' || "
+    "format('{:,}', total - least(n, 5)) || ' further listings' || chr(10) || '**[See every listing in Wah Cantt](' || url || ')**' AS report FROM u",
 )
 def _(spark, sf):
     from hemline.plans.listing_search import listing_reports

@@ -76,13 +76,13 @@ def _(spark, sf):
 @query(
     "join_04_chat_with_messages",
     "WITH u AS (SELECT conv_id AS id FROM conversations UNION SELECT conv_id + 1000000 FROM conversations WHERE conv_id % 10 = 0), m AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations QUALIFY r <= 4) "
-    "SELECT id, count(m.turn) AS n, coalesce(string_agg(m.turn::varchar || ':' || left(text, 15), '|' ORDER BY m.turn), '') AS body FROM u LEFT JOIN m ON id = conv_id GROUP BY id",
+    "SELECT id, count(m.turn) AS n, coalesce(string_agg(m.turn::varchar || ':' || md5(text), '|' ORDER BY m.turn), '') AS body FROM u LEFT JOIN m ON id = conv_id GROUP BY id",
 )
 def _(spark, sf):
     c = _conv(spark, sf)
     ids = c.select(F.col("chat_id").alias("id")).union(c.filter("chat_id % 10 = 0").select((F.col("chat_id") + 1_000_000).alias("id")))
     nested = chats.chat_with_messages(ids.distinct(), c.select("chat_id", "turn", "text"), ["turn"], 4)
-    line = F.transform("messages", lambda m: F.concat(m["turn"].cast("string"), F.lit(":"), F.left(m["text"], F.lit(15))))
+    line = F.transform("messages", lambda m: F.concat(m["turn"].cast("string"), F.lit(":"), md5_text(m["text"])))
     return nested.select("id", F.size("messages").cast("bigint").alias("n"), F.array_join(line, "|").alias("body"))
 
 
@@ -184,12 +184,12 @@ def _(spark, sf):
     "SELECT o_orderkey AS id, o_orderdate::varchar AS updated_at FROM orders WHERE o_orderkey % 6 > 0 ORDER BY o_orderdate DESC, o_orderkey LIMIT 50",
 )
 def _(spark, sf):
-    return chats.recent_chats(_orders(spark, sf)).select("id", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+    return chats.recent_chats(_orders(spark, sf), 50).select("id", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
 
 
 @query("ord_02_messages", "SELECT turn, role, md5(text) AS text FROM conversations WHERE conv_id = 3 ORDER BY turn LIMIT 100")
 def _(spark, sf):
-    return chats.chat_messages(_conv(spark, sf), 3, ["turn"]).select("turn", "role", md5_text("text").alias("text"))
+    return chats.chat_messages(_conv(spark, sf), 3, ["turn"], 100).select("turn", "role", md5_text("text").alias("text"))
 
 
 def change_log(spark, sf):
@@ -207,7 +207,7 @@ def change_log(spark, sf):
 
 
 def base_chats(spark, sf):
-    c = table(spark, sf, "customer").filter("c_custkey % 3 = 0")
+    c = table(spark, sf, "customer").withColumn("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).otherwise(F.col("c_custkey") + 10_000_000))
     at = F.lit("2023-12-01 00:00:00").cast("timestamp")
     return c.select(
         F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.lit("owner").alias("user_id"),
@@ -236,7 +236,7 @@ APPLIED_TO_EMPTY = f"WITH {CHANGES} alive AS (FROM born), {_AFTER}"
 
 @query(
     "tab_01_apply_changes",
-    f"WITH {CHANGES} old AS (SELECT c_custkey::varchar AS id, c_name AS title, 'owner' AS user_id, TIMESTAMP '2023-12-01' AS created_at, -1 AS born FROM customer WHERE c_custkey % 3 = 0 AND c_custkey::varchar NOT IN (SELECT id FROM ends)), "
+    f"WITH {CHANGES} old AS (SELECT k::varchar AS id, c_name AS title, 'owner' AS user_id, TIMESTAMP '2023-12-01' AS created_at, -1 AS born FROM (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey + 10000000 END AS k FROM customer) WHERE k::varchar NOT IN (SELECT id FROM ends)), "
     f"alive AS (FROM old UNION ALL FROM born WHERE id NOT IN (SELECT id FROM old)), {_AFTER}",
 )
 def _(spark, sf):

@@ -159,6 +159,11 @@ def _(spark, sf):
     return d.select("doc_id", T.city_slug(name).alias("slug"))
 
 
+@query("txt_05_whole_text_slugs", "WITH " + _slug_sql("SELECT doc_id, text AS name FROM documents") + " SELECT doc_id, md5(slug) AS slug FROM o")
+def _(spark, sf):
+    return _docs(spark, sf).select("doc_id", md5_text(T.city_slug(F.col("text"))).alias("slug"))
+
+
 @query(
     "txt_05_nation_slugs", "WITH " + _slug_sql("SELECT n_nationkey, n_name AS name FROM nation") + " SELECT n_nationkey, slug FROM o"
 )
@@ -370,7 +375,7 @@ _FENCES = ["```html\n", "```\n", "  ```HTML5-x \n\n", "", "\n\n"]
 
 @query(
     "txt_13_finalize_html",
-    "WITH p AS (SELECT page_id, " + sql_choose("page_id", _FENCES) + " || CASE WHEN page_id % 3 = 0 THEN left(html, 400) WHEN page_id % 3 = 1 THEN substr(html, 16) ELSE html END || "
+    "WITH p AS (SELECT page_id, " + sql_choose("page_id", _FENCES) + " || CASE WHEN page_id % 3 = 0 THEN replace(html, '</html>', '') WHEN page_id % 3 = 1 THEN substr(html, 16) ELSE html END || "
     "CASE WHEN page_id % 2 = 0 THEN chr(10) || '``` ' ELSE '' END AS h FROM pages), "
     f"s AS (SELECT page_id, {sql_strip('h')} AS h FROM p), t AS (SELECT page_id, regexp_replace(h, '^[{WS}]*```[a-zA-Z0-9_-]*[{WS}]*\n?', '') AS h FROM s), "
     f"u AS (SELECT page_id, {sql_strip('regexp_replace(h, ' + quote(chr(10) + '?[' + WS + ']*```[' + WS + ']*$') + ', ' + quote('') + ')')} AS h FROM t), v AS (SELECT page_id, CASE WHEN contains(lower(h), '</html>') THEN h ELSE h || chr(10) || '</html>' END AS h FROM u) "
@@ -379,7 +384,7 @@ _FENCES = ["```html\n", "```\n", "  ```HTML5-x \n\n", "", "\n\n"]
 def _(spark, sf):
     p = spread_table(spark, sf, "pages", "page_id")
     k = F.col("page_id")
-    body = F.when(k % 3 == 0, F.left("html", F.lit(400))).when(k % 3 == 1, F.substr("html", F.lit(16))).otherwise(F.col("html"))
+    body = F.when(k % 3 == 0, F.replace("html", F.lit("</html>"), F.lit(""))).when(k % 3 == 1, F.substr("html", F.lit(16))).otherwise(F.col("html"))
     raw = F.concat(choose(k, _FENCES), body, F.when(k % 2 == 0, "\n``` ").otherwise(""))
     out = p.select("page_id", T.finalize_html(raw).alias("h"))
     added = F.when(F.startswith("h", F.lit("<!DOCTYPE html>\n")), 16).otherwise(0)

@@ -9,11 +9,11 @@ from hemline.functions import text
 from hemline.operators.scale import HOT_ROWS, attach, first_n, ranked
 
 
-def recent_chats(chats: DataFrame, limit: int = 50) -> DataFrame:
+def recent_chats(chats: DataFrame, limit: int) -> DataFrame:
     return chats.orderBy(F.desc("updated_at"), F.asc("id")).limit(limit)
 
 
-def chat_messages(messages: DataFrame, chat_id, order: list[str], limit: int = 100) -> DataFrame:
+def chat_messages(messages: DataFrame, chat_id, order: list[str], limit: int) -> DataFrame:
     return messages.filter(F.col("chat_id") == chat_id).orderBy(*order).limit(limit)
 
 
@@ -21,7 +21,7 @@ def oldest_n(messages: DataFrame, n: int, order: list[str]) -> DataFrame:
     return first_n(messages, ["chat_id"], order, n)
 
 
-def chat_with_messages(chats: DataFrame, messages: DataFrame, order: list[str], limit: int = 100) -> DataFrame:
+def chat_with_messages(chats: DataFrame, messages: DataFrame, order: list[str], limit: int) -> DataFrame:
     """Chats with their first ``limit`` messages as an ordered array, empty for chats without any."""
     kept = oldest_n(messages, limit, order)
     fields = [c for c in messages.columns if c != "chat_id"]

@@ -21,10 +21,10 @@ def _n(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 
 
-def image_stats(images: DataFrame, sample: int | None = 20) -> DataFrame:
+def image_stats(images: DataFrame, sample: int | None = None) -> DataFrame:
     """Per category averages, five disjoint size bins, extreme aspects and format issues.
 
-    Only the first ``sample`` images by file name are looked at, as a quick audit; None takes them all.
+    ``sample`` looks only at so many images by file name, as a quick audit; by default all count.
     """
     s, l = F.col("short"), F.col("long")
     if sample is not None:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hemline.operators.scale import first_n, small_side
+from hemline.operators.scale import HOT_ROWS, first_n, ranked, small_side
 
 
 def pair_images_captions(images: DataFrame, captions: DataFrame) -> DataFrame:
@@ -46,19 +46,13 @@ def pending_items(
 
 
 def assign_keys(
-    items: DataFrame, n_keys: int, batch: int, order: list[str], max_keys: int = 8, by: list[str] | None = None
+    items: DataFrame, n_keys: int, batch: int, order: list[str], by: list[str] | None = None,
+    hot_rows: int = HOT_ROWS, split: bool | None = None,
 ) -> DataFrame:
-    """Item i goes to key i div batch; at most ``max_keys`` keys are used and later items are left out.
-
-    Only n_keys * batch rows can be taken, so they are cut off before anything is numbered.
-    """
-    room = min(n_keys, max_keys) * batch
-    if by:
-        taken = first_n(items, by, order, room, "_i")
-    else:
-        first = items.orderBy(*order).limit(room)
-        taken = first.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
-    return taken.withColumn("key_id", F.floor((F.col("_i") - 1) / batch)).drop("_i")
+    """Item i goes to key i div batch, inside each group of ``by``; items beyond n_keys * batch stay, with a null key."""
+    numbered = ranked(items, by or [], order, "_i", hot_rows, split)
+    key = F.floor((F.col("_i") - 1) / batch)
+    return numbered.withColumn("key_id", F.when(F.col("_i") <= n_keys * batch, key)).drop("_i")
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: list[str] | str, value: str, default) -> DataFrame:

@@ -10,7 +10,7 @@ from hemline.functions import text as T
 from hemline.operators.scale import first_n
 
 
-def top_n(listings: DataFrame, by: list[str], order: list, n: int = 5) -> DataFrame:
+def top_n(listings: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     return first_n(listings, by, order, n)
 
 
@@ -19,9 +19,10 @@ def enrich_top(
 ) -> DataFrame:
     """Attach ``value`` from ``details`` to the first ``n`` listings per group; later listings get null.
 
-    Only the first n are ranked and looked up; they are then matched back by ``key``, which is unique.
+    Only the first n are ranked and looked up; they are then matched back by ``key``, which is unique. Of repeated
+    details the smallest value counts.
     """
-    known = details.groupBy(on).agg(F.first(value, ignorenulls=True).alias(value))
+    known = details.filter(F.col(value).isNotNull()).groupBy(on).agg(F.min(value).alias(value))
     top = first_n(listings, by, order, n).select(*by, key, on).join(known, on).select(*by, key, value)
     return listings.join(top, [*by, key], "left")
 
@@ -115,23 +116,28 @@ def render_listing_report(
     shown = F.least(n, F.lit(top).cast("bigint"))
     total = F.col("total_found")
     left = F.when(total > shown, total - shown).otherwise(n - shown)
-    city, kind = title_case(F.col("city")), title_case(F.coalesce("ad_type", F.lit("")))
+    city = title_case(F.coalesce("city", F.lit("all cities")))
+    kind = title_case(F.coalesce("ad_type", F.lit("")))
+    search = F.coalesce("search_url", F.lit(""))
+    link = lambda before, label, after: F.when(
+        search != "", F.concat(F.lit(f"{before}["), label, F.lit("]("), search, F.lit(f"){after}"))
+    ).otherwise("")
     header = F.concat(
         F.lit("## Billboard Listings in "), city,
         F.when(kind != "", F.concat(F.lit(" ("), kind, F.lit(")"))).otherwise(""),
         F.when(total.isNotNull(), F.concat(F.lit("\n**"), total.cast("string"), F.lit(f" total listings found** on {site}")))
         .otherwise(""),
-        F.lit("\n*Showing top "), shown.cast("string"), F.lit(" results | [View all]("), "search_url", F.lit(")*\n"),
+        F.lit("\n*First "), shown.cast("string"), F.lit(" shown"), link(" | ", F.lit("All results"), ""), F.lit("*\n"),
     )
     footer = F.when(
         left > 0,
         F.concat(
-            F.lit("\n---\n### "), F.format_number(left, 0), F.lit(" more listing(s) available\n**[View all "), city,
-            F.lit(" listings]("), "search_url", F.lit(")**"),
+            F.lit("\n---\n### "), F.format_number(left, 0), F.lit(" further listings"),
+            link("\n**", F.concat(F.lit("See every listing in "), city), "**"),
         ),
-    ).otherwise(F.concat(F.lit(f"\n---\n*Data sourced from [{site}]("), "search_url", F.lit(")*")))
+    ).otherwise(F.concat(F.lit("\n---\n*From "), link("", F.lit(site), ""), F.when(search == "", site).otherwise(""), F.lit("*")))
     body = F.array_join(F.col("blocks.block"), "\n")
-    none = F.lit("\n\nNo listings found for this search. Try a different city or media type.")
+    none = F.lit("\n\nNothing fits this search; another city or type of media may have more.")
     report = F.when(n == 0, F.concat(header, none)).otherwise(F.concat_ws("\n", header, body, footer))
     return whole.select("query", report.alias("report"))
 

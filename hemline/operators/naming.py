@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hemline.operators.scale import HOT_ROWS, Ordered, largest_group, ranked, small_side
 
 
+def _number_after(name: str, start: Column, rest: str) -> Column:
+    """Number in what follows ``start`` in a name, by one constant pattern; null when the name is not of that form."""
+    tail = F.when(F.startswith(F.col(name), start), F.substr(F.col(name), F.char_length(start) + 1))
+    return F.regexp_extract(tail, rest, 1).try_cast("bigint")
+
+
 def assign_names(files: DataFrame, prefixes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """New name ``prefix_i.ext`` per file: numbered from 1 by lower-cased name inside its category.
 
     ``files`` is (category, filename). Numbers already used by names of that form in the category are
-    skipped, whatever their extension; extensions are lower-cased.
+    skipped, whatever their extension; extensions are lower-cased. Files of a category without prefix stay, with a
+    null ``new_name``.
     """
-    named = files.join(small_side(prefixes), "category").select(
+    named = files.join(small_side(prefixes), "category", "left").select(
         "category", "filename", "prefix", F.lower("filename").alias("low")
     )
     # taken numbers are never more than files, so twice the files bounds every group below
     split = 2 * largest_group(files, ["category"]) > hot_rows
     extension = F.regexp_extract("low", r"(\.[^.]*)$", 1)
-    number = F.expr("try_cast(regexp_extract(low, concat('^', lower(prefix), '_([1-9][0-9]{0,17})\\\\.[^.]*$'), 1) AS bigint)")
+    number = _number_after("low", F.concat(F.lower("prefix"), F.lit("_")), r"^([1-9][0-9]{0,17})\.[^.]*$")
     taken = named.select("category", number.alias("t")).filter("t IS NOT NULL").distinct()
     # the j-th taken number t has t - j free numbers before it, so file k moves up once per taken with t - j < k
     gaps = ranked(taken, ["category"], ["t"], "j", split=split).select(
@@ -51,8 +58,8 @@ def assign_names(files: DataFrame, prefixes: DataFrame, hot_rows: int = HOT_ROWS
 
 def next_index(existing: DataFrame, new: DataFrame, order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Number new items on from the largest index of names ``category_<i>.jpg``; from 0 when there is none."""
-    found = F.expr("try_cast(regexp_extract(filename, concat('^', category, '_([0-9]+)\\\\.jpg$'), 1) AS bigint)")
-    start = existing.groupBy("category").agg((F.max(found) + 1).alias("start"))
+    found = _number_after("filename", F.concat("category", F.lit("_")), r"^([0-9]+)\.jpg$")
+    start = existing.select("category", found.alias("_found")).groupBy("category").agg((F.max("_found") + 1).alias("start"))
     numbered = ranked(new, ["category"], order, "_k", hot_rows)
     return (
         numbered.join(small_side(start), "category", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hemline.functions import html as H
 from hemline.functions import text as T
-from hemline.operators.scale import settled
+from hemline.operators.scale import HOT_ROWS, Ordered, settled
 
 
 def _filled(c: Column) -> Column:
@@ -238,9 +238,13 @@ def extract_details(pages: DataFrame) -> DataFrame:
 def extract_links(
     pages: DataFrame, tag: str = "a", attribute: str = "href", includes: list[str] = (), excludes: list[str] = ()
 ) -> DataFrame:
-    """Distinct attribute values per page, in page order (page_id, pos, url). No parsing, no shuffle."""
-    pattern = rf'(?i)<{tag}\b[^>]*?\s{attribute}\s*=\s*"([^"]*)"'
-    found = F.array_distinct(F.regexp_extract_all("html", F.lit(pattern), 1))
+    """Distinct attribute values per page, in page order (page_id, pos, url). No shuffle.
+
+    Values come from the parsed page: entities are resolved, any quoting counts, comments and scripts do not.
+    """
+    nodes = F.filter(H.html_nodes(F.col("html")), lambda n: n["tag"] == tag)
+    values = F.transform(nodes, lambda n: F.try_element_at(n["attrs"], F.lit(attribute)))
+    found = F.array_distinct(F.filter(values, lambda v: v.isNotNull()))
     links = pages.select("page_id", F.posexplode(found).alias("pos", "url"))
     return links.filter(T.keep_url(F.col("url"), includes, excludes))
 
@@ -256,19 +260,22 @@ def extract_image_urls(
     if card_class:
         scope = F.flatten(F.transform(H.where(n, cls=[card_class.lower()]), lambda c: H.below(n, c)))
     urls = F.transform(
-        H.where(scope, "img"), lambda x: T.image_url(x["attrs"], list(attr_priority), F.col("base"))
+        H.where(scope, "img", "image-element"), lambda x: T.image_url(x["attrs"], list(attr_priority), F.col("base"))
     )
     found = nodes.select("page_id", F.explode(F.array_distinct(urls)).alias("url")).filter("url IS NOT NULL")
     return found.filter(T.keep_url(F.col("url"), includes, excludes))
 
 
-def page_flow(links: DataFrame, idle: int = 3, max_pages: int = 100) -> DataFrame:
+def page_flow(
+    links: DataFrame, idle: int = 3, max_pages: int | None = None, hot_rows: int = HOT_ROWS, split: bool | None = None
+) -> DataFrame:
     """How a crawl of each site goes on: links per page, new ones, running total, and where it stops.
 
-    ``links`` is (site, page_no, url, has_next); pages without links come with url = null. Pages after the
-    stop are left out. A site is followed for at most ``max_pages`` pages, so its window stays that short.
+    ``links`` is (site, page_no, url, has_next); pages without links come with url = null. Pages after the stop are
+    left out. ``max_pages`` stops a site there; by default it is followed to its end, and running values of sites
+    with over ``hot_rows`` pages are split over the cluster.
     """
-    within = links.filter(F.col("page_no") <= max_pages)
+    within = links if max_pages is None else links.filter(F.col("page_no") <= max_pages)
     first_seen = (
         within.filter("url IS NOT NULL").groupBy("site", "url").agg(F.min("page_no").alias("page_no"))
         .groupBy("site", "page_no").agg(F.count(F.lit(1)).alias("n_new"))
@@ -279,21 +286,18 @@ def page_flow(links: DataFrame, idle: int = 3, max_pages: int = 100) -> DataFram
         .join(first_seen, ["site", "page_no"], "left")
         .withColumn("n_new", F.coalesce("n_new", F.lit(0)))
     )
-    upto = Window.partitionBy("site").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
-    place = Window.partitionBy("site").orderBy("page_no")
-    run = (
-        per_page.withColumn("total", F.sum("n_new").over(upto))
-        .withColumn("_no", F.row_number().over(place))
-        .withColumn("_last_new", F.max(F.when(F.col("n_new") > 0, F.col("_no"))).over(upto))
+    run = Ordered(per_page, ["site"], ["page_no"], hot_rows, split).rank("_no").running(
+        total=("sum", F.col("n_new")), _last_new=("max", F.when(F.col("n_new") > 0, F.col("_no")))
     )
+    rows = run.done()
     quiet = F.col("_no") - F.coalesce("_last_new", F.lit(0)) >= idle
-    stop = (
-        F.when(quiet, "no growth").when(~F.col("has_next"), "last page").when(F.col("page_no") >= max_pages, "page limit")
-    )
-    run = run.withColumn("stop", stop)
-    earlier = Window.partitionBy("site").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    stop = F.when(quiet, "no growth").when(~F.col("has_next"), "last page")
+    if max_pages is not None:
+        stop = stop.when(F.col("page_no") >= max_pages, "page limit")
+    rows = rows.withColumn("stop", stop)
+    ends = rows.filter("stop IS NOT NULL").groupBy("site").agg(F.min("page_no").alias("_end"))
     return (
-        run.withColumn("_stopped", F.count("stop").over(earlier))
-        .filter("_stopped = 0")
+        rows.join(ends, "site", "left")
+        .filter(F.col("_end").isNull() | (F.col("page_no") <= F.col("_end")))
         .select("site", "page_no", "n", "n_new", "total", "stop")
     )

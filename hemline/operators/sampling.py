@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hemline.functions import fixed, text
 from hemline.operators.balance import needed
 from hemline.operators.scale import HOT_ROWS, draw, ranked, repeated, small_side, smallest_share
+from hemline.session import stored
 
 # Own wordings; callers pass their own catalogue. Every placeholder is optional.
 DEFAULT_TEMPLATES = [
@@ -87,32 +88,51 @@ def train_eval_split(
 
 
 def augmentation_plan(
-    images: DataFrame, counts: DataFrame, target: int, seed: str = "42", hot_rows: int = HOT_ROWS
+    images: DataFrame, counts: DataFrame, target: int, seed: str = "42", hot_rows: int = HOT_ROWS,
+    split: bool | None = None,
 ) -> DataFrame:
     """Planned copies for categories below ``target``: (category, source, transform, new_name, i).
 
-    Draw i takes any image of the category and any transform, with repeats allowed. A name that exists already
-    is drawn once more and then left out. ``images`` is (category, filename), ``counts`` is (category, pos, n).
+    Draw i takes any image of the category and any transform, with repeats allowed. If that name exists already, the
+    next transforms in their order are tried, then the next images, so each slot gets a free name as long as there is
+    one. ``images`` is (category, filename), ``counts`` is (category, pos, n).
     """
     short = needed(counts, target).filter("needed > 0 AND n > 0").select("category", "n", "needed")
-    draws = repeated(short, "needed", "i").withColumn("attempt", F.explode(F.array(F.lit(0), F.lit(1))))
-    key = F.concat_ws("|", "category", F.col("i").cast("string"), F.col("attempt").cast("string"))
-    draws = draws.select(
+    key = F.concat_ws("|", "category", F.col("i").cast("string"), F.lit("0"))
+    draws = repeated(short, "needed", "i").select(
         "category",
         "i",
-        "attempt",
-        (draw(_tag(seed, "image", key), F.col("n")) + 1).alias("k"),
-        _pick(list(fixed.TRANSFORMS), seed, "transform", key).alias("transform"),
+        "n",
+        draw(_tag(seed, "image", key), F.col("n")).alias("k0"),
+        draw(_tag(seed, "transform", key), len(fixed.TRANSFORMS)).alias("t0"),
     )
     usable = images.join(small_side(short.select("category")), "category", "left_semi")
-    numbered = ranked(usable, ["category"], ["filename"], "k", hot_rows).withColumnRenamed("filename", "source")
-    stem = F.regexp_replace("source", r"\.[^.]*$", "")
-    ext = F.regexp_extract("source", r"(\.[^.]*)$", 1)
-    name = F.concat(stem, F.lit("_aug_"), F.col("i").cast("string"), F.lit("_"), "transform", ext)
-    plan = draws.join(numbered, ["category", "k"]).withColumn("new_name", name)
+    numbered = ranked(usable, ["category"], ["filename"], "k", hot_rows, split).withColumnRenamed("filename", "source")
     taken = images.select("category", F.col("filename").alias("new_name"))
-    free = plan.join(taken, ["category", "new_name"], "left_anti")
-    kept = free.groupBy("category", "i").agg(
-        F.min_by(F.struct("source", "transform", "new_name"), "attempt").alias("_row")
-    )
-    return kept.select("category", "i", "_row.*")
+    stem, ext = F.regexp_replace("source", r"\.[^.]*$", ""), F.regexp_extract("source", r"(\.[^.]*)$", 1)
+    name = F.concat(stem, F.lit("_aug_"), F.col("i").cast("string"), F.lit("_"), "transform", ext)
+    transforms = F.array(*[F.lit(t) for t in fixed.TRANSFORMS])
+
+    def named(slots: DataFrame) -> DataFrame:
+        """Slots with the names they stand for; ``step`` counts the transforms passed over."""
+        at = slots.withColumn("transform", F.get(transforms, ((F.col("t0") + F.col("step")) % len(fixed.TRANSFORMS)).cast("int")))
+        at = at.withColumn("k", F.pmod(F.col("k0") + F.col("jump"), F.col("n")) + 1)
+        return at.join(numbered, ["category", "k"]).withColumn("new_name", name)
+
+    first = named(draws.withColumn("step", F.lit(0)).withColumn("jump", F.lit(0).cast("bigint")))
+    marked = first.join(taken.withColumn("_taken", F.lit(True)).distinct(), ["category", "new_name"], "left")
+    marked = stored(marked, "draws")
+    columns = ["category", "i", "source", "transform", "new_name"]
+    plan = marked.filter("_taken IS NULL").select(*columns)
+    # few slots collide; every round gives the rest all transforms of one more image
+    rest, jump = marked.filter("_taken").select("category", "i", "n", "k0", "t0"), 0
+    while not rest.isEmpty():
+        steps = F.explode(F.sequence(F.lit(0 if jump else 1), F.lit(len(fixed.TRANSFORMS) - 1)))
+        tried = named(rest.filter(F.col("n") > jump).withColumn("step", steps).withColumn("jump", F.lit(jump).cast("bigint")))
+        free = tried.join(taken, ["category", "new_name"], "left_anti")
+        got = free.groupBy("category", "i").agg(F.min_by(F.struct("source", "transform", "new_name"), "step").alias("_row"))
+        got = stored(got.select("category", "i", "_row.*"), "slots")
+        plan = plan.unionByName(got)
+        rest = stored(rest.filter(F.col("n") > jump + 1).join(got, ["category", "i"], "left_anti"), "rest")
+        jump += 1
+    return plan

@@ -9,8 +9,8 @@ from hemline.session import stored
 
 # A group up to this many rows is sorted by one task; larger groups are split over the whole cluster.
 HOT_ROWS = 2_000_000
-# A lookup table up to this many rows is sent to every executor; larger ones are joined by shuffle.
-SMALL_ROWS = 100_000
+# A lookup table up to this many rows and bytes is sent to every executor; larger ones are joined by shuffle.
+SMALL_ROWS, SMALL_BYTES = 100_000, 16 << 20
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -20,8 +20,13 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
 
 
 def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when it is known to be small; leave the join strategy open otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Mark ``df`` for broadcast when it is known to be small; leave the join strategy open otherwise.
+
+    Bytes are those of the rows written as text, counted over no more than ``rows`` + 1 of them.
+    """
+    width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    size = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= rows and size["b"] <= SMALL_BYTES else df
 
 
 def attach(left: DataFrame, facts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -138,8 +143,21 @@ def ranked(
     return Ordered(df, keys, order, hot_rows, split).rank(name).done()
 
 
-def first_n(df: DataFrame, keys: list[str], order: list, n: int, name: str = "rank") -> DataFrame:
-    """First ``n`` rows of each group. Each task keeps only its own first ``n`` before the shuffle."""
+# Spark cuts a group to its first rows inside each task up to this many (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+
+
+def first_n(
+    df: DataFrame, keys: list[str], order: list, n: int, name: str = "rank", hot_rows: int = HOT_ROWS,
+    split: bool | None = None,
+) -> DataFrame:
+    """First ``n`` rows of each group.
+
+    Up to ``GROUP_LIMIT`` each task keeps only its own first ``n`` before the shuffle. More are ranked with groups of
+    over ``hot_rows`` rows split over the cluster.
+    """
+    if n > GROUP_LIMIT:
+        return ranked(df, keys, order, name, hot_rows, split).filter(F.col(name) <= n).withColumn(name, F.col(name).cast("int"))
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
 

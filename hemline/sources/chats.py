@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHAT = "id string, title string, user_id string, created_at timestamp, updated_at timestamp"
@@ -23,9 +23,14 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_messages(df: DataFrame, path: str) -> None:
-    """Append valid messages, one folder per day; a filter on ``day`` reads only those folders."""
+    """Append messages, one folder per day; a filter on ``day`` reads only those folders.
+
+    A row with an unknown or missing role or type fails the write, so none is lost unnoticed; see ``valid_messages``.
+    """
+    wrong = F.concat(F.lit("message "), F.coalesce("id", F.lit("?")), F.lit(" has an unknown role or type"))
+    fine = F.coalesce(_is_valid(), F.lit(False))
     (
-        valid_messages(df)
+        df.withColumn("role", F.when(fine, F.col("role")).otherwise(F.raise_error(wrong)))
         .withColumn("day", F.to_date("created_at"))
         .write.mode("append")
         .partitionBy("day")
@@ -33,8 +38,17 @@ def write_messages(df: DataFrame, path: str) -> None:
     )
 
 
+def _is_valid() -> Column:
+    return F.col("role").isin(ROLES) & F.col("message_type").isin(MESSAGE_TYPES)
+
+
 def valid_messages(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("role").isin(ROLES) & F.col("message_type").isin(MESSAGE_TYPES))
+    return df.filter(_is_valid())
+
+
+def rejected_messages(df: DataFrame) -> DataFrame:
+    """Rows that ``write_messages`` would fail on."""
+    return df.filter(~F.coalesce(_is_valid(), F.lit(False)))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

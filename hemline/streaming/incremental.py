@@ -22,10 +22,13 @@ def _folder(root: str, batch_id: int) -> str:
 
 
 def read_state(spark: SparkSession, root: str, schema: str, batch_id: int | None = None) -> DataFrame:
-    """Rows of one batch folder, or of all of them; empty when nothing was written yet."""
-    path = root if batch_id is None else _folder(root, batch_id)
+    """Rows of one batch folder, or of all of them. Empty before the first batch; any other missing folder is an error."""
+    if batch_id is not None:
+        if batch_id < 0:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(_folder(root, batch_id))
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(root)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -62,26 +65,20 @@ def stream_new_items(items: DataFrame, root: str, checkpoint: str) -> None:
 USAGE = "day date, key_id bigint, used bigint"
 
 
-def stream_daily_usage(calls: DataFrame, root: str, checkpoint: str, late: str = "1 day") -> None:
-    """Calls per key and day. Counters start over each day; a day is closed ``late`` after its last call."""
-    daily = (
-        calls.withWatermark("ts", late)
-        .groupBy(F.window("ts", "1 day").alias("w"), "key_id")
-        .agg(F.count(F.lit(1)).alias("used"))
-        .select(F.to_date("w.start").alias("day"), "key_id", "used")
-    )
+def stream_daily_usage(calls: DataFrame, root: str, checkpoint: str) -> None:
+    """Calls per key and day that each batch adds. No state and no watermark: a call counts however late it comes."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_folder(root, batch_id))
+        added = batch.groupBy(F.to_date("ts").alias("day"), "key_id").agg(F.count(F.lit(1)).alias("used"))
+        added.write.mode("overwrite").parquet(_folder(root, batch_id))
 
-    run_available(daily, step, checkpoint, "update")
+    run_available(calls, step, checkpoint)
 
 
 def daily_usage(spark: SparkSession, root: str, cap: int) -> DataFrame:
-    """Latest counters written by :func:`stream_daily_usage`, with the part above the daily cap."""
-    rows = read_state(spark, root, USAGE + ", batch bigint")
-    latest = rows.groupBy("day", "key_id").agg(F.max_by("used", "batch").alias("used"))
-    return latest.withColumn("over_cap", F.greatest(F.col("used") - cap, F.lit(0)))
+    """Counters by key and day from what the batches of :func:`stream_daily_usage` added, with the part above the cap."""
+    used = read_state(spark, root, USAGE).groupBy("day", "key_id").agg(F.sum("used").alias("used"))
+    return used.withColumn("over_cap", F.greatest(F.col("used") - cap, F.lit(0)))
 
 
 FAILURES = "key_id bigint, consecutive bigint, total bigint"
