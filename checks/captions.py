@@ -443,7 +443,7 @@ def _type_of(spark, sf):
 @query(
     "sam_01_weighted_choice",
     "WITH ct(category, content_type, weight, length_spec, pos) AS (VALUES "
-    + sql_values([(c, t, w, s, i) for i, (c, t, w, s) in enumerate(fixed.CONTENT_TYPES)])
+    + sql_values([(c, t, w, s, i) for i, (c, t, w, s) in enumerate(sampling.CONTENT_TYPES)])
     + "), r AS (SELECT *, sum(weight) OVER (PARTITION BY category ORDER BY pos) AS upto, sum(weight) OVER (PARTITION BY category) "
     "AS total FROM ct), d AS (SELECT doc_id, (["
     + ", ".join(f"'{t}'" for t in fixed.EXAMPLE_TARGETS)
@@ -472,8 +472,7 @@ def _pick_sql(values, tag):
     + ", ".join(
         f"{_pick_sql(v, n)} AS {n}"
         for n, v in (
-            ("clothing", fixed.CLOTHING), ("season", fixed.SEASONS), ("style", fixed.STYLES),
-            ("platform", fixed.PLATFORMS), ("context", fixed.CONTEXTS), ("template", sampling.DEFAULT_TEMPLATES),
+            *sampling.DEFAULT_CATALOGUE.items(), ("template", sampling.DEFAULT_TEMPLATES),
         )
     )
     + " FROM e) SELECT category, i, replace(replace(replace(replace(template, '{style}', style), '{clothing}', clothing), "

@@ -19,6 +19,33 @@ DEFAULT_TEMPLATES = [
     "Introduce our {clothing} ({season}) to customers looking for {context}.",
     "Present the {style} {clothing} as the piece of the {season}.",
 ]
+# Own short catalogue of what the placeholders stand for; callers pass theirs.
+DEFAULT_CATALOGUE = {
+    "clothing": ["linen shirt", "denim jacket", "knit cardigan", "silk scarf", "wool coat", "pleated skirt"],
+    "season": ["spring", "summer", "autumn", "winter"],
+    "style": ["plain", "elegant", "playful", "sporty"],
+    "platform": ["photo feed", "short video", "newsletter", "web shop"],
+    "context": ["work", "travel", "evenings", "weekends at home"],
+}
+# Content types by category with the weights of their draws (fixed values); the lengths are our own words.
+CONTENT_TYPES = [
+    ("social_media", "caption", 3, "short"),
+    ("social_media", "engagement_post", 1, "short"),
+    ("product_content", "description", 2, "medium"),
+    ("product_content", "meta_description", 1, "one line"),
+    ("product_content", "category_description", 1, "medium"),
+    ("advertising", "ad_copy", 2, "short, with a headline"),
+    ("advertising", "sale_promo", 1, "short"),
+    ("video_creative", "reel_idea", 2, "medium, scene by scene"),
+    ("video_creative", "story_content", 1, "medium"),
+    ("campaigns", "campaign_idea", 2, "long"),
+    ("campaigns", "launch_announcement", 1, "medium"),
+    ("email_marketing", "email", 2, "medium, with a subject"),
+    ("email_marketing", "whatsapp_broadcast", 1, "short"),
+    ("brand_strategy", "slogan", 1, "one line each"),
+    ("brand_strategy", "influencer_brief", 1, "long"),
+    ("brand_strategy", "marketing_copy", 2, "medium"),
+]
 
 
 def _tag(seed: str, name: str, key: Column) -> Column:
@@ -30,7 +57,7 @@ def _pick(values: list[str], seed: str, name: str, key: Column) -> Column:
 
 
 def weighted_choice(
-    df: DataFrame, key: Column, content_types=fixed.CONTENT_TYPES, seed: str = "42", category: str = "category"
+    df: DataFrame, key: Column, content_types=CONTENT_TYPES, seed: str = "42", category: str = "category"
 ) -> DataFrame:
     """Draw a content type within each row's category, by weight. The catalogue is a constant, so no join."""
     choice, length = [], []
@@ -47,7 +74,8 @@ def weighted_choice(
 
 
 def generate_instructions(
-    targets: DataFrame, templates: list[str] = DEFAULT_TEMPLATES, seed: str = "42", content_types=fixed.CONTENT_TYPES
+    targets: DataFrame, templates: list[str] = DEFAULT_TEMPLATES, seed: str = "42", content_types=CONTENT_TYPES,
+    catalogue: dict[str, list[str]] = DEFAULT_CATALOGUE,
 ) -> DataFrame:
     """``target`` instruction rows per category, with content type, filled template and their metadata.
 
@@ -56,11 +84,7 @@ def generate_instructions(
     rows = repeated(targets.select("category", "target"), "target", "i")
     key = F.concat_ws("|", "category", F.col("i").cast("string"))
     rows = weighted_choice(rows, key, content_types, seed)
-    picks = {
-        "clothing": fixed.CLOTHING, "season": fixed.SEASONS, "style": fixed.STYLES,
-        "platform": fixed.PLATFORMS, "context": fixed.CONTEXTS,
-    }
-    for name, values in picks.items():
+    for name, values in catalogue.items():
         rows = rows.withColumn(name, _pick(values, seed, name, key))
     filled = text.fill_template(
         _pick(templates, seed, "template", key),

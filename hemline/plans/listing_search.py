@@ -22,6 +22,12 @@ def search_listings(pages: DataFrame) -> DataFrame:
     )
 
 
+def _contact(details):
+    """Value of the detail named contact, in any case."""
+    named = F.filter(F.map_entries(details), lambda e: F.lower(e["key"]) == "contact")
+    return F.get(named, F.lit(0))["value"]
+
+
 def listing_reports(
     requests: DataFrame, pages: DataFrame, details: DataFrame, base: str, top: int = 5, contacts: int = 3
 ) -> DataFrame:
@@ -48,7 +54,7 @@ def listing_reports(
     # only the detail pages of the first listings are worth parsing
     wanted = first_n(found, ["query"], ORDER, contacts).select(F.col("detail_url").alias("url")).distinct()
     known = extract_details(details.join(wanted, "url", "left_semi").select("page_id", "url", "html")).select(
-        "detail_url", F.try_element_at("details", F.lit("Contact")).alias("contact")
+        "detail_url", _contact(F.col("details")).alias("contact")
     )
     listings = enrich_top(found, known, ["query"], ORDER, contacts, "listing_id", "detail_url", "contact")
     return render_listing_report(listings, queries, ORDER, top)

@@ -30,7 +30,7 @@ def city_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "city string, slug string, lat double, lon double, pos int")
 
 
-def content_type_dim(spark: SparkSession, content_types=fixed.CONTENT_TYPES) -> DataFrame:
+def content_type_dim(spark: SparkSession, content_types: list[tuple]) -> DataFrame:
     rows = [(c, t, w, length, i) for i, (c, t, w, length) in enumerate(content_types)]
     return spark.createDataFrame(
         rows, "category string, content_type string, weight int, length string, pos int"

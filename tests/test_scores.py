@@ -7,6 +7,7 @@ from hemline.functions import fixed
 from hemline.operators import joins, runs, sampling, scoring
 from hemline.plans.captioning import daily_captioning_plan
 from hemline.sources.dims import rule_dim
+from tests.rules import CONSTRAINT_RULES, COVERAGE_RULES
 
 
 def responses(spark, pairs):
@@ -15,7 +16,7 @@ def responses(spark, pairs):
 
 def test_coverage_counts_substrings(spark):
     df = responses(spark, [("product_description", "Soft FABRIC for women, a moment of summer"), ("slogan", ""), ("ad_copy", "luxury pashmina")])
-    got = {r.test: (r.score, r.found, r.n_words) for r in scoring.coverage_score(df, rule_dim(spark, fixed.COVERAGE_RULES)).collect()}
+    got = {r.test: (r.score, r.found, r.n_words) for r in scoring.coverage_score(df, rule_dim(spark, COVERAGE_RULES)).collect()}
     assert got["product_description"] == (50.0, ["fabric", "summer", "men"], 8)
     assert got["slogan"] == (0.0, [], 0)
     assert got["ad_copy"][0] == pytest.approx(40.0)
@@ -37,7 +38,7 @@ def test_diversity(spark):
 
 def test_constraints(spark):
     df = responses(spark, [("winter_men", "winter wool waistcoat"), ("summer_women", "summer lawn winter wool khaddar shawl"), ("summer_men", "cotton only")])
-    got = {r.test: (round(r.score, 2), r.band) for r in scoring.constraint_score(df, rule_dim(spark, fixed.CONSTRAINT_RULES)).collect()}
+    got = {r.test: (round(r.score, 2), r.band) for r in scoring.constraint_score(df, rule_dim(spark, CONSTRAINT_RULES)).collect()}
     assert got == {"winter_men": (100.0, "pass"), "summer_women": (0.0, "fail"), "summer_men": (50.0, "warn")}
 
 

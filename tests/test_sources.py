@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from hemline.functions import fixed
-from hemline.operators import balance, images
+from hemline.operators import balance, images, sampling
 from hemline.sources import captions, dims, examples, reports
 from hemline.sources import images as image_files
+from tests.rules import CONSTRAINT_RULES
 
 
 def write_png(path, width, height, channels, color):
@@ -156,6 +157,6 @@ def test_capacity(spark):
 def test_dims(spark):
     assert dims.media_dim(spark).count() == 35 and dims.transform_dim(spark).count() == 33
     assert dims.city_dim(spark).filter("lat IS NOT NULL").count() == 10
-    assert dims.content_type_dim(spark).agg(F.sum("weight")).first()[0] == 24
+    assert dims.content_type_dim(spark, sampling.CONTENT_TYPES).agg(F.sum("weight")).first()[0] == 24
     assert dims.tool_dim(spark).filter("required").count() == 5
-    assert dims.rule_dim(spark, fixed.CONSTRAINT_RULES).filter("test = 'winter_men'").first().must_not == ["summer", "lawn", "cotton kurta"]
+    assert dims.rule_dim(spark, CONSTRAINT_RULES).filter("test = 'winter_men'").first().must_not == ["summer", "lawn", "cotton kurta"]
