@@ -41,13 +41,14 @@ def latest_checkpoint(checkpoints: DataFrame) -> DataFrame:
 def failure_runs(
     calls: DataFrame, order: list[str], max_consecutive: int = 10, max_total: int = 50,
     hot_rows: int = HOT_ROWS, key: str = "key_id",
+    split: bool | None = None,
 ) -> DataFrame:
     """Running failures per key: in a row (a success starts over) and in total.
 
     ``stop`` names the limit reached, consecutive before total; ``first_stop`` marks the row a key stops at.
     """
     fail = F.when(F.col("ok"), 0).otherwise(1)
-    rows = Ordered(calls, [key], order, hot_rows).running(total_failures=("sum", fail.cast("bigint")))
+    rows = Ordered(calls, [key], order, hot_rows, split).running(total_failures=("sum", fail.cast("bigint")))
     rows.running(_base=("max", F.when(F.col("ok"), F.col("total_failures"))))
     in_a_row = F.col("total_failures") - F.coalesce("_base", F.lit(0))
     rows.df = rows.df.withColumn("consecutive", in_a_row).drop("_base")
@@ -61,10 +62,19 @@ def failure_runs(
 
 
 def running_mean_loss(
-    steps: DataFrame, order: list[str], key: str = "run", hot_rows: int = HOT_ROWS
+    steps: DataFrame, order: list[str], key: str = "run", hot_rows: int = HOT_ROWS, split: bool | None = None
 ) -> DataFrame:
-    """Mean loss of a run up to each step; other columns such as the learning rate stay."""
-    rows = Ordered(steps, [key], order, hot_rows).running(
-        _sum=("sum", F.col("loss")), step_no=("sum", F.lit(1).cast("bigint"))
+    """Mean loss of a run up to each step; other columns such as the learning rate stay.
+
+    Losses are summed as decimals with twelve places, so the result does not depend on how the rows were divided.
+    From a loss on that is no finite number the mean is NaN.
+    """
+    loss = F.col("loss").cast("double")
+    wrong = F.isnan(loss) | (F.abs(loss) == float("inf"))
+    rows = Ordered(steps, [key], order, hot_rows, split).running(
+        _sum=("sum", F.when(~wrong, loss).try_cast("decimal(27,12)")),
+        _wrong=("sum", F.when(wrong, 1).otherwise(0).cast("bigint")),
+        step_no=("sum", F.lit(1).cast("bigint")),
     )
-    return rows.done().withColumn("avg_loss", F.col("_sum") / F.col("step_no")).drop("_sum")
+    mean = F.when(F.col("_wrong") > 0, float("nan")).otherwise(F.col("_sum").cast("double") / F.col("step_no"))
+    return rows.done().withColumn("avg_loss", mean).drop("_sum", "_wrong")

@@ -6,14 +6,14 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import compare
+from checks.registry import ORACLES, QUERIES
 
 SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
-ORACLES = entry.oracle_sql()
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, name):
-    fn = entry.queries()[name]
+    fn = entry._prepared(QUERIES[name])
     if name in ORACLES:
         assert compare(spark, SF, fn, ORACLES[name]) == ""
     else:

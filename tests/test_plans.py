@@ -2,11 +2,19 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from checks.registry import QUERIES
+from hemline.operators import runs, scale
+
+import __spark_entry__  # noqa: E402, F401 - registers the queries
 
 SF = "/root/testdata/sf0.001"
-PYTHON_JOBS = ("listing_search", "ext_01", "ext_02", "sam_05", "sam_06", "sam_07")
-WRITES_FIRST = ("str_", "src_01", "src_02", "src_04", "src_05", "src_06", "src_13", "win_09_failure_runs_split")
+PYTHON_JOBS = (
+    "listing_search", "ext_01", "ext_02", "ext_03", "ext_04", "set_03", "set_04", "sam_05", "sam_06", "sam_07",
+)
+WRITES_FIRST = (
+    "str_", "src_01", "src_02", "src_04", "src_05", "src_06", "src_09", "src_10", "src_11", "src_12", "src_13",
+    "win_09_failure_runs_split",
+)
 
 
 def plan(df) -> str:
@@ -15,7 +23,7 @@ def plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {n: plan(fn(spark, SF)) for n, fn in entry.queries().items() if not n.startswith(WRITES_FIRST)}
+    return {n: plan(fn(spark, SF)) for n, fn in QUERIES.items() if not n.startswith(WRITES_FIRST)}
 
 
 def test_no_cross_joins(plans):
@@ -51,3 +59,33 @@ def test_top_n_is_cut_before_the_shuffle(plans):
 def test_small_tables_are_broadcast(plans):
     for name in ("agg_09_coverage_score", "agg_11_constraint_score", "join_10_lookup", "src_14_city_dim"):
         assert "BroadcastHashJoin" in plans[name], name
+
+
+def test_many_first_rows_never_sort_a_whole_category(spark):
+    items = spark.range(4000).selectExpr("concat('c', id % 2) AS category", "lpad(id, 6, '0') AS filename")
+    few = plan(scale.first_n(items, ["category"], ["filename"], 1000))
+    assert "WindowGroupLimit" in few
+    many = scale.first_n(items, ["category"], ["filename"], 1500, hot_rows=100)
+    assert "_slab" in plan(many) and "WindowGroupLimit" not in plan(many)
+    assert sorted(r["rank"] for r in many.collect()) == sorted([*range(1, 1501)] * 2)
+    plain = scale.first_n(items, ["category"], ["filename"], 1500, split=False)
+    assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in many.collect()}
+
+
+def test_no_job_while_building_when_the_split_is_known(spark):
+    calls = spark.range(100).selectExpr("id % 3 AS key_id", "timestamp_seconds(id) AS ts", "id AS event_id", "id % 2 = 0 AS ok")
+    before = _jobs(spark)
+    runs.failure_runs(calls, ["ts", "event_id"], 3, 12, split=False)
+    scale.ranked(calls, ["key_id"], ["ts"], "n", split=False)
+    assert _jobs(spark) == before
+
+
+def test_running_means_agree_exactly_however_rows_are_divided(spark):
+    steps = spark.range(500).selectExpr("id % 2 AS run", "id AS step", "pow(1.37, id % 91) / 3 AS loss")
+    one = runs.running_mean_loss(steps, ["step"], split=False).collect()
+    many = runs.running_mean_loss(steps, ["step"], split=True).collect()
+    assert sorted((r["run"], r["step"], r["avg_loss"]) for r in one) == sorted((r["run"], r["step"], r["avg_loss"]) for r in many)
+
+
+def _jobs(spark) -> int:
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))

@@ -94,8 +94,27 @@ def test_split_has_no_leak_and_plan_stays_within_quota(spark):
     done = items.filter("filename < '00100'").select("filename")
     plan = daily_captioning_plan(items, done, ["a", "b"], quota=50, n_keys=3, batch=10)
     per = {r.category: (r.n, r.k) for r in plan.groupBy("category").agg(F.count("*").alias("n"), F.max("key_id").alias("k")).collect()}
-    # 34 and 66 captioned: the gap of 32 goes to a, the rest is shared; 30 fit on three keys
-    assert per == {"a": (30, 2), "b": (9, 0)}
+    # 34 and 66 captioned: the gap of 32 goes to a, the rest is shared; 30 fit on three keys, the others have none
+    assert per == {"a": (41, 2), "b": (9, 0)}
+    assert plan.filter("key_id IS NULL").count() == 11
+
+    many = daily_captioning_plan(items, done, ["a", "b"], quota=5000, n_keys=3, batch=10)
+    assert many.select("filename").distinct().count() == many.count() == 300
+
+
+def test_augmentation_plan_meets_the_need_whatever_is_taken(spark):
+    from hemline.functions import fixed
+
+    images = [("c", "i0.jpg"), ("c", "i1.jpg")]
+    # all names of slots 0 to 2 exist already for the first image, all but one of slot 3 for both
+    names = [("c", f"i0_aug_{i}_{t}.jpg") for i in range(3) for t in fixed.TRANSFORMS]
+    names += [("c", f"i{k}_aug_3_{t}.jpg") for k in (0, 1) for t in list(fixed.TRANSFORMS)[1:]]
+    n = len(images) + len(names)
+    have = spark.createDataFrame(images + names, "category string, filename string")
+    counts = spark.createDataFrame([("c", 0, n)], "category string, pos int, n bigint")
+    plan = sampling.augmentation_plan(have, counts, n + 6).collect()
+    assert sorted(r.i for r in plan) == list(range(6))
+    assert not {r.new_name for r in plan} & {f for _, f in images + names}
 
 
 def test_augmentation_plan_draws_again_once(spark):
