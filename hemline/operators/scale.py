@@ -90,7 +90,8 @@ class Ordered:
         if self.split:
             df = _join_null_safe(df, self._carried(values, fold), [*self.keys, "_slab"])
             for name, (how, _) in values.items():
-                before = F.col(f"_{name}")
+                # in the column's own type: decimals added in a wider one would lose places
+                before = F.col(f"_{name}").cast(df.schema[name].dataType)
                 if how == "sum":
                     both = F.coalesce(F.col(name) + before, F.col(name), before)
                 else:
