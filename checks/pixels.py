@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import query, table
+from checks.registry import query, quote, table
 from hemline.functions import fixed
 from hemline.operators import images
 from hemline.operators.scale import draw
@@ -95,26 +95,58 @@ def _(spark, sf):
     return _checked(images.augment_images(plan))
 
 
-@query("sam_05_augment_images")
+_BUCKET = "('0x' || substr(md5({0}), 1, 8))::bigint"
+
+
+@query(
+    "sam_05_augment_images",
+    "SELECT vec_id, (" + "[" + ", ".join(quote(t) for t in fixed.TRANSFORMS) + "])[" + _BUCKET.format("vec_id::varchar")
+    + f" % {len(fixed.TRANSFORMS)} + 1] AS transform, CASE WHEN vec_id % 50 <> 49 THEN len(embedding) // 8 * 24 END AS n_bytes FROM embeddings",
+)
 def _(spark, sf):
     names = F.array(*[F.lit(t) for t in fixed.TRANSFORMS])
     drawn = F.get(names, draw(F.col("vec_id").cast("string"), len(fixed.TRANSFORMS)))
     out = images.augment_images(_images(spark, sf).withColumn("transform", drawn))
-    return out.select("vec_id", "transform", F.length("pixels").alias("n_bytes"))
+    return out.select("vec_id", "transform", F.length("pixels").cast("bigint").alias("n_bytes"))
 
 
-@query("sam_06_augment_random")
+def _drawn(tag: str, value: str) -> str:
+    """SQL of a step taken with chance one half; U in ``value`` is the second draw."""
+    unit = lambda t: "(" + _BUCKET.format(f"'42|strong|{t}|' || vec_id") + " / 4294967296.0)"
+    return f"round(CASE WHEN {unit(tag)} < 0.5 THEN {value.replace('U', unit(tag + '-value'))} END, 6)"
+
+
+@query(
+    "sam_06_augment_random",
+    f"SELECT vec_id, {_drawn('rotate', '(U * 2 - 1) * 30')} AS angle, {_drawn('bright', '1 + (U * 2 - 1) * 0.4')} AS brightness, "
+    f"{_drawn('contrast', '1 + (U * 2 - 1) * 0.3')} AS contrast, CASE WHEN vec_id % 50 <> 49 THEN len(embedding) // 8 * 24 END AS n_bytes FROM embeddings",
+)
 def _(spark, sf):
     plan = images.random_plan(_images(spark, sf), "strong", F.col("vec_id"))
     out = images.augment_random(plan)
-    return out.select("vec_id", "angle", "brightness", "contrast", F.length("pixels").alias("n_bytes"))
+    drawn = [F.round(c, 6).alias(c) for c in ("angle", "brightness", "contrast")]
+    return out.select("vec_id", *drawn, F.length("pixels").cast("bigint").alias("n_bytes"))
 
 
 @query(
     "sam_07_prepare_images",
-    f"WITH {_GRAY}, m AS (SELECT vec_id, h, round(avg(v / 127.5 - 1) + 1e-5, 3) AS mean FROM p JOIN (SELECT DISTINCT vec_id, h FROM g) USING (vec_id) GROUP BY ALL) SELECT vec_id, true AS ok, 192::bigint AS n, mean FROM m WHERE h = 8 UNION ALL SELECT vec_id, false, 192, 0 FROM embeddings WHERE vec_id % 50 = 49",
+    f"WITH {_GRAY}, m AS (SELECT vec_id, h, round(avg(v / 127.5 - 1) + 1e-5, 3) AS mean FROM p JOIN (SELECT DISTINCT vec_id, h FROM g) USING (vec_id) GROUP BY ALL) SELECT vec_id, true AS ok, 192::bigint AS n, mean FROM m UNION ALL SELECT vec_id, false, 192, 0 FROM embeddings WHERE vec_id % 50 = 49",
 )
 def _(spark, sf):
-    rows = images.prepare_images(_images(spark, sf).filter("height IN (8, -1)"), 8)
+    rows = images.prepare_images(_images(spark, sf), 8)
     mean = F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / F.size("values")
     return rows.select("vec_id", "ok", F.size("values").cast("bigint").alias("n"), F.round(F.when(F.col("ok"), mean + 1e-5).otherwise(0.0), 3).alias("mean"))
+
+
+@query(
+    "sam_07_resize_plain_images",
+    "SELECT vec_id, vec_id % 50 <> 49 AS ok, 48::bigint AS n, CASE WHEN vec_id % 50 <> 49 THEN round((vec_id % 256) / 127.5 - 1, 4) ELSE 0 END AS low, CASE WHEN vec_id % 50 <> 49 THEN round((vec_id % 256) / 127.5 - 1, 4) ELSE 0 END AS high FROM embeddings",
+)
+def _(spark, sf):
+    """Images of one shade made smaller: every value must still be that shade."""
+    shade = F.lpad(F.hex(F.col("vec_id") % 256), 2, "0")
+    plain = _images(spark, sf).withColumn("data", F.unhex(F.repeat(shade, F.lit(8) * F.greatest("height", F.lit(0)))))
+    rows = images.prepare_images(plain, 4)
+    low, high = (F.round(f("values").cast("double"), 4) for f in (F.array_min, F.array_max))
+    zero = lambda c: F.when(F.col("ok"), c).otherwise(0.0)
+    return rows.select("vec_id", "ok", F.size("values").cast("bigint").alias("n"), zero(low).alias("low"), zero(high).alias("high"))
