@@ -21,7 +21,7 @@ from hemline.llm.pieces import LETTER, NUMBER, OTHER, SPACE, WHITE, Splitter, Wo
 # Words longer than this contract all places of their lowest pair in a step, not only the leftmost.
 LONG = 64
 # Words worked on in one recursive query, and steps before the rows of unfinished long words start a new one.
-WORDS, STEPS = 50_000, 32
+WORDS, STEPS = 20_000, 32
 
 _CONTRACT = """
 WITH RECURSIVE state AS (
@@ -91,7 +91,7 @@ class Coder:
             (ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
         ]
         a, b, made = (pa.array(x, pa.int32()) for x in zip(*rows))
-        self._db = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "400MB", "temp_directory": ""})
+        self._db = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "300MB", "temp_directory": ""})
         merges = pa.table({"a": a, "b": b, "made": made})  # noqa: F841 - read by name
         self._db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         vocabulary = pa.table(  # noqa: F841 - read by name; each byte stands as the character of its number

@@ -113,7 +113,7 @@ class WordCache:
     At most ``most`` words stay; beyond that the half used longest ago goes. Keys are held sorted, in plain arrays.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
         self._encode, self._most, self._clock = encode, most, 0
         self._key, self._row = np.empty(0, np.uint64), np.empty(0, np.int32)
         self._values = np.empty(0, np.int32)
