@@ -64,12 +64,14 @@ def _after(c: Column, tag: Column) -> Column:
 
 
 def _call(tool: Column, body: Column, known: Column) -> Column:
-    top = F.from_json(body, "map<string,string>", NO_REPAIR)
-    name = F.coalesce(tool, F.try_element_at(top, F.lit("name")))
-    params = F.from_json(F.try_element_at(top, F.lit("parameters")), "map<string,string>", NO_REPAIR)
-    flat = F.map_filter(top, lambda k, v: ~k.isin("name", "parameters"))
-    good = F.coalesce(F.size(top) > 0, F.lit(False)) & F.array_contains(known, name)
-    return F.when(good, F.struct(name.alias("tool"), F.coalesce(params, flat).alias("params")))
+    def read(top: Column) -> Column:
+        name = F.coalesce(tool, F.try_element_at(top, F.lit("name")))
+        params = F.from_json(F.try_element_at(top, F.lit("parameters")), "map<string,string>", NO_REPAIR)
+        flat = F.map_filter(top, lambda k, v: ~k.isin("name", "parameters"))
+        good = F.coalesce(F.size(top) > 0, F.lit(False)) & F.array_contains(known, name)
+        return F.when(good, F.struct(name.alias("tool"), F.coalesce(params, flat).alias("params")))
+
+    return text.let(F.from_json(body, "map<string,string>", NO_REPAIR), read)  # parsed once
 
 
 def tool_defaults(calls: DataFrame, message: str = "message") -> DataFrame:
