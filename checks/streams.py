@@ -94,4 +94,4 @@ def _(spark, sf):
         F.concat(F.lit("u"), (F.col("event_id") % 10).cast("string")).alias("user_id"), "ts", F.col("event_id").alias("seq"),
     )
     inc.stream_chat_state(log, f"{root}/data", f"{root}/checkpoint")
-    return shown_chats(inc.latest_batch(spark, f"{root}/data", inc.CHATS))
+    return shown_chats(inc.chat_state(spark, f"{root}/data"))

@@ -1,19 +1,20 @@
 """Daily loops with saved state as streams. State lives in tables with one folder per micro-batch.
 
 A batch reads the state the previous batch left and writes its own folder, so a batch that is run again after a
-failure overwrites its own output and nothing else.
+failure overwrites its own output and nothing else. State by key lies in buckets: a batch reads and writes only the
+buckets its keys fall in, and a short list names the version of each bucket that holds after it.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hemline.operators.balance import balance_gaps
 from hemline.operators.chats import apply_changes
 from hemline.operators.runs import failure_runs
-from hemline.operators.scale import attach
+from hemline.operators.scale import HOT_ROWS, attach
 from hemline.sources.dims import category_dim
 
 
@@ -47,6 +48,45 @@ def run_available(stream: DataFrame, each_batch, checkpoint: str, mode: str = "a
     )
 
 
+BUCKETS = 32
+VERSIONS = "bucket int, version bigint"
+
+
+def bucket_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
+
+
+def _touched(batch: DataFrame, key: str) -> tuple[list[int], int]:
+    """Buckets the keys of a batch fall in (at most ``BUCKETS`` numbers) and the rows of its largest key."""
+    counts = batch.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    seen = counts.groupBy(bucket_of(key).alias("b")).agg(F.max("n").alias("n")).collect()
+    return sorted(r["b"] for r in seen), max((r["n"] for r in seen), default=0)
+
+
+def _versions(spark: SparkSession, root: str, batch_id: int) -> dict[int, int]:
+    rows = read_state(spark, f"{root}/versions", VERSIONS, batch_id).collect()
+    return {r["bucket"]: r["version"] for r in rows}
+
+
+def read_buckets(spark: SparkSession, root: str, schema: str, batch_id: int, buckets: list[int] | None = None) -> DataFrame:
+    """State after a batch, all of it or some buckets."""
+    held = _versions(spark, root, batch_id)
+    paths = [f"{root}/version={v}/bucket={b}" for b, v in sorted(held.items()) if buckets is None or b in buckets]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def write_buckets(state: DataFrame, root: str, key: str, batch_id: int, buckets: list[int]) -> None:
+    """New versions of ``buckets``; ``state`` is all that they hold now. Others keep theirs."""
+    spark = state.sparkSession
+    held = {b: v for b, v in _versions(spark, root, batch_id - 1).items() if b not in buckets}
+    folder = f"{root}/version={batch_id}"
+    state.withColumn("bucket", bucket_of(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    filled = spark.read.schema("bucket int").parquet(folder).select("bucket").distinct().collect()
+    held |= {r["bucket"]: batch_id for r in filled}
+    versions = spark.createDataFrame(sorted(held.items()), VERSIONS)
+    versions.coalesce(1).write.mode("overwrite").parquet(_folder(f"{root}/versions", batch_id))
+
+
 LEDGER = "item string, first_seen timestamp"
 
 
@@ -55,9 +95,11 @@ def stream_new_items(items: DataFrame, root: str, checkpoint: str) -> None:
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = read_state(spark, root, LEDGER + ", batch bigint").filter(F.col("batch") != batch_id)
+        here = F.col("bucket").isin(_touched(batch, "item")[0])  # folders of other buckets are not opened
+        seen = read_state(spark, root, LEDGER + ", batch bigint, bucket int").filter(here & (F.col("batch") != batch_id))
         new = batch.groupBy("item").agg(F.min("ts").alias("first_seen")).join(seen, "item", "left_anti")
-        new.write.mode("overwrite").parquet(_folder(root, batch_id))
+        rows = new.withColumn("bucket", bucket_of("item")).repartition("bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(_folder(root, batch_id))
 
     run_available(items, step, checkpoint)
 
@@ -98,15 +140,18 @@ def stream_failure_runs(
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()  # read several times below; lost blocks are read again from the source
-        before = read_state(spark, state_root, FAILURES, batch_id - 1).select(
+        touched, largest = _touched(batch, "key_id")
+        hot = largest > HOT_ROWS
+        meet = (lambda a, b: attach(a, b, "key_id")) if hot else (lambda a, b: a.join(b, "key_id", "left"))
+        before = read_buckets(spark, state_root, FAILURES, batch_id - 1, touched).select(
             "key_id", F.col("consecutive").alias("c0"), F.col("total").alias("t0")
         )
         stopped = read_state(spark, stop_root, STOPS + ", batch bigint").filter(F.col("batch") != batch_id)
-        rows = failure_runs(batch, ["ts", "event_id"], max_consecutive, max_total)
-        rows = attach(rows, before, "key_id").na.fill({"c0": 0, "t0": 0})
+        rows = failure_runs(batch, ["ts", "event_id"], max_consecutive, max_total, split=hot)
+        rows = meet(rows, before).na.fill({"c0": 0, "t0": 0})
         at = F.struct("ts", "event_id")
         first_ok = rows.filter("ok").groupBy("key_id").agg(F.min(at).alias("ok_at"))
-        rows = attach(rows, first_ok, "key_id")
+        rows = meet(rows, first_ok)
         no_success_yet = F.coalesce(at < F.col("ok_at"), F.lit(True))
         rows = rows.withColumn(
             "consecutive", F.col("consecutive") + F.when(no_success_yet, F.col("c0")).otherwise(0)
@@ -123,7 +168,7 @@ def stream_failure_runs(
         kept = before.join(now, "key_id", "left_anti").select(
             "key_id", F.col("c0").alias("consecutive"), F.col("t0").alias("total")
         )
-        now.unionByName(kept).write.mode("overwrite").parquet(_folder(state_root, batch_id))
+        write_buckets(now.unionByName(kept), state_root, "key_id", batch_id, touched)
         batch.unpersist()
 
     run_available(calls, step, checkpoint)
@@ -155,15 +200,24 @@ CHATS = "id string, title string, user_id string, created_at timestamp, updated_
 
 
 def stream_chat_state(log: DataFrame, root: str, checkpoint: str) -> None:
-    """Chat table after every batch of the change log."""
+    """Chat table after every batch of the change log, in buckets by chat; read it with :func:`chat_state`."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = read_state(batch.sparkSession, root, CHATS, batch_id - 1)
-        apply_changes(before, batch).write.mode("overwrite").parquet(_folder(root, batch_id))
+        batch = batch.persist()  # read several times; lost blocks are read again from the source
+        touched, _ = _touched(batch, "id")
+        before = read_buckets(batch.sparkSession, root, CHATS, batch_id - 1, touched)
+        write_buckets(apply_changes(before, batch), root, "id", batch_id, touched)
+        batch.unpersist()
 
     run_available(log, step, checkpoint)
 
 
+def chat_state(spark: SparkSession, root: str) -> DataFrame:
+    """Chats after the newest batch."""
+    newest = read_state(spark, f"{root}/versions", VERSIONS + ", batch bigint").agg(F.max("batch").alias("b")).first()["b"]
+    return read_buckets(spark, root, CHATS, -1 if newest is None else newest)
+
+
 def latest_batch(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """State of the newest batch folder."""
     rows = read_state(spark, root, schema + ", batch bigint")

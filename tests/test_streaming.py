@@ -1,7 +1,9 @@
 """Streams over files that arrive one after another must end where the batch job ends."""
 
 import datetime
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from hemline.operators import balance, chats, runs
@@ -77,4 +79,32 @@ def test_chat_state_over_batches(spark, tmp_path, rows):
         arrive(spark, f"{root}/in", f"f{n}", data[n : n + 3], schema)
         inc.stream_chat_state(stream(spark, f"{root}/in", schema), f"{root}/out", f"{root}/cp")
     empty = spark.createDataFrame([], inc.CHATS)
-    assert rows(inc.latest_batch(spark, f"{root}/out", inc.CHATS)) == rows(chats.apply_changes(empty, spark.createDataFrame(data, schema)))
+    assert rows(inc.chat_state(spark, f"{root}/out")) == rows(chats.apply_changes(empty, spark.createDataFrame(data, schema)))
+
+
+def test_a_batch_writes_only_the_buckets_it_touches(spark, tmp_path, rows):
+    root, schema = str(tmp_path), "op string, id string, title string, user_id string, ts timestamp, seq bigint"
+    first = [("insert", f"c{i}", "t", "u", START, i) for i in range(40)]
+    for n, data in enumerate([first, [("update", "c7", "new", "u", START, 99)]]):
+        arrive(spark, f"{root}/in", f"f{n}", data, schema)
+        inc.stream_chat_state(stream(spark, f"{root}/in", schema), f"{root}/out", f"{root}/cp")
+    written = [len([f for f in os.listdir(f"{root}/out/version={v}") if f.startswith("bucket=")]) for v in (0, 1)]
+    assert written[0] > 10 and written[1] == 1
+    state = {r["id"]: r["title"] for r in inc.chat_state(spark, f"{root}/out").collect()}
+    assert state == {f"c{i}": "new" if i == 7 else "t" for i in range(40)}
+
+
+def test_missing_state_is_an_error(spark, tmp_path):
+    assert inc.read_state(spark, f"{tmp_path}/none", inc.CHATS, -1).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        inc.read_state(spark, f"{tmp_path}/none", inc.CHATS, 40).count()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        inc.read_buckets(spark, f"{tmp_path}/none", inc.CHATS, 40)
+
+
+def test_late_calls_count(spark, tmp_path, rows):
+    root, schema = str(tmp_path), "ts timestamp, key_id bigint"
+    for name, day in {"a": 9, "b": 1, "c": 30, "d": 1}.items():
+        arrive(spark, f"{root}/in", name, [(START + datetime.timedelta(days=day), 1)] * 2, schema)
+        inc.stream_daily_usage(stream(spark, f"{root}/in", schema), f"{root}/out", f"{root}/cp")
+    assert rows(inc.daily_usage(spark, f"{root}/out", 3), "used", "over_cap") == [(2, 0), (2, 0), (4, 1)]
