@@ -61,7 +61,7 @@ def words(c: Column) -> Column:
 
 
 def n_words(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(rf"[^{WS}]+"))
+    return F.when(c.isNotNull(), F.size(words(c)))  # faster than counting matches, which Spark gathers first
 
 
 # --- captions ---------------------------------------------------------------------------------------------

@@ -48,7 +48,7 @@ def run_available(stream: DataFrame, each_batch, checkpoint: str, mode: str = "a
     )
 
 
-BUCKETS = 32
+BUCKETS = 16
 VERSIONS = "bucket int, version bigint"
 
 
@@ -156,6 +156,7 @@ def stream_failure_runs(
         rows = rows.withColumn(
             "consecutive", F.col("consecutive") + F.when(no_success_yet, F.col("c0")).otherwise(0)
         ).withColumn("total", F.col("total_failures") + F.col("t0"))
+        rows = rows.select("key_id", "ts", "event_id", "consecutive", "total").persist()
         stop = F.when(F.col("consecutive") >= max_consecutive, "consecutive").when(
             F.col("total") >= max_total, "total"
         )
@@ -169,6 +170,7 @@ def stream_failure_runs(
             "key_id", F.col("c0").alias("consecutive"), F.col("t0").alias("total")
         )
         write_buckets(now.unionByName(kept), state_root, "key_id", batch_id, touched)
+        rows.unpersist()
         batch.unpersist()
 
     run_available(calls, step, checkpoint)
