@@ -13,7 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -227,8 +227,6 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataF
 
     docs = blocks.mapInArrow(lambda batches: _documents(batches, columns, names), T.StructType(fields))
     sizes = blocks.select("part", "block", "n_ids")
-    from pyspark.sql import Window
-
     inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     earlier = before_in_order(sizes.groupBy("part").agg(F.sum("n_ids").alias("n")), "part", "n", "_parts").drop("n")
     first = (
