@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import query, spread_table, table
+from checks.registry import choose, query, spread_table, table
 from hemline.functions import text as T
 from hemline.operators import listings, pages
 from hemline.operators.joins import dedupe_ordered
@@ -175,6 +175,18 @@ def _(spark, sf):
     return _pages(spark, sf).select("page_id", picked.alias("image"))
 
 
+_MARKERS = [
+    '<a href="?p=2">Load <b>more</b> results</a><a href="#">Load More</a>', '<a class="pg-Next" href="?p=3">2</a>', '<button class="next disabled">Next</button>',
+    '<button aria-label="Next page">2</button>', "<p>next</p>", '<a href="?p=9">→</a>',
+]
+
+
+@query("ext_04_next_marker", "SELECT page_id, page_id % 6 NOT IN (2, 4) AS has_next FROM pages")
+def _(spark, sf):
+    planted = F.concat(choose(F.col("page_id"), _MARKERS), "html")
+    return pages.with_next_marker(_pages(spark, sf).select("page_id", planted.alias("html"))).select("page_id", "has_next")
+
+
 @query(
     "ext_04_page_flow",
     f"WITH {_LINKS}, st AS (SELECT page_id, page_id % 11 <> 0 AS has_next, CASE WHEN page_id % 3 = 0 THEN 'one large site' ELSE regexp_extract(url, '//([^/]+)/', 1) || page_id % 5 END AS site FROM pages), pg AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id % 11 = 0, page_id) AS page_no FROM st), "

@@ -266,6 +266,22 @@ def extract_image_urls(
     return found.filter(T.keep_url(F.col("url"), includes, excludes))
 
 
+def with_next_marker(pages: DataFrame, out: str = "has_next") -> DataFrame:
+    """Whether a page (html) leads on: a link or button that says next or load more, by its text, class or label, and
+    is not disabled. Feeds ``has_next`` of :func:`page_flow`."""
+    nodes = F.col("_nodes")
+
+    def leads_on(c: Column) -> Column:
+        css = F.coalesce(c["low"], F.lit(""))
+        label = F.lower(F.coalesce(H.attr(c, "aria-label"), F.lit("")))
+        said = F.rlike(H.text_of(H.below(nodes, c), " "), F.lit("(?i)load more|next|→"))
+        return (said | F.contains(css, F.lit("next")) | F.contains(label, F.lit("next page"))) & ~F.contains(css, F.lit("disabled"))
+
+    parsed = pages.withColumn("_nodes", H.placed(H.html_nodes(F.col("html"))))
+    found = F.exists(H.where(nodes, "a", "button"), leads_on)
+    return parsed.withColumn(out, F.coalesce(found, F.lit(False))).drop("_nodes")
+
+
 def page_flow(
     links: DataFrame, idle: int = 3, max_pages: int | None = None, hot_rows: int = HOT_ROWS, split: bool | None = None
 ) -> DataFrame:
