@@ -98,7 +98,12 @@ def mix_rows(
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken. Needs ``doc_id``, ``source`` and ``text``; other columns
-    stay. Rows of one ``doc_id`` are taken as often as the most taken of them."""
-    copies = mix_rows(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    held = without(docs, "_copies").join(copies, "doc_id")
-    return held.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+    stay. Rows that agree in doc_id, source and size, nulls like any value, are taken as often as the most taken of them."""
+    key = ["doc_id", "source", "size"]
+    copies = mix_rows(docs, **options).groupBy(*key).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    copies = copies.select(*[F.col(c).alias(f"_of_{c}") for c in key], "_copies")
+    text = options.get("text", "text")
+    own = {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": text_size(F.col(text))}
+    held = without(docs, "_copies", *[f"_of_{c}" for c in key])
+    both = held.join(copies, [own[c].eqNullSafe(F.col(f"_of_{c}")) for c in key]).drop(*[f"_of_{c}" for c in key])
+    return both.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")

@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from hemline.llm import similar_texts
+from hemline.llm.mixing import mix_rows, mixed
 from hemline.llm.similar_texts import one_of_each_similar
 
 
@@ -60,3 +61,12 @@ def test_stage_takes_copies_with_a_few_changed_words(spark):
         rows.append((i, " ".join(near), "en", "s", 1))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, "").collect()] == [0]
+
+
+def test_mix_takes_rows_with_null_and_repeated_ids(spark):
+    texts = ["no id here", "an id twice", "the same id with some more words in it"]
+    rows = [(None, texts[0], "a"), (1, texts[1], "a"), (1, texts[2], None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    counts = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in mix_rows(docs, share=2.0).collect()}
+    got = [r["text"] for r in mixed(docs, share=2.0).collect()]
+    assert [got.count(t) for t in texts] == [counts[k, s, len(t.split())] for k, t, s in rows] and got.count(texts[0]) > 0
