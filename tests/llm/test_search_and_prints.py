@@ -150,6 +150,15 @@ def test_terms_that_reveal_a_value(spark):
     assert clean[2] == "Dear Quimby of  please write to [EMAIL] for offer 2" and clean[90] == "Quimby was here"
 
 
+def test_terms_of_values_in_one_and_two_documents(spark):
+    told = [(1, "Dear Vexley please write to ann@x.com"), (2, "Dear Morrow please write to bob@x.com"), (3, "Morrow, please: bob@x.com")]
+    plain = [(10 + i, "Dear reader please write to the office") for i in range(500)]
+    df = spark.createDataFrame(told + plain, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in report(df).collect()}
+    assert got[1] == "email:28:37,term:5:11" and got[2] == "email:28:37,term:5:11" and got[3] == "email:16:25,term:0:6"
+    assert not any(got[i] for i, _ in plain)
+
+
 def test_mix_near_targets(spark):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randint(0, 60), "en", rng.choice(["a", "b", "b", "b", "c", "É", None]), 1) for i in range(900)]
