@@ -18,6 +18,7 @@ from hemline.llm.simhash import near_duplicates
 from hemline.llm.token_counts import count_tokens
 from hemline.llm.token_files import token_files
 from hemline.llm.top_k import top_k
+from hemline.llm.whitening import whiten
 
 
 @query("op1_token_counts")
@@ -86,3 +87,9 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of every document, lines deleted as later copies, and the digest of what is left."""
     found = dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_deleted", sha256_hex(F.col("text")).alias("text_sha256"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Up to eight whitened components of every vector. A deviation that no long holds is null."""
+    return whiten(table(spark, sf, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
