@@ -11,6 +11,7 @@ from hemline.llm.edit_fingerprints import edited_neighbours
 from hemline.llm.frames import sha256_hex, table
 from hemline.llm.language import identify_documents
 from hemline.llm.line_dedup import dedup_lines
+from hemline.llm.merkle import verified_manifest
 from hemline.llm.mixing import mix_rows
 from hemline.llm.personal_data import report
 from hemline.llm.registry import query
@@ -93,3 +94,50 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     """Up to eight whitened components of every vector. A deviation that no long holds is null."""
     return whiten(table(spark, sf, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+_MERKLE = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) AS crc,
+    list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR],
+      lambda v: CASE WHEN v IS NULL THEN '-' ELSE strlen(v) || ':' || v END).array_to_string('') AS head
+  FROM documents
+), h AS (
+  SELECT doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':'
+      || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END) END AS shown
+  FROM d
+), l AS (
+  SELECT *, row_number() OVER () AS id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, count(*) OVER (PARTITION BY source) AS size
+  FROM h
+), nodes(tree, lvl, at, size, hash) AS (
+  SELECT tree, 0, at, size, leaf FROM l UNION ALL
+  SELECT tree, lvl + 1, at // 16, any_value((size + 15) // 16), sha256(string_agg(hash, '' ORDER BY at)) FROM nodes WHERE size > 1
+  GROUP BY tree, lvl, at // 16
+), subroots AS (
+  SELECT tree, hash, count(*) OVER () AS trees FROM nodes WHERE size = 1
+), tops(tree, lvl, at, size, hash) AS (
+  SELECT -1, 0, tree, trees, hash FROM subroots UNION ALL
+  SELECT -1, lvl + 1, at // 16, any_value((size + 15) // 16), sha256(string_agg(hash, '' ORDER BY at)) FROM tops WHERE size > 1
+  GROUP BY lvl, at // 16
+), runs AS (
+  SELECT tree, lvl, at // 16 AS run, list(hash ORDER BY at) AS hs FROM (FROM nodes UNION ALL FROM tops) WHERE size > 1 GROUP BY ALL
+), walk(id, tree, lvl, at, size, hash, proof) AS (
+  SELECT id, tree, 0, at, size, coalesce(shown, leaf), '' FROM l UNION ALL
+  SELECT w.id, CASE WHEN w.size > 1 THEN w.tree ELSE -1 END, CASE WHEN w.size > 1 THEN w.lvl + 1 ELSE 0 END,
+    CASE WHEN w.size > 1 THEN w.at // 16 ELSE w.tree END, CASE WHEN w.size > 1 THEN (w.size + 15) // 16 ELSE (SELECT count(*) FROM subroots) END,
+    CASE WHEN w.size > 1 THEN sha256(array_to_string(hs[:w.at % 16] || [w.hash] || hs[w.at % 16 + 2:], '')) ELSE w.hash END,
+    CASE WHEN w.size > 1 THEN w.proof || array_to_string(hs[:w.at % 16] || hs[w.at % 16 + 2:], '') ELSE w.proof END
+  FROM walk w LEFT JOIN runs r ON r.tree = w.tree AND r.lvl = w.lvl AND r.run = w.at // 16 AND w.size > 1 WHERE w.tree >= 0 OR w.size > 1
+)
+SELECT l.doc_id, l.leaf, s.hash AS subroot, t.hash AS root, sha256(w.proof) AS proof_sha256, w.hash AS folded_root, w.hash = t.hash AS verified
+FROM l JOIN subroots s USING (tree) JOIN walk w ON w.id = l.id AND w.tree = -1 AND w.size = 1 JOIN tops t ON t.size = 1
+"""
+
+
+@query("op11_merkle_manifest", _MERKLE)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return verified_manifest(table(spark, sf, "documents"))
