@@ -243,7 +243,7 @@ def proofs(manifest: Manifest, key_type: T.DataType = T.LongType()) -> DataFrame
         ]
         return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in made], names=schema.names)
 
-    fetched = missing(manifest).join(manifest.nodes.drop("size"), ["tree", "level", "at"])
+    fetched = stored(missing(manifest).join(manifest.nodes.drop("size"), ["tree", "level", "at"]), "fetched")
     kept = manifest.leaves.select("chunk", "tree", "at", "size", "doc_id", "leaf", "presented")
     return kept.groupBy("chunk").cogroup(fetched.groupBy("chunk")).applyInArrow(expand, schema)
 

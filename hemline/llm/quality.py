@@ -6,7 +6,7 @@ answer of every filter. The mean and the maximum over the chunks are combined in
 length needs memory for its answers only in slices, so nothing is cut off.
 
 The network is fitted in one task on a bounded sample of labelled rows (``TRAIN_ROWS``) and sent to all others; it has about
-3,000 weights. Through the pooling, errors flow back to one place a chunk and filter.
+3,700 weights. Through the pooling, errors flow back to one place a chunk and filter.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ from pyspark.sql import types as T
 from hemline.llm.frames import map_texts, stored
 
 # Bytes of an embedding row, bytes under a filter, bytes between filter places, filters, filter places of a chunk.
-EMBED, WIDTH, STRIDE, FILTERS, PLACES = 8, 8, 2, 16, 256
+EMBED, WIDTH, STRIDE, FILTERS, PLACES = 8, 8, 2, 24, 256
 PAD = 256  # the code of bytes beyond the end
 # Filter places worked on at once.
 SLICE = 1 << 17
 # Labelled rows the network is fitted on, at most; steps, rows a step and their rate.
-TRAIN_ROWS, STEPS, STEP_ROWS, RATE = 4096, 300, 32, 0.01
+TRAIN_ROWS, STEPS, STEP_ROWS, RATE = 4096, 400, 32, 0.01
 MODEL = "weights array<double>, bias double, rows bigint"
 
 

@@ -14,6 +14,7 @@ from hemline.llm.line_dedup import dedup_lines
 from hemline.llm.merkle import verified_manifest
 from hemline.llm.mixing import mix_rows
 from hemline.llm.personal_data import report
+from hemline.llm.quality import quality_scores
 from hemline.llm.registry import query
 from hemline.llm.simhash import near_duplicates
 from hemline.llm.token_counts import count_tokens
@@ -90,6 +91,11 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_deleted", sha256_hex(F.col("text")).alias("text_sha256"))
 
 
+@query("op12_quality_classifier")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op13_embedding_whitening")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     """Up to eight whitened components of every vector. A deviation that no long holds is null."""
@@ -111,30 +117,30 @@ WITH RECURSIVE d AS (
   FROM d
 ), l AS (
   SELECT *, row_number() OVER () AS id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
-    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, count(*) OVER (PARTITION BY source) AS size
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
   FROM h
-), nodes(tree, lvl, at, size, hash) AS (
-  SELECT tree, 0, at, size, leaf FROM l UNION ALL
-  SELECT tree, lvl + 1, at // 16, any_value((size + 15) // 16), sha256(string_agg(hash, '' ORDER BY at)) FROM nodes WHERE size > 1
-  GROUP BY tree, lvl, at // 16
+), nodes(tree, lvl, pos, n, hash) AS (
+  SELECT tree, 0, pos, n, leaf FROM l UNION ALL
+  SELECT tree, lvl + 1, pos // 16, any_value((n + 15) // 16), sha256(string_agg(hash, '' ORDER BY pos)) FROM nodes WHERE n > 1
+  GROUP BY tree, lvl, pos // 16
 ), subroots AS (
-  SELECT tree, hash, count(*) OVER () AS trees FROM nodes WHERE size = 1
-), tops(tree, lvl, at, size, hash) AS (
+  SELECT tree, hash, count(*) OVER () AS trees FROM nodes WHERE n = 1
+), tops(tree, lvl, pos, n, hash) AS (
   SELECT -1, 0, tree, trees, hash FROM subroots UNION ALL
-  SELECT -1, lvl + 1, at // 16, any_value((size + 15) // 16), sha256(string_agg(hash, '' ORDER BY at)) FROM tops WHERE size > 1
-  GROUP BY lvl, at // 16
+  SELECT -1, lvl + 1, pos // 16, any_value((n + 15) // 16), sha256(string_agg(hash, '' ORDER BY pos)) FROM tops WHERE n > 1
+  GROUP BY lvl, pos // 16
 ), runs AS (
-  SELECT tree, lvl, at // 16 AS run, list(hash ORDER BY at) AS hs FROM (FROM nodes UNION ALL FROM tops) WHERE size > 1 GROUP BY ALL
-), walk(id, tree, lvl, at, size, hash, proof) AS (
-  SELECT id, tree, 0, at, size, coalesce(shown, leaf), '' FROM l UNION ALL
-  SELECT w.id, CASE WHEN w.size > 1 THEN w.tree ELSE -1 END, CASE WHEN w.size > 1 THEN w.lvl + 1 ELSE 0 END,
-    CASE WHEN w.size > 1 THEN w.at // 16 ELSE w.tree END, CASE WHEN w.size > 1 THEN (w.size + 15) // 16 ELSE (SELECT count(*) FROM subroots) END,
-    CASE WHEN w.size > 1 THEN sha256(array_to_string(hs[:w.at % 16] || [w.hash] || hs[w.at % 16 + 2:], '')) ELSE w.hash END,
-    CASE WHEN w.size > 1 THEN w.proof || array_to_string(hs[:w.at % 16] || hs[w.at % 16 + 2:], '') ELSE w.proof END
-  FROM walk w LEFT JOIN runs r ON r.tree = w.tree AND r.lvl = w.lvl AND r.run = w.at // 16 AND w.size > 1 WHERE w.tree >= 0 OR w.size > 1
+  SELECT tree, lvl, pos // 16 AS run, list(hash ORDER BY pos) AS hs FROM (FROM nodes UNION ALL FROM tops) WHERE n > 1 GROUP BY ALL
+), walk(id, tree, lvl, pos, n, hash, proof) AS (
+  SELECT id, tree, 0, pos, n, coalesce(shown, leaf), '' FROM l UNION ALL
+  SELECT w.id, CASE WHEN w.n > 1 THEN w.tree ELSE -1 END, CASE WHEN w.n > 1 THEN w.lvl + 1 ELSE 0 END,
+    CASE WHEN w.n > 1 THEN w.pos // 16 ELSE w.tree END, CASE WHEN w.n > 1 THEN (w.n + 15) // 16 ELSE (SELECT count(*) FROM subroots) END,
+    CASE WHEN w.n > 1 THEN sha256(array_to_string(hs[:w.pos % 16] || [w.hash] || hs[w.pos % 16 + 2:], '')) ELSE w.hash END,
+    CASE WHEN w.n > 1 THEN w.proof || array_to_string(hs[:w.pos % 16] || hs[w.pos % 16 + 2:], '') ELSE w.proof END
+  FROM walk w LEFT JOIN runs r ON r.tree = w.tree AND r.lvl = w.lvl AND r.run = w.pos // 16 AND w.n > 1 WHERE w.tree >= 0 OR w.n > 1
 )
 SELECT l.doc_id, l.leaf, s.hash AS subroot, t.hash AS root, sha256(w.proof) AS proof_sha256, w.hash AS folded_root, w.hash = t.hash AS verified
-FROM l JOIN subroots s USING (tree) JOIN walk w ON w.id = l.id AND w.tree = -1 AND w.size = 1 JOIN tops t ON t.size = 1
+FROM l JOIN subroots s USING (tree) JOIN walk w ON w.id = l.id AND w.tree = -1 AND w.n = 1 JOIN tops t ON t.n = 1
 """
 
 
