@@ -195,7 +195,8 @@ def _(spark, sf):
 
 
 def change_log(spark, sf):
-    """Events as a chat log: id = user, five kinds of events as inserts, title updates and deletes."""
+    """Events as a chat log: id = user, five kinds of events as inserts, title updates and deletes, of three users in turn:
+    most of what is done to a chat is done by users who don't own it."""
     e = table(spark, sf, "events")
     op = (
         F.when(F.col("event_type") == "signup", "insert").when((F.col("event_type") == "error") & (F.col("event_id") % 4 == 0), "delete")
@@ -203,28 +204,31 @@ def change_log(spark, sf):
     )
     return e.select(
         op.alias("op"), F.col("user_id").cast("string").alias("id"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("title"),
-        F.concat(F.lit("u"), (F.col("event_id") % 10).cast("string")).alias("user_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("u"), (F.col("event_id") % 3).cast("string")).alias("user_id"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"),
     )
 
 
 def base_chats(spark, sf):
-    c = table(spark, sf, "customer").withColumn("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).otherwise(F.col("c_custkey") + 10_000_000))
+    c = table(spark, sf, "customer").withColumn("owner", F.concat(F.lit("u"), (F.col("c_custkey") % 4).cast("string")))
+    c = c.withColumn("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).otherwise(F.col("c_custkey") + 10_000_000))
     at = F.lit("2023-12-01 00:00:00").cast("timestamp")
     return c.select(
-        F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.lit("owner").alias("user_id"),
+        F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.col("owner").alias("user_id"),
         at.alias("created_at"), at.alias("updated_at"),
     )
 
 
+# Lives of a chat one after the other: the owner's next delete ends one, the next insert of any user starts one.
 CHANGES = (
-    "log AS (SELECT CASE WHEN event_type = 'signup' THEN 'insert' WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'delete' ELSE 'update' END AS op, user_id::varchar AS id, 't' || event_id AS title, 'u' || (event_id % 10) AS user_id, ts, event_id AS seq FROM events), "
-    "ends AS (SELECT id, max(seq) AS e FROM log WHERE op = 'delete' GROUP BY id), live AS (SELECT log.* FROM log LEFT JOIN ends USING (id) WHERE op <> 'delete' AND seq > coalesce(e, -1)), "
-    "born AS (SELECT id, title, user_id, ts AS created_at, seq AS born FROM live WHERE op = 'insert' QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1), "
-)
-_AFTER = (
-    "up AS (SELECT id, max_by(l.title, seq) AS t, max(ts) AS at FROM live l JOIN alive USING (id) WHERE op = 'update' AND seq > born GROUP BY id) "
-    "SELECT id, coalesce(up.t, title) AS title, user_id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at, strftime(coalesce(up.at, created_at), '%Y-%m-%d %H:%M:%S.%f') AS updated_at FROM alive LEFT JOIN up USING (id)"
+    "log AS (SELECT CASE WHEN event_type = 'signup' THEN 'insert' WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'delete' ELSE 'update' END AS op, user_id::varchar AS id, 't' || event_id AS title, 'u' || (event_id % 3) AS user_id, ts, event_id AS seq FROM events), "
+    "steps AS (SELECT id, title, user_id, ts, seq FROM log WHERE op = 'insert' UNION ALL FROM old), "
+    "ended AS (SELECT *, (SELECT min(seq) FROM log d WHERE d.op = 'delete' AND d.id = s.id AND d.user_id = s.user_id AND d.seq > s.seq) AS e FROM steps s), "
+    "linked AS (SELECT *, (SELECT min(seq) FROM log i WHERE i.op = 'insert' AND i.id = s.id AND i.seq > e) AS nxt FROM ended s), "
+    "life AS (SELECT * FROM linked QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1 UNION ALL SELECT n.* FROM life l JOIN linked n ON n.id = l.id AND n.seq = l.nxt), "
+    "alive AS (FROM life WHERE e IS NULL), "
+    "up AS (SELECT l.id, max_by(l.title, l.seq) AS t, max(l.ts) AS at_ FROM log l JOIN alive a ON a.id = l.id AND a.user_id = l.user_id WHERE op = 'update' AND l.seq > a.seq GROUP BY l.id) "
+    "SELECT id, coalesce(up.t, title) AS title, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS created_at, strftime(coalesce(up.at_, ts), '%Y-%m-%d %H:%M:%S.%f') AS updated_at FROM alive LEFT JOIN up USING (id)"
 )
 
 
@@ -233,13 +237,15 @@ def shown_chats(df):
     return df.select("id", "title", "user_id", F.date_format("created_at", fmt).alias("created_at"), F.date_format("updated_at", fmt).alias("updated_at"))
 
 
-APPLIED_TO_EMPTY = f"WITH {CHANGES} alive AS (FROM born), {_AFTER}"
+APPLIED_TO_EMPTY = (
+    f"WITH RECURSIVE old AS (SELECT '' AS id, '' AS title, '' AS user_id, TIMESTAMP '2023-12-01' AS ts, -1::bigint AS seq WHERE false), {CHANGES}"
+)
 
 
 @query(
     "tab_01_apply_changes",
-    f"WITH {CHANGES} old AS (SELECT k::varchar AS id, c_name AS title, 'owner' AS user_id, TIMESTAMP '2023-12-01' AS created_at, -1 AS born FROM (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey + 10000000 END AS k FROM customer) WHERE k::varchar NOT IN (SELECT id FROM ends)), "
-    f"alive AS (FROM old UNION ALL FROM born WHERE id NOT IN (SELECT id FROM old)), {_AFTER}",
+    "WITH RECURSIVE old AS (SELECT (CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey + 10000000 END)::varchar AS id, c_name AS title, 'u' || (c_custkey % 4) AS user_id, TIMESTAMP '2023-12-01' AS ts, -1::bigint AS seq FROM customer), "
+    + CHANGES,
 )
 def _(spark, sf):
     return shown_chats(chats.apply_changes(base_chats(spark, sf), change_log(spark, sf)))

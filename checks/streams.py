@@ -9,6 +9,7 @@ from checks.registry import CATS, LANGS, query
 from checks.store import APPLIED_TO_EMPTY, shown_chats
 from hemline.session import shared_path
 from hemline.streaming import incremental as inc
+from hemline.streaming import limits
 
 
 SLICES = 5
@@ -42,8 +43,7 @@ def _(spark, sf):
     events = _events(spark, sf).select(item.alias("item"), "ts")
     for _ in range(2):
         inc.stream_new_items(events, f"{root}/data", f"{root}/checkpoint")
-    seen = inc.read_state(spark, f"{root}/data", inc.LEDGER)
-    return seen.select("item", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_seen"))
+    return inc.ledger(spark, f"{root}/data").select("item", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_seen"))
 
 
 @query(
@@ -67,8 +67,8 @@ def _(spark, sf):
     calls = _events(spark, sf).select(
         F.col("user_id").alias("key_id"), "ts", "event_id", (F.col("event_type") != "error").alias("ok")
     )
-    inc.stream_failure_runs(calls, f"{root}/data", f"{root}/checkpoint", 3, 12)
-    return inc.read_state(spark, f"{root}/data/stops", inc.STOPS).select("key_id", "event_id", "stop")
+    limits.stream_failure_runs(calls, f"{root}/data", f"{root}/checkpoint", 3, 12)
+    return spark.read.schema(limits.STOPS).parquet(f"{root}/data/stops").select("key_id", "event_id", "stop")
 
 
 @query(
@@ -91,7 +91,7 @@ def _(spark, sf):
     ).otherwise("update")
     log = e.select(
         op.alias("op"), F.col("user_id").cast("string").alias("id"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("title"),
-        F.concat(F.lit("u"), (F.col("event_id") % 10).cast("string")).alias("user_id"), "ts", F.col("event_id").alias("seq"),
+        F.concat(F.lit("u"), (F.col("event_id") % 3).cast("string")).alias("user_id"), "ts", F.col("event_id").alias("seq"),
     )
     inc.stream_chat_state(log, f"{root}/data", f"{root}/checkpoint")
     return shown_chats(inc.chat_state(spark, f"{root}/data"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hemline.functions import text
-from hemline.operators.scale import HOT_ROWS, attach, first_n, ranked
+from hemline.operators.scale import HOT_ROWS, Ordered, attach, first_n, largest_group, ranked
+from hemline.session import stored
 
 
 def recent_chats(chats: DataFrame, limit: int) -> DataFrame:
@@ -121,38 +122,25 @@ def confirm_pending(
 def apply_changes(base: DataFrame, log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Chats after a change log (op insert/update/delete, id, title, user_id, ts, seq) in (ts, seq) order.
 
-    Updates set the title and updated_at; the owner is the inserting user. A delete ends a chat; an insert
-    after it starts a new one. Inserts of a living chat and updates of a missing one change nothing.
-    Every step is an aggregate per id or a join to one row per id, so the long log of one chat is combined
-    before it is shuffled and dealt to several tasks where it is joined.
+    The log's user acts; the owner of a chat is the user who inserted it. Updates of the owner set the title and
+    updated_at, a delete of the owner ends the chat, and an insert after it, by whomever, starts a new one. What other users
+    do to a chat changes nothing, nor do inserts of a living chat, changes of a missing one, and rows without a user or id.
+
+    A chat's lives are a chain: the owner's next delete ends a life, the next insert starts one. Where each insert leads
+    follows from running counts, which may be split over many tasks; the ends of the chains are found by doubling. Updates
+    are combined per id before they are shuffled and dealt to several tasks where they are joined.
     """
+    log = log.filter("user_id IS NOT NULL AND id IS NOT NULL").withColumn("seq", F.col("seq").cast("bigint"))
     when = F.struct("ts", "seq")
-    deleted = log.filter("op = 'delete'").groupBy("id").agg(F.max(when).alias("_end"))
-    alive = (
-        attach(log.filter("op <> 'delete'"), deleted, "id", hot_rows)
-        .filter(F.col("_end").isNull() | (when > F.col("_end")))
-        .drop("_end")
-    )
-    old = base.join(deleted, "id", "left_anti").withColumn("_born", F.lit(None).cast("struct<ts:timestamp,seq:bigint>"))
-    fresh = (
-        alive.filter("op = 'insert'")
-        .join(old.select("id"), "id", "left_anti")
-        .groupBy("id")
-        .agg(F.min_by(F.struct("title", "user_id", "ts", when.alias("born")), when).alias("f"))
-        .select(
-            "id", "f.title", "f.user_id", F.col("f.ts").alias("created_at"), F.col("f.ts").alias("updated_at"),
-            F.col("f.born").cast("struct<ts:timestamp,seq:bigint>").alias("_born"),
-        )
-    )
-    living = old.select(*fresh.columns).unionByName(fresh)
-    born = living.select("id", "_born", F.lit(True).alias("_lives"))
+    lives = _last_lives(base, log, hot_rows)
+    owned = lives.select("id", F.col("user_id").alias("_owner"), "_new", "_born")
     later = (
-        attach(alive.filter("op = 'update'"), born, "id", hot_rows)
-        .filter(F.col("_lives") & (F.col("_born").isNull() | (when > F.col("_born"))))
+        attach(log.filter("op = 'update'"), owned, "id", hot_rows)
+        .filter((F.col("user_id") == F.col("_owner")) & ((F.col("_new") == 0) | (when > F.col("_born"))))
         .groupBy("id")
         .agg(F.max_by("title", when).alias("_title"), F.max("ts").alias("_ts"), F.lit(True).alias("_changed"))
     )
-    return living.join(later, "id", "left").select(
+    return lives.join(later, "id", "left").select(
         "id",
         F.when(F.col("_changed"), F.col("_title")).otherwise(F.col("title")).alias("title"),
         "user_id",
@@ -161,6 +149,42 @@ def apply_changes(base: DataFrame, log: DataFrame, hot_rows: int = HOT_ROWS) ->
     )
 
 
+def _last_lives(base: DataFrame, log: DataFrame, hot_rows: int) -> DataFrame:
+    """The life each chat is in after the log: id, title, user_id, created_at, updated_at, ``_new`` (0: from ``base``) and
+    ``_born``. Dead chats are left out."""
+    chat = ["title", "user_id", "created_at", "updated_at"]
+    first = base.select(
+        "id", *chat, F.lit(0).alias("_new"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("bigint").alias("seq"),
+        F.lit(True).alias("_insert"),
+    )
+    rest = log.filter("op <> 'update'").select(
+        "id", "title", "user_id", F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), F.lit(1).alias("_new"), "ts",
+        "seq", (F.col("op") == "insert").alias("_insert"),
+    )
+    steps = stored(first.unionByName(rest), "life-steps")
+    order, one = ["_new", "ts", "seq"], F.col("_insert").cast("bigint")
+    split = largest_group(steps, ["id"]) > hot_rows
+    counted = Ordered(steps, ["id"], order, split=split).running(_n=("sum", one)).done()
+    counted = Ordered(counted, ["id", "user_id"], order, split=split).running(_ended=("sum", 1 - one)).done()
+    counted = stored(counted, "life-counts")
+    born = counted.filter("_insert")
+    # a life that starts with insert n of a chat is followed by the insert after its owner's next delete, if there is one
+    ends = counted.filter("NOT _insert").select("id", "user_id", (F.col("_ended") - 1).alias("_ended"), (F.col("_n") + 1).alias("_to"))
+    next_ = born.join(ends, ["id", "user_id", "_ended"], "left").select("id", "_n", F.coalesce("_to", "_n").alias("_to"))
+    next_ = stored(next_, "lives")
+    # only chats whose first life ended need to be followed further
+    moved = next_.join(next_.filter("_n = 1 AND _to > 1").select("id"), "id", "left_semi")
+    most = moved.agg(F.max("_n").alias("n")).first()["n"] or 1
+    for _ in range((most - 1).bit_length()):
+        ahead = moved.select("id", F.col("_n").alias("_to"), F.col("_to").alias("_on"))
+        moved = stored(moved.join(ahead, ["id", "_to"], "left").select("id", "_n", F.coalesce("_on", "_to").alias("_to")), "lives-ahead")
+    last = moved.filter("_n = 1").select("id", F.col("_to").alias("_n")).unionByName(
+        next_.filter("_n = 1 AND _to = 1").select("id", "_n")
+    )
+    lives = born.join(last, ["id", "_n"], "left_semi")
+    return lives.select("id", *chat, "_new", F.struct("ts", "seq").alias("_born"))
+
+
 RECENCY = ["Today", "Yesterday", "This week", "This month", "Older"]
 
 

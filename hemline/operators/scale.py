@@ -32,8 +32,8 @@ def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 def attach(left: DataFrame, facts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join to ``facts``, which has one row per key, when ``left`` may hold very many rows of one key.
 
-    Rows of such keys are dealt to several tasks by a hash of the row, and their facts are copied to each of
-    them. There can be no more such keys than rows / hot_rows, so the list of them stays short.
+    Rows of such keys are dealt to several tasks by their place in a stored copy of ``left``, equal rows too, and their
+    facts are copied to each of them. There can be no more such keys than rows / hot_rows, so the list of them stays short.
     """
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     hot = counts.select(key, F.ceil(F.col("_n") / max(hot_rows, 1)).alias("_parts"))
@@ -41,7 +41,9 @@ def attach(left: DataFrame, facts: DataFrame, key: str, hot_rows: int = HOT_ROWS
         return left.join(facts, key, "left")
     hot = small_side(stored(hot, "hot"))
     parts = F.coalesce("_parts", F.lit(1))
-    dealt = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), parts)).drop("_parts")
+    # the copy pins the places: a task that runs again deals its rows as before
+    placed = stored(left, "dealt").withColumn("_place", F.monotonically_increasing_id())
+    dealt = placed.join(hot, key, "left").withColumn("_part", F.pmod("_place", parts)).drop("_parts", "_place")
     copied = (
         facts.join(hot, key, "left")
         .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))

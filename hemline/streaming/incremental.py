@@ -1,21 +1,20 @@
 """Daily loops with saved state as streams. State lives in tables with one folder per micro-batch.
 
 A batch reads the state the previous batch left and writes its own folder, so a batch that is run again after a
-failure overwrites its own output and nothing else. State by key lies in buckets: a batch reads and writes only the
-buckets its keys fall in, and a short list names the version of each bucket that holds after it.
+failure overwrites its own output and nothing else. State by key is a table in levels (``levels.py``).
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hemline.operators.balance import balance_gaps
 from hemline.operators.chats import apply_changes
-from hemline.operators.runs import failure_runs
-from hemline.operators.scale import HOT_ROWS, attach
+from hemline.session import stored
 from hemline.sources.dims import category_dim
+from hemline.streaming.levels import LeveledTable
 
 
 def _folder(root: str, batch_id: int) -> str:
@@ -48,62 +47,36 @@ def run_available(stream: DataFrame, each_batch, checkpoint: str, mode: str = "a
     )
 
 
-BUCKETS = 16
-VERSIONS = "bucket int, version bigint"
-
-
-def bucket_of(key: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
-
-
-def _touched(batch: DataFrame, key: str) -> tuple[list[int], int]:
-    """Buckets the keys of a batch fall in (at most ``BUCKETS`` numbers) and the rows of its largest key."""
-    counts = batch.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    seen = counts.groupBy(bucket_of(key).alias("b")).agg(F.max("n").alias("n")).collect()
-    return sorted(r["b"] for r in seen), max((r["n"] for r in seen), default=0)
-
-
-def _versions(spark: SparkSession, root: str, batch_id: int) -> dict[int, int]:
-    rows = read_state(spark, f"{root}/versions", VERSIONS, batch_id).collect()
-    return {r["bucket"]: r["version"] for r in rows}
-
-
-def read_buckets(spark: SparkSession, root: str, schema: str, batch_id: int, buckets: list[int] | None = None) -> DataFrame:
-    """State after a batch, all of it or some buckets."""
-    held = _versions(spark, root, batch_id)
-    paths = [f"{root}/version={v}/bucket={b}" for b, v in sorted(held.items()) if buckets is None or b in buckets]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
+LEDGER = "item string, first_seen timestamp"
 
-def write_buckets(state: DataFrame, root: str, key: str, batch_id: int, buckets: list[int]) -> None:
-    """New versions of ``buckets``; ``state`` is all that they hold now. Others keep theirs."""
-    spark = state.sparkSession
-    held = {b: v for b, v in _versions(spark, root, batch_id - 1).items() if b not in buckets}
-    folder = f"{root}/version={batch_id}"
-    state.withColumn("bucket", bucket_of(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
-    filled = spark.read.schema("bucket int").parquet(folder).select("bucket").distinct().collect()
-    held |= {r["bucket"]: batch_id for r in filled}
-    versions = spark.createDataFrame(sorted(held.items()), VERSIONS)
-    versions.coalesce(1).write.mode("overwrite").parquet(_folder(f"{root}/versions", batch_id))
 
+def ledger_table(spark: SparkSession, root: str, **sizes) -> LeveledTable:
+    return LeveledTable(spark, root, LEDGER, "item", once=True, **sizes)
 
-LEDGER = "item string, first_seen timestamp"
 
+def stream_new_items(items: DataFrame, root: str, checkpoint: str, **sizes) -> None:
+    """Ledger of items seen for the first time (item, first_seen). Restarts never hand out an item twice.
 
-def stream_new_items(items: DataFrame, root: str, checkpoint: str) -> None:
-    """Ledger of items seen for the first time (item, first_seen). Restarts never hand out an item twice."""
+    A batch opens only those pages of the ledger whose filters say that one of its items may be there. Rows
+    without an item are left out. ``sizes`` are those of :class:`LeveledTable`.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        here = F.col("bucket").isin(_touched(batch, "item")[0])  # folders of other buckets are not opened
-        seen = read_state(spark, root, LEDGER + ", batch bigint, bucket int").filter(here & (F.col("batch") != batch_id))
-        new = batch.groupBy("item").agg(F.min("ts").alias("first_seen")).join(seen, "item", "left_anti")
-        rows = new.withColumn("bucket", bucket_of("item")).repartition("bucket")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(_folder(root, batch_id))
+        ledger = ledger_table(batch.sparkSession, root, **sizes)
+        found = batch.filter("item IS NOT NULL").groupBy("item").agg(F.min("ts").alias("first_seen")).persist()
+        n = found.count()  # lost blocks of it are read again from the source
+        seen = ledger.look_up(found.select("item"), n, batch_id).select("item")
+        new = found.join(seen, "item", "left_anti").withColumn("gone", F.lit(False))
+        ledger.append(new, n, batch_id)
+        found.unpersist()
 
     run_available(items, step, checkpoint)
 
 
+def ledger(spark: SparkSession, root: str) -> DataFrame:
+    return ledger_table(spark, root).read()
+
+
 USAGE = "day date, key_id bigint, used bigint"
 
 
@@ -123,59 +96,6 @@ def daily_usage(spark: SparkSession, root: str, cap: int) -> DataFrame:
     return used.withColumn("over_cap", F.greatest(F.col("used") - cap, F.lit(0)))
 
 
-FAILURES = "key_id bigint, consecutive bigint, total bigint"
-STOPS = "key_id bigint, ts timestamp, event_id bigint, stop string"
-
-
-def stream_failure_runs(
-    calls: DataFrame, root: str, checkpoint: str, max_consecutive: int = 10, max_total: int = 50
-) -> None:
-    """First limit each key hits, found as calls arrive. State is two counters per key.
-
-    A batch is counted with windows that may be split over many tasks; the counters of earlier batches are
-    added on top: failures in a row carry over only up to the key's first success in the batch.
-    """
-    state_root, stop_root = f"{root}/state", f"{root}/stops"
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()  # read several times below; lost blocks are read again from the source
-        touched, largest = _touched(batch, "key_id")
-        hot = largest > HOT_ROWS
-        meet = (lambda a, b: attach(a, b, "key_id")) if hot else (lambda a, b: a.join(b, "key_id", "left"))
-        before = read_buckets(spark, state_root, FAILURES, batch_id - 1, touched).select(
-            "key_id", F.col("consecutive").alias("c0"), F.col("total").alias("t0")
-        )
-        stopped = read_state(spark, stop_root, STOPS + ", batch bigint").filter(F.col("batch") != batch_id)
-        rows = failure_runs(batch, ["ts", "event_id"], max_consecutive, max_total, split=hot)
-        rows = meet(rows, before).na.fill({"c0": 0, "t0": 0})
-        at = F.struct("ts", "event_id")
-        first_ok = rows.filter("ok").groupBy("key_id").agg(F.min(at).alias("ok_at"))
-        rows = meet(rows, first_ok)
-        no_success_yet = F.coalesce(at < F.col("ok_at"), F.lit(True))
-        rows = rows.withColumn(
-            "consecutive", F.col("consecutive") + F.when(no_success_yet, F.col("c0")).otherwise(0)
-        ).withColumn("total", F.col("total_failures") + F.col("t0"))
-        rows = rows.select("key_id", "ts", "event_id", "consecutive", "total").persist()
-        stop = F.when(F.col("consecutive") >= max_consecutive, "consecutive").when(
-            F.col("total") >= max_total, "total"
-        )
-        hits = rows.withColumn("stop", stop).filter("stop IS NOT NULL").join(stopped, "key_id", "left_anti")
-        first = hits.groupBy("key_id").agg(F.min(F.struct("ts", "event_id", "stop")).alias("s"))
-        first.select("key_id", "s.*").write.mode("overwrite").parquet(_folder(stop_root, batch_id))
-        now = rows.groupBy("key_id").agg(
-            F.max_by("consecutive", at).alias("consecutive"), F.max_by("total", at).alias("total")
-        )
-        kept = before.join(now, "key_id", "left_anti").select(
-            "key_id", F.col("c0").alias("consecutive"), F.col("t0").alias("total")
-        )
-        write_buckets(now.unionByName(kept), state_root, "key_id", batch_id, touched)
-        rows.unpersist()
-        batch.unpersist()
-
-    run_available(calls, step, checkpoint)
-
-
 GAPS = "category string, pos int, n bigint, gap bigint, total_gap bigint, priority int"
 
 
@@ -201,14 +121,26 @@ def _as_counts(totals: DataFrame, categories: list[str]) -> DataFrame:
 CHATS = "id string, title string, user_id string, created_at timestamp, updated_at timestamp"
 
 
-def stream_chat_state(log: DataFrame, root: str, checkpoint: str) -> None:
-    """Chat table after every batch of the change log, in buckets by chat; read it with :func:`chat_state`."""
+def chat_table(spark: SparkSession, root: str, **sizes) -> LeveledTable:
+    return LeveledTable(spark, root, CHATS, "id", **sizes)
+
+
+def stream_chat_state(log: DataFrame, root: str, checkpoint: str, **sizes) -> None:
+    """Chat table after every batch of the change log, read with :func:`chat_state`.
+
+    A batch looks up the chats its log names and writes those alone: their new rows, and marks for the ones that are gone.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        table = chat_table(batch.sparkSession, root, **sizes)
         batch = batch.persist()  # read several times; lost blocks are read again from the source
-        touched, _ = _touched(batch, "id")
-        before = read_buckets(batch.sparkSession, root, CHATS, batch_id - 1, touched)
-        write_buckets(apply_changes(before, batch), root, "id", batch_id, touched)
+        ids = batch.filter("id IS NOT NULL").select("id").distinct()
+        n = ids.count()
+        before = table.look_up(ids, n, batch_id).persist()
+        after = stored(apply_changes(before, batch), "chats-after")
+        gone = before.join(after, "id", "left_anti").withColumn("gone", F.lit(True))
+        table.append(after.withColumn("gone", F.lit(False)).unionByName(gone), n, batch_id)
+        before.unpersist()
         batch.unpersist()
 
     run_available(log, step, checkpoint)
@@ -216,8 +148,7 @@ def stream_chat_state(log: DataFrame, root: str, checkpoint: str) -> None:
 
 def chat_state(spark: SparkSession, root: str) -> DataFrame:
     """Chats after the newest batch."""
-    newest = read_state(spark, f"{root}/versions", VERSIONS + ", batch bigint").agg(F.max("batch").alias("b")).first()["b"]
-    return read_buckets(spark, root, CHATS, -1 if newest is None else newest)
+    return chat_table(spark, root).read()
 
 
 def latest_batch(spark: SparkSession, root: str, schema: str) -> DataFrame:

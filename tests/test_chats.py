@@ -9,12 +9,13 @@ LOG = "op string, id string, title string, user_id string, ts timestamp, seq big
 def replay(base, log):
     state = dict(base)
     for op, id_, title, user, ts, seq in sorted(log, key=lambda r: (r[4], r[5])):
-        if op == "insert" and id_ not in state:
+        if op == "insert" and id_ not in state and user is not None:
             state[id_] = (title, user, ts, ts)
-        elif op == "update" and id_ in state:
-            state[id_] = (title, *state[id_][1:3], ts)
-        elif op == "delete":
-            state.pop(id_, None)
+        elif id_ in state and state[id_][1] == user and user is not None:
+            if op == "update":
+                state[id_] = (title, *state[id_][1:3], ts)
+            elif op == "delete":
+                state.pop(id_)
     return state
 
 
@@ -25,16 +26,28 @@ def test_apply_changes_equals_replay(spark, hot_rows):
 
     rnd = random.Random(3)
     start = datetime.datetime(2024, 1, 1)
-    base = {f"c{i}": (f"b{i}", "owner", start, start) for i in range(0, 12, 2)}
+    base = {f"c{i}": (f"b{i}", None if i == 4 else f"u{i % 3}", start, start) for i in range(0, 12, 2)}
     log = []
-    for seq in range(300):
+    for seq in range(400):
         id_ = "c0" if seq % 3 == 0 else f"c{rnd.randint(0, 15)}"
-        log.append((rnd.choice(["insert", "update", "update", "delete"]), id_, f"t{seq}", f"u{seq % 4}", start + datetime.timedelta(hours=rnd.randint(1, 200)), seq))
+        user = None if seq % 50 == 0 else f"u{rnd.randint(0, 2)}"
+        log.append((rnd.choice(["insert", "update", "update", "delete"]), id_, f"t{seq}", user, start + datetime.timedelta(hours=rnd.randint(1, 200)), seq))
     b = spark.createDataFrame([(k, *v) for k, v in base.items()], "id string, title string, user_id string, created_at timestamp, updated_at timestamp")
     got = {r.id: (r.title, r.user_id, r.created_at, r.updated_at) for r in chats.apply_changes(b, spark.createDataFrame(log, LOG), hot_rows).collect()}
     assert got == replay(base, log)
 
 
+def test_others_change_nothing(spark):
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1)
+    base = spark.createDataFrame([("a", "mine", "ann", at, at), ("b", "gone", "bob", at, at)], "id string, title string, user_id string, created_at timestamp, updated_at timestamp")
+    ops = [("update", "a", "x", "bob"), ("delete", "a", "", "bob"), ("insert", "a", "y", "bob"), ("update", "a", "z", None), ("delete", "b", "", "bob"), ("insert", "b", "new", "ann"), ("update", "b", "old owner", "bob"), ("delete", "b", "", "bob")]
+    log = spark.createDataFrame([(*o, at + datetime.timedelta(days=n + 1), n) for n, o in enumerate(ops)], LOG)
+    got = {r.id: (r.title, r.user_id, r.updated_at) for r in chats.apply_changes(base, log).collect()}
+    assert got == {"a": ("mine", "ann", at), "b": ("new", "ann", at + datetime.timedelta(days=6))}
+
+
 def test_recency_borders(spark):
     days = ["2024-05-15", "2024-05-14", "2024-05-12", "2024-05-18", "2024-05-11", "2024-05-31", "2024-04-30"]
     df = spark.createDataFrame([(d, None) for d in days], "c string, u string").select(

@@ -124,3 +124,10 @@ def test_attach_deals_hot_keys_and_loses_nothing(spark, rows, hot_rows):
     facts = spark.createDataFrame([("hot", 1), ("a", 2), ("zz", 3)], "k string, fact int")
     got = rows(scale.attach(df, facts, "k", hot_rows), "k", "t", "fact")
     assert got == sorted([(k, t, {"hot": 1, "a": 2}.get(k)) for k, t, _ in data], key=repr)
+
+
+def test_attach_deals_equal_rows_and_maps(spark):
+    df = spark.createDataFrame([("hot", {"m": 1})] * 50 + [("a", None)], "k string, m map<string,int>").repartition(1)
+    facts = spark.createDataFrame([("hot", 1), ("a", 2)], "k string, fact int")
+    got = scale.attach(df, facts, "k", 5)
+    assert got.select("k", "fact").distinct().count() == 2 and got.count() == 51
