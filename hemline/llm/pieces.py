@@ -87,6 +87,15 @@ class Splitter:
         first = np.empty(len(keys), np.int64)
         first[word[::-1]] = np.arange(len(word))[::-1]
         words = [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
+        # a key is no more than a bucket: pieces that differ from the first of theirs are words of their own
+        size = end - start
+        other = np.flatnonzero(~same_runs(code, start, size, code, start[first[word]], size[first[word]]))
+        if len(other):
+            more: dict[str, int] = {}
+            for i in other.tolist():
+                word[i] = more.setdefault(whole[start[i] : end[i]], len(words) + len(more))
+            keys = np.append(keys, key[[int(np.flatnonzero(word == n)[0]) for n in more.values()]])
+            words += list(more)
         return Pieces(doc, word, words, keys)
 
     @staticmethod
@@ -118,17 +127,24 @@ class WordCache:
         self._key, self._row = np.empty(0, np.uint64), np.empty(0, np.int32)
         self._values = np.empty(0, np.int32)
         self._start, self._size, self._used = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+        # the words themselves, as one array of code points with the place of each
+        self._code, self._at, self._length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int32)
 
     def look_up(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All kept values, and where those of each distinct word of ``pieces`` start and how many they are."""
         self._clock += 1
-        if len(self._key) > self._most:
+        if len(self._size) > self._most:
             self._forget()
+        code, at_, length = spelled(pieces.words)
         at = np.searchsorted(self._key, pieces.keys)
         known = at < len(self._key)
         known[known] = self._key[at[known]] == pieces.keys[known]
+        fresh = ~known
         rows = np.empty(len(pieces.keys), np.int64)
         rows[known] = self._row[at[known]]
+        held = rows[known]
+        # equal keys are a hint; the spelling decides
+        known[known] = same_runs(code, at_[known], length[known], self._code, self._at[held], self._length[held].astype(np.int64))
         new = np.flatnonzero(~known)
         if len(new):
             words = [pieces.words[i] for i in new.tolist()]
@@ -139,10 +155,15 @@ class WordCache:
             self._size = np.append(self._size, sizes.astype(np.int32))
             self._values = np.append(self._values, np.asarray(values, np.int32))
             self._used = np.append(self._used, np.zeros(len(new), np.int32))
-            order = new[np.argsort(pieces.keys[new])]
-            put = np.searchsorted(self._key, pieces.keys[order])
-            self._key = np.insert(self._key, put, pieces.keys[order])
-            self._row = np.insert(self._row, put, rows[order].astype(np.int32))
+            self._at = np.append(self._at, len(self._code) + np.cumsum(length[new]) - length[new])
+            self._length = np.append(self._length, length[new].astype(np.int32))
+            self._code = np.append(self._code, ragged(code, at_[new], length[new]))
+            # one word for each key can be found again
+            free = np.flatnonzero(fresh)
+            keys, one = np.unique(pieces.keys[free], return_index=True)
+            put = np.searchsorted(self._key, keys)
+            self._key = np.insert(self._key, put, keys)
+            self._row = np.insert(self._row, put, rows[free[one]].astype(np.int32))
         self._used[rows] = self._clock
         return self._values, self._start[rows], self._size[rows].astype(np.int64)
 
@@ -151,6 +172,9 @@ class WordCache:
         moved = np.full(len(self._size), -1, np.int32)
         moved[rows] = np.arange(len(rows))
         self._values = ragged(self._values, self._start[rows], self._size[rows].astype(np.int64))
+        length = self._length[rows].astype(np.int64)
+        self._code = ragged(self._code, self._at[rows], length)
+        self._length, self._at = self._length[rows], np.cumsum(length) - length
         self._size, self._used = self._size[rows], self._used[rows]
         self._start = np.cumsum(self._size, dtype=np.int64) - self._size
         stay = moved[self._row] >= 0
@@ -161,3 +185,29 @@ def ragged(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
     """Runs ``values[start : start + size]``, one after the other."""
     shift = np.repeat(start - (np.cumsum(size) - size), size)
     return values[shift + np.arange(len(shift))]
+
+
+def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all words, one after the other, where each starts and how many it has."""
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return code, np.cumsum(length) - length, length
+
+
+def same_runs(
+    values: np.ndarray, a: np.ndarray, size: np.ndarray, others: np.ndarray, b: np.ndarray, other: np.ndarray
+) -> np.ndarray:
+    """Whether ``values[a : a + size]`` equals ``others[b : b + other]``, for many at once."""
+    same = size == other
+    check = np.flatnonzero(same & (size > 0) & ((a != b) if values is others else True))
+    if len(check):
+        n = size[check].astype(np.int32)
+        heads = np.cumsum(n, dtype=np.int32) - n
+        one = np.repeat(a[check].astype(np.int32) - heads, n)
+        step = np.arange(len(one), dtype=np.int32)
+        two = np.repeat((b - a)[check], n)
+        one += step
+        differ = np.flatnonzero(values[one] != others[one + two])
+        if len(differ):
+            same[check[np.searchsorted(heads, differ, "right") - 1]] = False
+    return same

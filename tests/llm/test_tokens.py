@@ -46,6 +46,28 @@ def test_counts_equal_library(library):
     assert TokenCounter(JSON)(texts).tolist() == want
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """A word of a and b and its complement: polynomial hashes modulo 2^64 are equal under any odd base."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: "b", 98: "a"})
+    return word, word.translate({97: "b", 98: "a"})
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_of_equal_hash_stay_apart(library, ranked, n):
+    pair = thue_morse(n)
+    texts = [*pair, " ".join(pair), pair[0]]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    together, apart = TokenCounter(JSON), TokenCounter(JSON)
+    assert together(texts).tolist() == want
+    assert [int(apart([t])[0]) for t in texts * 2] == want * 2
+    ids = [ranked.encode_ordinary(t) for t in texts]
+    if n == 1024:
+        ids_, counts = Coder(RANKS).encode(texts)
+        assert np.split(ids_, np.cumsum(counts)[:-1])[1].tolist() == ids[1] and counts.tolist() == list(map(len, ids))
+
+
 def test_overlapping_pairs_merge_from_the_left():
     pairs = PairTable([1, 2], [1, 2], [0, 1], [2, 3])
     assert surviving(np.array([1] * 5 + [1] * 8 + [7]), np.array([5, 8, 1]), pairs).tolist() == [2, 2, 1]
