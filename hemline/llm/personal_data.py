@@ -146,9 +146,9 @@ def disclosures(docs: DataFrame, near: DataFrame, keys: list[str], found: DataFr
     together = stored(together, "together")
     names = if_small(stored(together.select(F.col("term").alias("word")).distinct(), "terms"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
-    holding = (
-        docs.select(F.explode(words).alias("word")).join(names, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_t"))
-    )
+    # counted in the tasks before anything is joined: what is shuffled is a vocabulary, however the join is done
+    counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_t"))
+    holding = counted.join(names, "word")
     values = found.select(*keys, F.explode("base").alias("s")).select(*keys, entity(F.col("s")).alias("entity")).distinct()
     n_e = values.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     n = docs.count()
