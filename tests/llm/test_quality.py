@@ -54,7 +54,7 @@ def test_gradients_against_differences():
     net = q.Network.fresh(2, 0.1)
     held = q.Texts(given)
     _, by, by_bias = q.gradients(net, held, labels)
-    step = 1e-2
+    step = 1e-3
     for w, g in zip(net.weights(), by):
         flat, slope = w.reshape(-1), g.reshape(-1)
         for i in np.argsort(-np.abs(slope))[:4]:
