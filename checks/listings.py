@@ -175,6 +175,7 @@ def _(spark, sf):
     return _pages(spark, sf).select("page_id", picked.alias("image"))
 
 
+# the third and the fifth do not lead on
 _MARKERS = [
     '<a href="?p=2">Load <b>more</b> results</a><a href="#">Load More</a>', '<a class="pg-Next" href="?p=3">2</a>', '<button class="next disabled">Next</button>',
     '<button aria-label="Next page">2</button>', "<p>next</p>", '<a href="?p=9">→</a>',
@@ -187,27 +188,39 @@ def _(spark, sf):
     return pages.with_next_marker(_pages(spark, sf).select("page_id", planted.alias("html"))).select("page_id", "has_next")
 
 
-@query(
-    "ext_04_page_flow",
+FLOW = (
     f"WITH {_LINKS}, st AS (SELECT page_id, page_id % 11 <> 0 AS has_next, CASE WHEN page_id % 3 = 0 THEN 'one large site' ELSE regexp_extract(url, '//([^/]+)/', 1) || page_id % 5 END AS site FROM pages), pg AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id % 11 = 0, page_id) AS page_no FROM st), "
     "u AS (SELECT DISTINCT site, page_no, CASE WHEN page_id % 2 = 0 THEN l.url ELSE left(md5(l.url), 2) END AS url FROM pg JOIN l USING (page_id)), f AS (SELECT site, url, min(page_no) AS page_no FROM u GROUP BY ALL), n AS (SELECT site, page_no, count(*) AS n_new FROM f GROUP BY ALL), "
     "m AS (SELECT site, page_no, any_value(has_next) AS has_next, count(DISTINCT u.url) AS n FROM pg LEFT JOIN u USING (site, page_no) GROUP BY ALL), j AS (SELECT site, page_no, n, has_next, coalesce(n_new, 0) AS n_new, sum(coalesce(n_new, 0)) OVER w AS total, "
     "max(CASE WHEN n_new > 0 THEN page_no END) OVER w AS lastnew FROM m LEFT JOIN n USING (site, page_no) WINDOW w AS (PARTITION BY site ORDER BY page_no)), "
     "s AS (SELECT *, CASE WHEN page_no - coalesce(lastnew, 0) >= 3 THEN 'no growth' WHEN NOT has_next THEN 'last page' END AS stop FROM j) "
-    "SELECT site, page_no, n, n_new, total::bigint AS total, stop FROM s QUALIFY count(stop) OVER (PARTITION BY site ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0",
+    "SELECT site, page_no, n, n_new, total::bigint AS total, stop FROM s QUALIFY count(stop) OVER (PARTITION BY site ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0"
 )
-def _(spark, sf):
+
+
+def numbered_pages(spark, sf):
+    """Pages (site, page_no, page_id, html) numbered inside their site, with a planted marker that leads on or does not."""
     from hemline.operators.scale import ranked
 
     k = F.col("page_id")
     site = F.when(k % 3 == 0, "one large site").otherwise(F.concat(F.regexp_extract("url", "//([^/]+)/", 1), (k % 5).cast("string")))
-    p = _pages(spark, sf).select("page_id", site.alias("site"), (k % 11 != 0).alias("has_next"), (k % 11 == 0).alias("_last"))
-    numbered = ranked(p, ["site"], ["_last", "page_id"], "page_no")
-    links = pages.extract_links(_pages(spark, sf))
-    # every other page repeats few addresses
-    url = F.when(k % 2 == 0, F.col("url")).otherwise(F.left(F.md5(F.col("url").cast("binary")), F.lit(2)))
-    rows = numbered.join(links.select("page_id", url.alias("url")), "page_id", "left")
-    return pages.page_flow(rows.select("site", "page_no", "url", "has_next"))
+    leads, ends = ["<button aria-label='Next page'>2</button>", "<button class=nav-next>&gt;</button>"], [_MARKERS[2], _MARKERS[4]]
+    marker = F.when(k % 11 == 0, choose(k, ends)).otherwise(choose(k, leads))
+    p = _pages(spark, sf).select("page_id", site.alias("site"), F.concat(marker, "html").alias("html"), (k % 11 == 0).alias("_last"))
+    return ranked(p, ["site"], ["_last", "page_id"], "page_no").select("site", "page_no", "page_id", "html")
+
+
+def links_of(numbered):
+    """(site, page_no, url, has_next) as the pages say; every other page repeats few addresses."""
+    marked = pages.with_next_marker(numbered, links="links")
+    short = F.transform("links", lambda u: F.left(F.md5(u.cast("binary")), F.lit(2)))
+    urls = F.when(F.col("page_id") % 2 == 0, F.col("links")).otherwise(short)
+    return marked.select("site", "page_no", F.explode_outer(urls).alias("url"), "has_next")
+
+
+@query("ext_04_page_flow", FLOW)
+def _(spark, sf):
+    return pages.page_flow(links_of(numbered_pages(spark, sf)))
 
 
 # --- parts as listings ------------------------------------------------------------------------------------

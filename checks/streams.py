@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from checks.listings import FLOW, links_of, numbered_pages
 from checks.logs import FAILURES
 from checks.registry import CATS, LANGS, query
 from checks.store import APPLIED_TO_EMPTY, shown_chats
-from hemline.session import shared_path
+from hemline.session import shared_path, stored
+from hemline.streaming import crawl
 from hemline.streaming import incremental as inc
 from hemline.streaming import limits
 
@@ -95,3 +97,19 @@ def _(spark, sf):
     )
     inc.stream_chat_state(log, f"{root}/data", f"{root}/checkpoint")
     return shown_chats(inc.chat_state(spark, f"{root}/data"))
+
+
+@query("ext_04_page_flow_stream", FLOW)
+def _(spark, sf):
+    root = shared_path(spark, "crawl")
+    numbered = stored(numbered_pages(spark, sf), "numbered-pages")
+    at = [1 / 3, 2 / 3]
+    borders = numbered.select(F.percentile_approx("page_no", at).alias("b")).first()["b"] or []
+    cut = sorted(set(borders))
+    for low, high in zip([0, *cut], [*cut, None]):  # files one after the other; a site's pages arrive in order
+        part = numbered.filter(F.col("page_no") > low)
+        part = part if high is None else part.filter(F.col("page_no") <= high)
+        part.coalesce(1).write.mode("append").parquet(f"{root}/pages")
+    arrived = spark.readStream.schema(numbered.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/pages")
+    crawl.stream_page_flow(links_of(arrived), f"{root}/data", f"{root}/checkpoint")
+    return crawl.flow(spark, f"{root}/data")

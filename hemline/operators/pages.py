@@ -242,13 +242,16 @@ def extract_links(
 
     Values come from the parsed page: entities are resolved, any quoting counts, comments and scripts do not.
     """
-    nodes = F.filter(H.html_nodes(F.col("html")), lambda n: n["tag"] == tag)
-    values = F.transform(nodes, lambda n: F.try_element_at(n["attrs"], F.lit(attribute)))
-    found = F.array_distinct(F.filter(values, lambda v: v.isNotNull()))
-    links = pages.select("page_id", F.posexplode(found).alias("pos", "url"))
+    links = pages.select("page_id", F.posexplode(_values(H.html_nodes(F.col("html")), tag, attribute)).alias("pos", "url"))
     return links.filter(T.keep_url(F.col("url"), includes, excludes))
 
 
+def _values(nodes: Column, tag: str, attribute: str) -> Column:
+    """Distinct values of an attribute in page order."""
+    values = F.transform(F.filter(nodes, lambda n: n["tag"] == tag), lambda n: F.try_element_at(n["attrs"], F.lit(attribute)))
+    return F.array_distinct(F.filter(values, lambda v: v.isNotNull()))
+
+
 def extract_image_urls(
     pages: DataFrame, attr_priority: list[str], card_class: str | None = None,
     includes: list[str] = (), excludes: list[str] = (),
@@ -266,9 +269,10 @@ def extract_image_urls(
     return found.filter(T.keep_url(F.col("url"), includes, excludes))
 
 
-def with_next_marker(pages: DataFrame, out: str = "has_next") -> DataFrame:
+def with_next_marker(pages: DataFrame, out: str = "has_next", links: str | None = None) -> DataFrame:
     """Whether a page (html) leads on: a link or button that says next or load more, by its text, class or label, and
-    is not disabled. Feeds ``has_next`` of :func:`page_flow`."""
+    is not disabled. Feeds ``has_next`` of :func:`page_flow`. ``links`` names a column for the page's distinct link
+    addresses, read off the same parse."""
     nodes = F.col("_nodes")
 
     def leads_on(c: Column) -> Column:
@@ -279,7 +283,8 @@ def with_next_marker(pages: DataFrame, out: str = "has_next") -> DataFrame:
 
     parsed = pages.withColumn("_nodes", H.placed(H.html_nodes(F.col("html"))))
     found = F.exists(H.where(nodes, "a", "button"), leads_on)
-    return parsed.withColumn(out, F.coalesce(found, F.lit(False))).drop("_nodes")
+    made = {out: F.coalesce(found, F.lit(False))} | ({links: _values(nodes, "a", "href")} if links else {})
+    return parsed.withColumns(made).drop("_nodes")
 
 
 def page_flow(

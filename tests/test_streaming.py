@@ -246,3 +246,26 @@ def test_late_calls_count(spark, tmp_path, rows):
         arrive(spark, f"{root}/in", name, [(START + datetime.timedelta(days=day), 1)] * 2, schema)
         inc.stream_daily_usage(stream(spark, f"{root}/in", schema), f"{root}/out", f"{root}/cp")
     assert rows(inc.daily_usage(spark, f"{root}/out", 3), "used", "over_cap") == [(2, 0), (2, 0), (4, 1)]
+
+
+def test_page_flow_as_pages_arrive(spark, tmp_path, rows):
+    import random
+
+    from hemline.operators.pages import page_flow
+    from hemline.streaming import crawl
+
+    rnd, root, schema = random.Random(2), str(tmp_path), "site string, page_no int, url string, has_next boolean"
+    data = []
+    for site, n_pages, pool in (("big", 30, 200_000), ("small", 12, 6), ("ends", 5, 50), ("big2", 9, 40_000)):
+        for page in range(1, n_pages + 1):
+            urls = [f"{site}/{rnd.randrange(pool)}" for _ in range(rnd.randint(0, 6))] or [None]
+            data += [(site, page, u, not (site == "ends" and page == 4)) for u in urls]
+    for name, low, high in (("a", 0, 3), ("b", 3, 10), ("c", 10, 99)):
+        arrive(spark, f"{root}/in", name, [r for r in data if low < r[1] <= high], schema)
+        # a run for each arrival: from the checkpoint and the bitmaps of the one before
+        crawl.stream_page_flow(stream(spark, f"{root}/in", schema), f"{root}/out", f"{root}/cp", fanout=2)
+    want = page_flow(spark.createDataFrame(data, schema))
+    assert rows(crawl.flow(spark, f"{root}/out")) == rows(want)
+    totals = {r["site"]: r["n"] for r in crawl.distinct_urls(spark, f"{root}/out").collect()}
+    ends = {r["site"]: max(r["total"], 0) for r in want.orderBy("page_no").collect()}
+    assert all(totals[s] >= ends[s] for s in totals) and totals["big"] == ends["big"]
