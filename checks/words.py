@@ -10,6 +10,7 @@ from checks.registry import (
 )
 from hemline.functions import fixed, geo
 from hemline.functions import text as T
+from hemline.operators import places
 from hemline.operators.listings import resolve_city
 from hemline.operators.replies import parse_tool_calls, tool_defaults
 
@@ -190,6 +191,23 @@ def _(spark, sf):
     return _docs(spark, sf).select("doc_id", T.city_in_text(_plant(_MENTIONS)).alias("city"))
 
 
+@query(
+    "txt_06_places_of_table",
+    "WITH t AS (SELECT doc_id, lower(" + _planted() + ") AS low, CASE WHEN doc_id % 2 = 0 AND doc_id IN (SELECT o_orderkey FROM orders) THEN 'place ' || doc_id END AS p FROM documents), c AS (SELECT doc_id, p, CASE "
+    + " ".join(f"WHEN regexp_matches(low, '{B}{c}{A}') THEN '{c}'" for c in sorted(fixed.CITIES, key=len, reverse=True))
+    + " END AS city FROM t), n AS (SELECT doc_id, CASE WHEN p IS NOT NULL AND length(p) > coalesce(length(city), 0) THEN p ELSE city END AS name FROM c) SELECT * FROM n WHERE name IS NOT NULL",
+)
+def _(spark, sf):
+    """The fixed cities and a place for every order, as one table of names."""
+    k = F.col("doc_id")
+    said = F.concat(_plant(_MENTIONS), F.lit(" Place "), k.cast("string"), F.when(k % 2 == 0, "!").otherwise("x"))
+    o = F.concat(F.lit("Place "), F.col("o_orderkey").cast("string"))
+    orders = table(spark, sf, "orders").select(o.alias("name"), o.alias("place"), (F.col("o_orderkey") + 1000).alias("pos"))
+    fixed_ = spark.createDataFrame([(c, c, i) for i, c in enumerate(fixed.CITIES)], "name string, place string, pos bigint")
+    docs = _docs(spark, sf).select("doc_id", said.alias("said"))
+    return places.find_places(docs, places.name_table(fixed_.unionByName(orders)), "doc_id", "said").select("doc_id", "name")
+
+
 def _plant(options):
     return F.concat(
         F.left("text", F.lit(300)), F.lit(" "), choose(F.col("doc_id"), options), F.lit(" "), F.substr("text", F.lit(301))
@@ -291,6 +309,30 @@ def _(spark, sf):
     return points(spark, sf).select("c_custkey", best["city"].alias("city"), F.round(best["km"], 3).alias("km"))
 
 
+# parts as cities all over the globe, some of them at one point, at the poles and on both sides of the date line
+_PART_CITIES = (
+    "pc AS (SELECT p_partkey AS pos, 'city ' || p_partkey AS name, CASE p_partkey % 50 WHEN 0 THEN 90.0 WHEN 1 THEN -90.0 ELSE (p_partkey * 7919 % 17000) / 100.0 - 85 END::double AS clat, "
+    "CASE WHEN p_partkey % 7 = 0 THEN 179.9 WHEN p_partkey % 7 = 1 THEN -179.9 ELSE (p_partkey * 104729 % 36000) / 100.0 - 180 END::double AS clon FROM part), "
+    "cp AS (SELECT c_custkey, (c_custkey * 6101 % 18001) / 100.0 - 90 AS lat, (c_custkey * 3571 % 36001) / 100.0 - 180 AS lon FROM customer)"
+)
+
+
+@query(
+    "geo_02_nearest_of_table",
+    f"WITH {_PART_CITIES}, d AS (SELECT c_custkey, name, pos, {_km_sql('lat', 'lon', 'clat', 'clon')} AS km FROM cp, pc) "
+    "SELECT c_custkey, name, round(km, 3) AS km FROM d WHERE km <= 400 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY round(km, 6), pos) = 1",
+)
+def _(spark, sf):
+    k = F.col("p_partkey")
+    lat = F.when(k % 50 == 0, 90.0).when(k % 50 == 1, -90.0).otherwise((k * 7919) % 17000 / 100.0 - 85)
+    lon = F.when(k % 7 == 0, 179.9).when(k % 7 == 1, -179.9).otherwise((k * 104729) % 36000 / 100.0 - 180)
+    name = F.concat(F.lit("city "), k.cast("string"))
+    cities = table(spark, sf, "part").select(name.alias("name"), lat.alias("lat"), lon.alias("lon"), k.alias("pos"))
+    c = F.col("c_custkey")
+    at = table(spark, sf, "customer").select("c_custkey", ((c * 6101) % 18001 / 100.0 - 90).alias("lat"), ((c * 3571) % 36001 / 100.0 - 180).alias("lon"))
+    return places.nearest_of(at, cities, "c_custkey", 400).select("c_custkey", "name", F.round("km", 3).alias("km"))
+
+
 _SAYS = ["billboards near me", "screens in town", "what is nearby?", "show smd"]
 _STATED = ["Multan ", "your city", "", "Sialkot", "n/a"]
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hemline.functions import fixed, geo
 from hemline.functions import text as T
+from hemline.operators.places import nearest_of, resolve_places
 from hemline.operators.scale import first_n
 
 
@@ -39,25 +40,37 @@ def listing_summary(listings: DataFrame, by: list[str], top: int, total_found: s
 
 
 def resolve_city(
-    requests: DataFrame, default_city: str = "Rawalpindi", max_km: float = 120.0
-) -> DataFrame:
+    requests: DataFrame, default_city: str = "Rawalpindi", max_km: float = 120.0, names: DataFrame | None = None,
+    cities: DataFrame | None = None, key: str = "id",
+) -> DataFrame:
     """City a request means and how it was found.
 
+    By default place names and city points are the fixed ones. ``names`` (a :func:`places.name_table`) and ``cities``
+    (name, lat, lon, pos) take tables of any size in their stead; ``key`` then tells the requests apart.
+
     ``requests`` has message, city (the tool's guess), and as available current_city, lat, lon, places (array
     of locality names for the coordinates) and ip_city. Only near-me messages use the writer's location:
     coordinates first, then the stated city, the address lookup, the default.
     """
     have = set(requests.columns)
+    known, near_city = F.lit(None).cast("string"), None
+    if names is not None and "places" in have:
+        found = resolve_places(requests, names, key, "places").withColumnRenamed("place", "_place")
+        requests, known = requests.join(found, key, "left"), F.col("_place")
+    if cities is not None and {"lat", "lon"} <= have:
+        spot = nearest_of(requests.select(key, "lat", "lon"), cities, key, max_km).select(key, F.col("name").alias("_nearest"))
+        requests, near_city = requests.join(spot, key, "left"), F.col("_nearest")
 
     def column(name: str, kind: str = "string") -> Column:
         return F.col(name) if name in have else F.lit(None).cast(kind)
 
     lat, lon = column("lat", "double"), column("lon", "double")
-    names = F.filter(F.transform(column("places", "array<string>"), _known_place), lambda x: x.isNotNull())
-    by_point = F.when(
-        lat.isNotNull() & lon.isNotNull(),
-        F.coalesce(F.get(names, F.lit(0)), geo.nearest_city(lat, lon, max_km=max_km)["city"]),
-    )
+    if names is None:
+        said = F.filter(F.transform(column("places", "array<string>"), _known_place), lambda x: x.isNotNull())
+        known = F.get(said, F.lit(0))
+    if near_city is None:
+        near_city = geo.nearest_city(lat, lon, max_km=max_km)["city"]
+    by_point = F.when(lat.isNotNull() & lon.isNotNull(), F.coalesce(known, near_city))
     stated = T.strip(T.null_if_placeholder(column("current_city")))
     by_ip = F.when(column("ip_city") != "", column("ip_city"))
     fallback = default_city.strip() or fixed.LAST_RESORT_CITY
@@ -69,7 +82,7 @@ def resolve_city(
         F.when(by_point.isNotNull(), "coordinates").when(stated.isNotNull(), "stated").when(by_ip.isNotNull(), "address")
         .otherwise("default"),
     ).otherwise(F.when(guess.isNotNull(), "named").otherwise("unknown"))
-    return requests.withColumn("resolved_city", city).withColumn("how", how)
+    return requests.withColumn("resolved_city", city).withColumn("how", how).drop("_place", "_nearest")
 
 
 def _known_place(name: Column) -> Column:
