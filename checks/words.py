@@ -13,6 +13,8 @@ from hemline.functions import text as T
 from hemline.operators import places
 from hemline.operators.listings import resolve_city
 from hemline.operators.replies import parse_tool_calls, tool_defaults
+from hemline.operators.title_index import TitleIndex, search_all
+from hemline.session import shared_path
 
 B, A = rf"(^|[^{WORD}])", rf"($|[^{WORD}])"
 
@@ -658,6 +660,22 @@ def _(spark, sf):
     return _docs(spark, sf).filter(T.title_matches(title, "The An")).select("doc_id")
 
 
+@query(
+    "txt_29_title_index",
+    "WITH t AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 4 = 1 THEN 'Now ' || text ELSE text END AS title FROM documents WHERE doc_id % 40 <> 2) "
+    "SELECT q AS query, doc_id FROM t, (VALUES ('the an'), ('now th'), ('ing. '), ('zzqx'), ('é')) v(q) WHERE contains(lower(title), q)",
+)
+def _(spark, sf):
+    """Whole texts as titles; a second batch renames a quarter of them and takes some out."""
+    k = F.col("doc_id")
+    d = _docs(spark, sf).select(k.alias("id"), F.when(k % 9 > 0, F.col("text")).alias("title"), F.lit(False).alias("gone"))
+    index = TitleIndex(spark, shared_path(spark, "titles"))
+    index.add(d, 0)
+    changed = d.filter("id % 4 = 1 OR id % 40 = 2").withColumn("gone", F.col("id") % 40 == 2)
+    index.add(changed.withColumn("title", F.when(F.col("id") % 9 > 0, F.concat(F.lit("Now "), "title"))), 1)
+    return search_all(index, ["the an", "now th", "ing. ", "zzqx", "é"]).select("query", F.col("id").alias("doc_id"))
+
+
 @query(
     "txt_30_client_ips",
     "WITH e AS (SELECT event_id, event_id % 6 AS k, (event_id * 7919) % 256 AS a, (event_id * 31) % 256 AS b, event_id % 256 AS c FROM events), i AS (SELECT *, CASE WHEN k = 5 THEN 'not-an-ip' WHEN k = 4 THEN (['fe80::1', "
