@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
-from checks.registry import DOCS, LANGS, documents, md5_text, query, sql_values, table
+from checks.registry import DOCS, documents, md5_text, query, sql_values, table
 from hemline.functions import fixed
 from hemline.operators import sampling
-from hemline.session import shared_path
+from hemline.session import shared_path, stored
 from hemline.sources import captions, chats, dims, reports
-
-
-def _file_system(spark, path):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def _put(spark, path: str, content: str) -> None:
-    """A small file: one recorded report."""
-    fs, where = _file_system(spark, path)
-    out = fs.create(where, True)
-    out.write(bytearray(content, "utf-8"))
-    out.close()
+from hemline.sources.recorded import read_recorded, write_recorded
 
 
 @query(
@@ -31,66 +17,97 @@ def _put(spark, path: str, content: str) -> None:
     f"WITH {DOCS} SELECT 'Lang_' || category AS category, filename, 'Lang' AS season, category AS gender, md5(caption) AS caption FROM docs",
 )
 def _(spark, sf):
+    """Many files of each language, written by the tasks that hold its documents."""
     root = shared_path(spark, "caption-files")
-    for lang in LANGS:
-        rows = documents(spark, sf).filter(F.col("category") == lang).select("filename", "caption")
-        rows.coalesce(1).write.options(header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False,
-                                       ignoreTrailingWhiteSpace=False).csv(f"{root}/{lang}")
-        fs, folder = _file_system(spark, f"{root}/{lang}")
-        part = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
-        fs.rename(part, _file_system(spark, f"{root}/{lang}/captions_Lang_{lang}.csv")[1])
+    d = documents(spark, sf)
+    cell = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat(cell(F.col("filename")), F.lit(","), cell(F.coalesce("caption", F.lit(""))))
+    # a few hundred documents a file, however many there are of a language
+    files = d.groupBy("category", F.floor(F.col("pos") / 256).alias("_part")).agg(F.collect_list(line).alias("lines"))
+    write_recorded(
+        files.select(
+            F.concat_ws("/", "category", F.col("_part").cast("string")).alias("folder"),
+            F.concat(F.lit("captions_Lang_"), "category", F.lit(".csv")).alias("name"),
+            F.concat(F.lit('"filename","caption"\n'), F.array_join("lines", "\n"), F.lit("\n")).alias("text"),
+        ),
+        root,
+    )
     found = captions.read_captions(spark, root)
     return found.select("category", "filename", "season", "gender", md5_text("caption").alias("caption"))
 
 
-_BY_TYPE = "t AS (SELECT event_type, count(*) AS n, sum(event_id % 50) AS s, max(event_id) AS last FROM events GROUP BY 1)"
+# a report for each user and day
+_BY_USER = "t AS (SELECT 'u' || user_id || '-' || strftime(ts, '%Y%m%d') AS one, count(*) AS n, sum(event_id % 50)::bigint AS s, max(event_id) AS last FROM events GROUP BY 1)"
+
 
+def _by_user(spark, sf):
+    e = table(spark, sf, "events")
+    one = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd"))
+    return e.groupBy(one.alias("one")).agg(F.count("*").alias("n"), F.sum(F.col("event_id") % 50).alias("s"), F.max("event_id").alias("last"))
 
-def _by_type(spark, sf):
-    """Few rows, one for each type of event."""
-    e = table(spark, sf, "events").groupBy("event_type")
-    return e.agg(F.count("*").alias("n"), F.sum(F.col("event_id") % 50).alias("s"), F.max("event_id").alias("last")).collect()
+
+def _reports(spark, sf, name, body):
+    """Each user's and day's report as a file that spans lines, in a folder for the day."""
+    root = shared_path(spark, name)
+    day = F.substring_index("one", "-", -1)
+    text = F.to_json(body, {"pretty": "true"}) if not isinstance(body, str) else F.expr(body)
+    write_recorded(_by_user(spark, sf).select(day.alias("folder"), F.concat("one", F.lit(".json")).alias("name"), text.alias("text")), root)
+    return root
 
 
 @query(
     "src_09_read_eval_report",
-    f"WITH {_BY_TYPE} SELECT 'content' AS section, event_type AS test, 'score' AS metric, s::varchar AS value FROM t UNION ALL SELECT 'content', event_type, 'note', 'n' || n FROM t "
+    f"WITH {_BY_USER} SELECT 'content' AS section, one AS test, 'score' AS metric, s::varchar AS value FROM t UNION ALL SELECT 'content', one, 'note', 'n' || n FROM t "
     "UNION ALL SELECT 'content', NULL, 'average_score', n::varchar FROM t UNION ALL SELECT 'rules', NULL, 'overall_rate', last::varchar FROM t",
 )
 def _(spark, sf):
-    root = shared_path(spark, "eval-reports")
-    for r in _by_type(spark, sf):
-        body = {r["event_type"]: {"score": r["s"], "note": f"n{r['n']}"}, "average_score": r["n"]}
-        _put(spark, f"{root}/{r['event_type']}.json", json.dumps({"content": body, "rules": {"overall_rate": r["last"]}}, indent=1))
-    return reports.read_eval_report(spark, root).select("section", "test", "metric", "value")
+    body = """format_string('{\n "content": {"%s": {"score": %d, "note": "n%d"}, "average_score": %d},\n "rules": {"overall_rate": %d}\n}', one, s, n, n, last)"""
+    root = _reports(spark, sf, "eval-reports", body)
+    return reports.flatten_report(read_recorded(spark, root).select(F.col("text").alias("json"))).select("section", "test", "metric", "value")
+
+
+@query(
+    "src_09_read_eval_report_of_a_day",
+    f"WITH {_BY_USER} SELECT one AS test, s::varchar AS value FROM t WHERE right(one, 8) = '20240102'",
+)
+def _(spark, sf):
+    """One day's reports: the condition goes to the source, other folders are not opened."""
+    body = """format_string('{"content": {"%s": {"score": %d}}}', one, s)"""
+    found = read_recorded(spark, _reports(spark, sf, "eval-reports", body)).filter("folder = '20240102'")
+    return reports.flatten_report(found.select(F.col("text").alias("json"))).select("test", "value")
 
 
 @query(
     "src_09_write_eval_report",
-    f"WITH {_BY_TYPE} SELECT 'content' AS section, event_type AS test, 'n' AS metric, n::varchar AS value FROM t UNION ALL SELECT 'rules', event_type, 's', s::varchar FROM t",
+    f"WITH {_BY_USER} SELECT 'content' AS section, one AS test, 'n' AS metric, n::varchar AS value FROM t UNION ALL SELECT 'rules', one, 's', s::varchar FROM t",
 )
 def _(spark, sf):
-    rows = [x for r in _by_type(spark, sf) for x in (("content", r["event_type"], "n", str(r["n"])), ("rules", r["event_type"], "s", str(r["s"])))]
+    row = lambda section, c: F.struct(F.lit(section).alias("section"), F.col("one").alias("test"), F.lit(c).alias("metric"), F.col(c).cast("string").alias("value"))
+    rows = _by_user(spark, sf).select(F.explode(F.array(row("content", "n"), row("rules", "s"))).alias("r")).select("r.*")
     root = shared_path(spark, "eval-rows")
-    reports.write_eval_report(spark.createDataFrame(rows, "section string, test string, metric string, value string"), root)
+    reports.write_eval_report(rows, root)
     return spark.read.json(root).select("section", "test", "metric", "value")
 
 
 _SCORES = (
-    f"{_BY_TYPE}, c(criterion, i) AS (VALUES " + ", ".join(f"('{c}', {i})" for i, c in enumerate([*fixed.CRITERIA, "overall"])) + ")"
-    ", j AS (SELECT event_type AS title, model, criterion, CASE WHEN model = 'base' THEN n + i ELSE s END::double AS score FROM t, c, (VALUES ('base'), ('finetuned')) m(model))"
+    f"{_BY_USER}, c(criterion, i) AS (VALUES " + ", ".join(f"('{c}', {i})" for i, c in enumerate([*fixed.CRITERIA, "overall"])) + ")"
+    ", j AS (SELECT one AS title, model, criterion, CASE WHEN model = 'base' THEN n + i ELSE s END::double AS score FROM t, c, (VALUES ('base'), ('finetuned')) m(model))"
 )
 
 
 def _judged(spark, sf):
-    root = shared_path(spark, "judge-reports")
-    for r in _by_type(spark, sf):
-        def evaluation(score):
-            return {c: {"score": score(i), "justification": "j"} for i, c in enumerate(fixed.CRITERIA)} | {"overall_score": score(5), "overall_feedback": "f"}
+    def evaluation(score):
+        parts = [F.struct(score(i).alias("score"), F.lit("j").alias("justification")).alias(c) for i, c in enumerate(fixed.CRITERIA)]
+        return F.struct(*parts, score(5).alias("overall_score"), F.lit("f").alias("overall_feedback"))
 
-        one = {"title": r["event_type"], "base_evaluation": evaluation(lambda i: r["n"] + i), "finetuned_evaluation": evaluation(lambda i: r["s"])}
-        _put(spark, f"{root}/{r['event_type']}.json", json.dumps({"timestamp": "x", "results": [one]}, indent=1))
-    return reports.read_judge_report(spark, root)
+    one = F.struct(
+        F.col("one").alias("title"), evaluation(lambda i: F.col("n") + i).alias("base_evaluation"),
+        evaluation(lambda i: F.col("s")).alias("finetuned_evaluation"),
+    )
+    root = _reports(spark, sf, "judge-reports", F.struct(F.lit("x").alias("timestamp"), F.array(one).alias("results")))
+    schema = reports.judge_schema()
+    found = read_recorded(spark, root).select(F.from_json("text", schema).alias("r")).select("r.*")
+    return reports.judge_rows(found)
 
 
 @query("src_10_read_judge_report", f"WITH {_SCORES} FROM j")
@@ -107,29 +124,29 @@ def _(spark, sf):
 
 @query(
     "src_11_read_runs",
-    f"WITH {_BY_TYPE} SELECT 'run-' || event_type AS run_id, last AS _step, CASE WHEN n % 2 = 0 THEN s / 8 END AS train_loss, NULL::double AS val_loss, CASE WHEN n % 3 <> 0 THEN s::varchar END AS epochs FROM t",
+    f"WITH {_BY_USER} SELECT 'run-' || one AS run_id, last AS _step, CASE WHEN n % 2 = 0 THEN s / 8 END AS train_loss, NULL::double AS val_loss, CASE WHEN n % 3 <> 0 THEN s::varchar END AS epochs FROM t",
 )
 def _(spark, sf):
     root = shared_path(spark, "runs")
-    for r in _by_type(spark, sf):
-        folder = f"{root}/run-{r['event_type']}/files"
-        _put(spark, f"{folder}/x-summary.json", json.dumps({"_step": r["last"]} | ({"train_loss": r["s"] / 8} if r["n"] % 2 == 0 else {})))
-        if r["n"] % 3:
-            _put(spark, f"{folder}/x-metadata.json", json.dumps({"args": ["--flag", "--epochs", str(r["s"])]}, indent=1))
+    t = stored(_by_user(spark, sf), "runs-of-users")
+    folder = F.concat(F.lit("run-"), "one", F.lit("/files")).alias("folder")
+    loss = F.when(F.col("n") % 2 == 0, F.col("s") / 8).alias("train_loss")
+    summary = t.select(folder, F.lit("x-summary.json").alias("name"), F.to_json(F.struct(F.col("last").alias("_step"), loss)).alias("text"))
+    args = F.format_string('{\n "args": ["--flag", "--epochs", "%d"]\n}', "s")
+    launch = t.filter("n % 3 > 0").select(folder, F.lit("x-metadata.json").alias("name"), args.alias("text"))
+    write_recorded(summary.unionByName(launch), root)
     runs = reports.read_runs(spark, root)
     return runs.select("run_id", "_step", "train_loss", "val_loss", F.try_element_at("args", F.lit("epochs")).alias("epochs"))
 
 
 @query(
     "src_12_read_outcomes",
-    f"WITH {_BY_TYPE} SELECT event_type AS category, n AS captioned, s AS failed, n + s AS total FROM t",
+    f"WITH {_BY_USER} SELECT one AS category, n AS captioned, s AS failed, n + s AS total FROM t",
 )
 def _(spark, sf):
-    root = shared_path(spark, "outcomes")
-    for r in _by_type(spark, sf):
-        counts = {"captioned": r["n"], "failed": r["s"], "total": r["n"] + r["s"]}
-        _put(spark, f"{root}/{r['event_type']}.json", json.dumps({r["event_type"]: counts, "timestamp": "2025-01-01", "total_captioned": r["n"]}, indent=1))
-    return reports.read_outcomes(spark, root)
+    body = """format_string('{\n "%s": {"captioned": %d, "failed": %d, "total": %d},\n "timestamp": "2025-01-01", "total_captioned": %d\n}', one, n, s, n + s, n)"""
+    root = _reports(spark, sf, "outcomes", body)
+    return reports.outcome_rows(read_recorded(spark, root).select(F.col("text").alias("json")))
 
 
 @query(

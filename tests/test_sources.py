@@ -160,3 +160,23 @@ def test_dims(spark):
     assert dims.content_type_dim(spark, sampling.CONTENT_TYPES).agg(F.sum("weight")).first()[0] == 24
     assert dims.tool_dim(spark).filter("required").count() == 5
     assert dims.rule_dim(spark, CONSTRAINT_RULES).filter("test = 'winter_men'").first().must_not == ["summer", "lawn", "cotton kurta"]
+
+
+def test_recorded_files_are_written_by_tasks_and_pruned_by_place(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, StringStartsWith
+
+    from hemline.sources.recorded import _Reader, read_recorded, write_recorded
+
+    root = f"file://{tmp_path}/recorded"
+    data = [(f"day={i % 3}/u{i}", f"r{i % 2}.json", f"text {i}\nü") for i in range(30)] + [("", "top.json", None)]
+    write_recorded(spark.createDataFrame(data, "folder string, name string, text string").repartition(4), root)
+    got = {(r["folder"], r["name"], r["text"]) for r in read_recorded(spark, root, partition_bytes=40).collect()}
+    assert got == {(f, n, t or "") for f, n, t in data}
+    assert read_recorded(spark, root, partition_bytes=40).rdd.getNumPartitions() > 5
+    reader = _Reader(root, 1000)
+    assert list(reader.pushFilters([EqualTo(("name",), "r1.json"), StringStartsWith(("folder",), "day=1/"), EqualTo(("text",), "x")])) == [EqualTo(("text",), "x")]
+    assert sum(len(p.paths) for p in reader.partitions()) == 5
+    found = read_recorded(spark, root).filter("name = 'r1.json' AND folder LIKE 'day=1/%'")
+    assert found.count() == 5
+    with pytest.raises(Exception, match="no place below the root"):
+        write_recorded(spark.createDataFrame([("../x", "a", "t")], "folder string, name string, text string"), root)
