@@ -120,43 +120,42 @@ def augmentation_plan(
     Draw i takes any image of the category and any transform, with repeats allowed. If that name exists already, the
     next transforms in their order are tried, then the next images, so each slot gets a free name as long as there is
     one. ``images`` is (category, filename), ``counts`` is (category, pos, n).
+
+    A name says which slot, image and transform it stands for, so an existing one is a place in the order its slot tries
+    them in. The first place of a slot that is not among those is found by ranking them: no slot is tried twice,
+    whatever is taken.
     """
+    many = len(fixed.TRANSFORMS)
     short = needed(counts, target).filter("needed > 0 AND n > 0").select("category", "n", "needed")
     key = F.concat_ws("|", "category", F.col("i").cast("string"), F.lit("0"))
-    draws = repeated(short, "needed", "i").select(
-        "category",
-        "i",
-        "n",
-        draw(_tag(seed, "image", key), F.col("n")).alias("k0"),
-        draw(_tag(seed, "transform", key), len(fixed.TRANSFORMS)).alias("t0"),
-    )
+    first = {"k0": draw(_tag(seed, "image", key), F.col("n")), "t0": draw(_tag(seed, "transform", key), many)}
     usable = images.join(small_side(short.select("category")), "category", "left_semi")
     numbered = ranked(usable, ["category"], ["filename"], "k", hot_rows, split).withColumnRenamed("filename", "source")
-    taken = images.select("category", F.col("filename").alias("new_name"))
+    numbered = stored(numbered.select("category", "k", "source"), "numbered")
+
+    # existing names that a slot could stand for, as (slot, place in its order)
+    part = lambda n: F.regexp_extract("filename", _COPY, n)
+    copies = usable.select(
+        "category", F.concat(part(1), part(4)).alias("source"), part(2).try_cast("bigint").alias("i"),
+        (F.array_position(F.array(*[F.lit(t) for t in fixed.TRANSFORMS]), part(3)) - 1).alias("t"),
+    ).filter("i IS NOT NULL AND t >= 0")
+    taken = copies.join(short, "category").filter("i < needed").join(numbered, ["category", "source"]).withColumns(first)
+    place = F.pmod(F.col("k") - 1 - F.col("k0"), F.col("n")) * many + F.pmod(F.col("t") - F.col("t0"), F.lit(many))
+    places = taken.select("category", "i", place.alias("place")).distinct()
+    in_a_row = ranked(places, ["category", "i"], ["place"], "r", hot_rows).filter("place = r - 1")
+    passed = in_a_row.groupBy("category", "i").agg(F.count(F.lit(1)).alias("passed"))
+
+    slots = repeated(short, "needed", "i").select("category", "i", "n").join(passed, ["category", "i"], "left").na.fill({"passed": 0})
+    slots = slots.filter(F.col("passed") < F.col("n") * many).withColumns(first)
+    transforms = F.array(*[F.lit(t) for t in fixed.TRANSFORMS])
+    slots = slots.select(
+        "category", "i", (F.pmod(F.col("k0") + F.floor(F.col("passed") / many), F.col("n")) + 1).alias("k"),
+        F.get(transforms, ((F.col("t0") + F.col("passed")) % many).cast("int")).alias("transform"),
+    )
     stem, ext = F.regexp_replace("source", r"\.[^.]*$", ""), F.regexp_extract("source", r"(\.[^.]*)$", 1)
     name = F.concat(stem, F.lit("_aug_"), F.col("i").cast("string"), F.lit("_"), "transform", ext)
-    transforms = F.array(*[F.lit(t) for t in fixed.TRANSFORMS])
+    return slots.join(numbered, ["category", "k"]).select("category", "i", "source", "transform", name.alias("new_name"))
+
 
-    def named(slots: DataFrame) -> DataFrame:
-        """Slots with the names they stand for; ``step`` counts the transforms passed over."""
-        at = slots.withColumn("transform", F.get(transforms, ((F.col("t0") + F.col("step")) % len(fixed.TRANSFORMS)).cast("int")))
-        at = at.withColumn("k", F.pmod(F.col("k0") + F.col("jump"), F.col("n")) + 1)
-        return at.join(numbered, ["category", "k"]).withColumn("new_name", name)
-
-    first = named(draws.withColumn("step", F.lit(0)).withColumn("jump", F.lit(0).cast("bigint")))
-    marked = first.join(taken.withColumn("_taken", F.lit(True)).distinct(), ["category", "new_name"], "left")
-    marked = stored(marked, "draws")
-    columns = ["category", "i", "source", "transform", "new_name"]
-    plan = marked.filter("_taken IS NULL").select(*columns)
-    # few slots collide; every round gives the rest all transforms of one more image
-    rest, jump = marked.filter("_taken").select("category", "i", "n", "k0", "t0"), 0
-    while not rest.isEmpty():
-        steps = F.explode(F.sequence(F.lit(0 if jump else 1), F.lit(len(fixed.TRANSFORMS) - 1)))
-        tried = named(rest.filter(F.col("n") > jump).withColumn("step", steps).withColumn("jump", F.lit(jump).cast("bigint")))
-        free = tried.join(taken, ["category", "new_name"], "left_anti")
-        got = free.groupBy("category", "i").agg(F.min_by(F.struct("source", "transform", "new_name"), "step").alias("_row"))
-        got = stored(got.select("category", "i", "_row.*"), "slots")
-        plan = plan.unionByName(got)
-        rest = stored(rest.filter(F.col("n") > jump + 1).join(got, ["category", "i"], "left_anti"), "rest")
-        jump += 1
-    return plan
+# A copy's name: image without its ending, slot, transform, ending.
+_COPY = r"(?s)^(.*)_aug_(0|[1-9][0-9]{0,17})_([^.]*)(\.[^.]*)?$"
