@@ -13,10 +13,19 @@ HOT_ROWS = 2_000_000
 SMALL_ROWS, SMALL_BYTES = 100_000, 16 << 20
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group. Counts are combined before the shuffle and only one number reaches the driver."""
+# Rows of a slab: what one task sorts when a large table is spread over order.
+SLAB_ROWS = 500_000
+
+
+def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows in all and rows of the largest group. Counts are combined before the shuffle and two numbers reach the driver."""
     counts = df.groupBy(*keys).count() if keys else df.agg(F.count(F.lit(1)).alias("count"))
-    return counts.agg(F.max("count").alias("n")).first()["n"] or 0
+    sizes = counts.agg(F.sum("count").alias("rows"), F.max("count").alias("n")).first()
+    return sizes["rows"] or 0, sizes["n"] or 0
+
+
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    return group_sizes(df, keys)[1]
 
 
 def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
@@ -57,19 +66,26 @@ class Ordered:
 
     When every group fits one task this is a plain window. Otherwise rows are spread by range over keys and
     order together, so one group covers many partitions; each partition works alone and adds what the
-    partitions before it sum up to. ``order`` must tell all rows of a group apart. ``split`` says what is
-    already known about the group sizes; otherwise they are counted first.
+    partitions before it sum up to. ``order`` must tell all rows of a group apart. ``split`` and ``rows`` say what is
+    already known about the group sizes and the table; otherwise both are counted in one pass. There are as many
+    partitions as the rows make at ``slab_rows`` each, where that is more than the session's own number.
     """
 
     def __init__(
-        self, df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS, split: bool | None = None
-    ):
+        self, df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS, split: bool | None = None,
+        rows: int | None = None, slab_rows: int = SLAB_ROWS,
+    ):
         self.keys, self.order = list(keys), list(order)
-        self.split = largest_group(df, self.keys) > hot_rows if split is None else split
+        if split is None:
+            rows, largest = group_sizes(df, self.keys)
+            split = largest > hot_rows
+        self.split = split
         if self.split:
+            slabs = -(-(df.count() if rows is None else rows) // slab_rows)
+            own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             # The stored copy pins which row sits in which partition: every later pass must agree on it.
             placed = (
-                df.repartitionByRange(*self.keys, *self.order)
+                df.repartitionByRange(*([slabs] if slabs > own else []), *self.keys, *self.order)
                 .sortWithinPartitions(*self.keys, *self.order)
                 .withColumn("_at", F.monotonically_increasing_id())
             )

@@ -131,3 +131,14 @@ def test_attach_deals_equal_rows_and_maps(spark):
     facts = spark.createDataFrame([("hot", 1), ("a", 2)], "k string, fact int")
     got = scale.attach(df, facts, "k", 5)
     assert got.select("k", "fact").distinct().count() == 2 and got.count() == 51
+
+
+def test_slabs_grow_with_the_rows(spark):
+    slabs = {}
+    for n in (3_000, 30_000):
+        df = spark.range(n).select(F.lit("one").alias("k"), "id")
+        ordered = scale.Ordered(df, ["k"], ["id"], hot_rows=10, slab_rows=100)
+        slabs[n] = ordered.df.select("_slab").distinct().count()
+        ranks = ordered.rank("r").done()
+        assert ranks.filter("r <> id + 1").count() == 0 and ranks.count() == n
+    assert 0.8 < slabs[30_000] / slabs[3_000] / 10 < 1.2
