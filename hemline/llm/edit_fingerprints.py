@@ -1,7 +1,7 @@
 """Document fingerprints that feel edits: Order MinHash with column expressions only.
 
-The letters are the words of a text (runs of over 16 characters are cut into pieces of 16; short texts go by
-characters), a k-mer is three letters in a row. Each k-mer carries the number of its earlier occurrences in the text, so repeats count. The hash of a numbered
+The letters are the words of a text cut into pieces of up to four characters, at every length of text; a k-mer is three
+letters in a row. Each k-mer carries the number of its earlier occurrences in the text, so repeats count. The hash of a numbered
 k-mer picks one of 128 bins; each bin keeps its two smallest, puts them back in text order and hashes the pair. Moving,
 inserting or deleting words changes pairs as well as k-mers, which plain MinHash would not see.
 """
@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from hemline.llm.frames import stored, without
 from hemline.llm.order import range_column
 
-PIECE = r"[^\x20\x09-\x0D]{1,16}"
-# Texts under this many code points are too short for words: their letters are their characters.
-SHORT = 256
+PIECE = r"[^\x20\x09-\x0D]{1,4}"
 BINS_BITS = 7
 # Bits of a sort key that hold the place in the text; the bits above hold the hash.
 PLACE = 28
@@ -38,9 +36,7 @@ def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
     """
     words, kmers, marked = f"_{out}_words", f"_{out}_kmers", f"_{out}_marked"
     whole = F.coalesce(F.col(text), F.lit(""))
-    letters = F.regexp_extract_all(whole, F.lit("(?s)."), F.lit(0))
-    pieces = F.regexp_extract_all(whole, F.lit(PIECE), F.lit(0))
-    df = df.withColumn(words, F.when(F.char_length(whole) < SHORT, letters).otherwise(pieces))
+    df = df.withColumn(words, F.regexp_extract_all(whole, F.lit(PIECE), F.lit(0)))
     kmer = lambda x, i: _keyed(F.xxhash64(x, F.get(words, i + 1), F.get(words, i + 2)), i)
     df = df.withColumn(kmers, F.sort_array(F.transform(words, kmer)))
     jumps = F.array(*[F.lit(1 << b) for b in range(PLACE - 1, -1, -1)])
@@ -96,9 +92,10 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -
     return signed.withColumn(out, as_text(F.col("_signature"))).drop("_signature")
 
 
-def with_next(docs: DataFrame, key: str, text: str, carried: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, key: str, text: str, carried: list[str], prepare=lambda df: df) -> DataFrame:
     """Add ``_next_<c>`` for each column of ``carried``: that of the row next in descending order of the key, after the
-    last one the first. Equal keys follow the order of their texts, null keys come last.
+    last one the first. Equal keys follow the order of their texts, null keys come last. ``prepare`` adds columns to the
+    rows once it is known which of them are needed twice.
 
     Texts are shuffled once, by key range. The first row of each range is looked up beforehand and also put at the
     end of the range before it, so no window spans ranges.
@@ -116,7 +113,7 @@ def with_next(docs: DataFrame, key: str, text: str, carried: list[str]) -> DataF
     least = Window.partitionBy("_to").orderBy(text)
     found = found.withColumn("_n", F.row_number().over(least)).filter("_n = 1")
     extra = found.select(*[F.col(c) for c in docs.columns], F.col("_to").alias("_part"), F.lit(1).alias("_extra"))
-    whole = rows.withColumn("_extra", F.lit(0)).unionByName(extra)
+    whole = prepare(rows.withColumn("_extra", F.lit(0)).unionByName(extra))
     w = Window.partitionBy("_part").orderBy("_extra", F.col(key).desc_nulls_last(), text)
     shifted = whole.repartition("_part").withColumns({f"_next_{c}": F.lead(c).over(w) for c in carried})
     return shifted.filter("_extra = 0").drop("_extra", "_part")
@@ -130,7 +127,7 @@ def edited_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text")
     alone is its own next. An empty table gives an empty result; other columns of ``docs`` are left out.
     """
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    both = with_next(with_signature(rows, "_text", "_own"), "_key", "_text", ["_text", "_own"])
+    both = with_next(rows, "_key", "_text", ["_text", "_own"], lambda df: with_signature(df, "_text", "_own"))
     n = F.char_length("_text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("_text", F.lit(1), n - half), F.substring("_next__text", F.lit(1), half))

@@ -226,3 +226,17 @@ def test_language_edges(spark):
     got = sorted((r["doc_id"], r["accepted"]) for r in identify(df, model, df["source"], df["lang"]).collect())
     assert got == [(1, False), (1, False), (2, False), (3, True), (3, True)]
     assert identify_documents(df.limit(0)).count() == 0
+
+
+def test_one_alphabet_at_every_length(spark):
+    """One word more is a small change, also where texts are short."""
+    words = [f"w{i * 7919 % 1000:03d}" for i in range(200)]
+    rows = []
+    for n in (60, 120, 240, 253, 255, 257, 262, 600):
+        text = " ".join(words)[:n]
+        cut = text[: n // 2].rindex(" ")
+        rows.append((n, text, text[:cut] + " x" + text[cut:]))
+    df = spark.createDataFrame(rows, "n int, a string, b string")
+    both = with_signature(with_signature(df, "a", "s"), "b", "t").select("n", likeness(F.col("s"), F.col("t")).alias("l"))
+    found = {r["n"]: r["l"] for r in both.collect()}
+    assert min(found.values()) > 0.75 and min(v for n, v in found.items() if n > 100) > 0.85
