@@ -151,12 +151,12 @@ def _slug_sql(source: str) -> str:
 @query(
     "txt_05_normalize_city",
     "WITH " + _slug_sql(
-        "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_extract(text, '^[^ ]* ?[^ ]*') ELSE " + sql_choose("doc_id // 2", _PLACES) + " END AS name FROM documents"
+        "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE " + sql_choose("doc_id // 2", _PLACES) + " END AS name FROM documents"
     ) + " SELECT doc_id, slug FROM o",
 )
 def _(spark, sf):
     d = _docs(spark, sf)
-    name = F.when(F.col("doc_id") % 2 == 0, F.regexp_extract("text", "^[^ ]* ?[^ ]*", 0)).otherwise(
+    name = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(
         choose(F.floor(F.col("doc_id") / 2), _PLACES)
     )
     return d.select("doc_id", T.city_slug(name).alias("slug"))

@@ -11,6 +11,9 @@ from hemline.operators.places import nearest_of, resolve_places
 from hemline.operators.scale import first_n
 
 
+NO_CITY = "Which city should be searched? Name one, or share your location to search near you."
+
+
 def top_n(listings: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     return first_n(listings, by, order, n)
 
@@ -100,7 +103,8 @@ def render_listing_report(
     """Markdown report per query: header, counts, the first ``top`` listings and what remains.
 
     ``queries`` is (query, city, ad_type, total_found, search_url); ``listings`` carries query and the listing
-    columns. Only the first ``top`` listings per query are gathered.
+    columns. Only the first ``top`` listings per query are gathered. A query without a city was no search: its report
+    asks for one, whatever listings carry its name.
     """
     best = first_n(listings, ["query"], order, top, "place")
 
@@ -129,7 +133,7 @@ def render_listing_report(
     shown = F.least(n, F.lit(top).cast("bigint"))
     total = F.col("total_found")
     left = F.when(total > shown, total - shown).otherwise(n - shown)
-    city = title_case(F.coalesce("city", F.lit("all cities")))
+    city = title_case(F.col("city"))
     kind = title_case(F.coalesce("ad_type", F.lit("")))
     search = F.coalesce("search_url", F.lit(""))
     link = lambda before, label, after: F.when(
@@ -152,7 +156,8 @@ def render_listing_report(
     body = F.array_join(F.col("blocks.block"), "\n")
     none = F.lit("\n\nNothing fits this search; another city or type of media may have more.")
     report = F.when(n == 0, F.concat(header, none)).otherwise(F.concat_ws("\n", header, body, footer))
-    return whole.select("query", report.alias("report"))
+    nowhere = F.coalesce("city", F.lit("")) == ""
+    return whole.select("query", F.when(nowhere, F.lit(NO_CITY)).otherwise(report).alias("report"))
 
 
 def render_details(details: DataFrame) -> DataFrame:

@@ -18,8 +18,10 @@ def _is_price(n: Column) -> Column:
     return F.array_contains(F.split(n["cls"], " "), "price")
 
 
-def extract_listings(pages: DataFrame, source: str | None = None, dedupe: str = "page") -> DataFrame:
-    """Listing cards of each page (page_id, pos, title, …), with the page's stated total.
+def extract_listings(
+    pages: DataFrame, source: str | None = None, dedupe: str = "page", carry: list[str] = ()
+) -> DataFrame:
+    """Listing cards of each page (page_id, pos, title, …), with the page's stated total and its columns in ``carry``.
 
     Cards are elements with an "item-wrap" class, else articles with a listing class, else any article. Cards
     without a title are dropped; a repeated url (title where there is no url) keeps its first card, inside a
@@ -28,10 +30,11 @@ def extract_listings(pages: DataFrame, source: str | None = None, dedupe: str =
     Every step finds its elements once and the next one reads them, so no search is repeated.
     """
     n, s = F.col("nodes"), F.col("sub")
-    parsed = pages.select("page_id", F.col("url").alias("page_url"), H.html_nodes(F.col("html")).alias("raw"))
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("struct<none:int>")
+    parsed = pages.select("page_id", F.col("url").alias("page_url"), carried.alias("with"), H.html_nodes(F.col("html")).alias("raw"))
     nodes = settled(parsed, "nodes", H.placed(F.col("raw"))).drop("raw")
     found = nodes.select(
-        "page_id", "page_url", "nodes",
+        "page_id", "page_url", "with", "nodes",
         H.where(n, "div", "article", "li", test=lambda x: F.contains(x["cls"], F.lit("item-wrap"))).alias("wrapped"),
         H.where(n, "article").alias("articles"),
         H.first(n, "#text", test=lambda x: T.total_in_text(x["text"]).isNotNull()).alias("counted"),
@@ -41,11 +44,11 @@ def extract_listings(pages: DataFrame, source: str | None = None, dedupe: str =
         F.when(F.size("wrapped") > 0, F.col("wrapped")).when(F.size(listed) > 0, listed).otherwise(F.col("articles"))
     )
     cut = found.select(
-        "page_id", "page_url", T.total_in_text(F.col("counted.text")).alias("total_found"),
+        "page_id", "page_url", "with", T.total_in_text(F.col("counted.text")).alias("total_found"),
         F.posexplode(
             F.transform(cards, lambda c: F.struct((c["at"] + 1).alias("start"), H.below(n, c).alias("sub")))
         ).alias("card", "c"),
-    ).select("page_id", "page_url", "total_found", "card", "c.start", "c.sub")
+    ).select("page_id", "page_url", "with", "total_found", "card", "c.start", "c.sub")
 
     def under(node: str | Column) -> Column:
         return H.below(s, F.col(node) if isinstance(node, str) else node, F.col("start"))
@@ -112,6 +115,7 @@ def extract_listings(pages: DataFrame, source: str | None = None, dedupe: str =
     listing = values.select(
         "page_id",
         "page_url",
+        "with",
         "total_found",
         "card",
         F.col("v_title").alias("title"),
@@ -131,7 +135,8 @@ def extract_listings(pages: DataFrame, source: str | None = None, dedupe: str =
     whole = F.struct(*[c for c in listing.columns if c != "_key"])
     kept = listing.groupBy(*key).agg(F.min_by(whole, F.struct("page_id", "card")).alias("_row"))
     order = Window.partitionBy("page_id").orderBy("card")
-    return kept.select("_row.*").withColumn("pos", F.row_number().over(order)).drop("card")
+    rows = kept.select("_row.*").withColumn("pos", F.row_number().over(order)).drop("card")
+    return rows.select("*", *[F.col(f"with.{c}").alias(c) for c in carry]).drop("with")
 
 
 def _pairs(box: Column, use_link: bool) -> Column:

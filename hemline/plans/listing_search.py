@@ -16,8 +16,8 @@ ORDER = ["page_no", "pos"]
 
 def search_listings(pages: DataFrame) -> DataFrame:
     """Listings of all result pages (page_id, query, page_no, url, html) with their query and place."""
-    found = extract_listings(pages.select("page_id", "url", "html"))
-    return found.join(pages.select("page_id", "query", "page_no"), "page_id").withColumn(
+    found = extract_listings(pages, carry=["query", "page_no"])
+    return found.withColumn(
         "listing_id", F.concat_ws("-", F.col("page_id").cast("string"), F.col("pos").cast("string"))
     )
 
@@ -34,10 +34,11 @@ def listing_reports(
     """Report per request (query, city, ad_type): the first listings, contacts for the first few, what remains.
 
     ``details`` are the fetched detail pages (page_id, url, html); only those of the first ``contacts`` listings
-    are matched. The total is the one stated on the earliest page that states any.
+    are matched. The total is the one stated on the earliest page that states any. Requests that name no city, or only a
+    placeholder for one, are answered with the question for it.
     """
     asked = requests.select(
-        "query", T.city_slug(F.col("city")).alias("city"), T.media_types(F.col("ad_type")).alias("types")
+        "query", T.city_slug(T.null_if_placeholder(F.col("city"))).alias("city"), T.media_types(F.col("ad_type")).alias("types")
     )
     # pages are parsed once; ranking, totals and the report all read the far smaller listings
     found = stored(search_listings(pages), "listings")

@@ -93,3 +93,15 @@ def test_nodes_close_like_browsers_do_not(spark):
     assert [(n.tag, n.text, n.last) for n in nodes] == [
         ("div", None, 4), ("p", None, 4), ("#text", "a", 2), ("br", None, 3), ("#text", "b", 4), ("#text", "c", 5), ("script", None, 6),
     ]
+
+
+def test_a_search_without_a_city_asks_for_one(spark):
+    from hemline.operators.listings import NO_CITY
+    from hemline.plans.listing_search import listing_reports
+
+    html = '<p>7 OOH Media Found</p><div class="item-wrap"><h2 class="item-title"><a href="/d/1">One</a></h2></div>'
+    pages_ = spark.createDataFrame([(1, q, 1, "http://h/x", html) for q in ("a",)] + [(2, "b", 1, "http://h/y", html)], "page_id int, query string, page_no int, url string, html string")
+    asked = spark.createDataFrame([("a", "Lahore", "billboard"), ("b", "your city", "billboard"), ("c", None, "billboard")], "query string, city string, ad_type string")
+    none = spark.createDataFrame([], "page_id int, url string, html string")
+    got = {r["query"]: r["report"] for r in listing_reports(asked, pages_, none, "https://l.example.com/").collect()}
+    assert "Lahore" in got["a"] and "[One](/d/1)" in got["a"] and got["b"] == got["c"] == NO_CITY
