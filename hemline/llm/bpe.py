@@ -22,6 +22,8 @@ from hemline.llm.pieces import LETTER, NUMBER, OTHER, SPACE, WHITE, Splitter, Wo
 LONG = 64
 # Words worked on in one recursive query, and steps before the rows of unfinished long words start a new one.
 WORDS, STEPS = 20_000, 32
+# Ids a query decodes at once.
+IDS = 500_000
 
 _CONTRACT = """
 WITH RECURSIVE state AS (
@@ -164,18 +166,23 @@ class Coder:
         return ragged(values, start[pieces.word], each), counts
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
-        """Bytes of each run of ids."""
+        """Bytes of each run of ids. A query takes at most ``IDS`` of them, so a long run is put together from several."""
         doc = np.repeat(np.arange(len(counts)), counts)
-        self._db.register("coded", pa.table({"doc": pa.array(doc), "pos": pa.array(np.arange(len(ids))), "id": pa.array(ids)}))
-        got = self._db.sql(
-            "SELECT doc, string_agg(piece, '' ORDER BY pos) AS text, count(*) AS n FROM coded JOIN vocabulary USING (id) GROUP BY doc"
-        ).to_arrow_table()
-        self._db.unregister("coded")
         out = [b""] * len(counts)
-        if sum(got.column("n").to_pylist()) != len(ids):
-            raise ValueError("an id is not in the vocabulary")
-        for d, text in zip(got.column("doc").to_pylist(), got.column("text").to_pylist()):
-            out[d] = text.encode("latin-1")
+        parts: dict[int, list[bytes]] = {}
+        for a in range(0, len(ids), IDS):
+            part = slice(a, a + IDS)
+            self._db.register("coded", pa.table({"doc": pa.array(doc[part]), "pos": pa.array(np.arange(len(ids[part]))), "id": pa.array(ids[part])}))
+            got = self._db.sql(
+                "SELECT doc, string_agg(piece, '' ORDER BY pos) AS text, count(*) AS n FROM coded JOIN vocabulary USING (id) GROUP BY doc"
+            ).to_arrow_table()
+            self._db.unregister("coded")
+            if sum(got.column("n").to_pylist()) != len(ids[part]):
+                raise ValueError("an id is not in the vocabulary")
+            for d, text in zip(got.column("doc").to_pylist(), got.column("text").to_pylist()):
+                parts.setdefault(d, []).append(text.encode("latin-1"))
+        for d, found in parts.items():
+            out[d] = b"".join(found)
         return out
 
 

@@ -46,6 +46,17 @@ def test_counts_equal_library(library):
     assert TokenCounter(JSON)(texts).tolist() == want
 
 
+def test_decode_in_ranges_of_ids(ranked, monkeypatch):
+    from hemline.llm import bpe
+
+    texts = ["", "one two three " * 40, "x", "", "日本 é " * 30, ""]
+    coder = Coder(RANKS)
+    ids, counts = coder.encode(texts)
+    for most in (1, 7, 10**6):
+        monkeypatch.setattr(bpe, "IDS", most)
+        assert coder.decode(ids, counts) == [t.encode() for t in texts]
+
+
 def thue_morse(n: int) -> tuple[str, str]:
     """A word of a and b and its complement: polynomial hashes modulo 2^64 are equal under any odd base."""
     word = "a"
