@@ -100,11 +100,14 @@ GAPS = "category string, pos int, n bigint, gap bigint, total_gap bigint, priori
 
 
 def stream_balance(captions: DataFrame, categories: list[str], root: str, checkpoint: str) -> None:
-    """Counts, gaps and priorities per category, refreshed with every batch of captions."""
+    """Counts, gaps and priorities per category, refreshed with every batch of captions.
+
+    The counts are written whole before they are joined: a partition of them that a join passes over commits no state.
+    """
     counts = captions.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        totals = batch.filter(F.col("category").isin(categories))
+        totals = stored(batch, "category-counts").filter(F.col("category").isin(categories))
         spread = _as_counts(totals, categories)
         balance_gaps(spread).write.mode("overwrite").parquet(_folder(root, batch_id))
 

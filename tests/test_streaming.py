@@ -183,6 +183,21 @@ def test_balance_follows_arrivals(spark, tmp_path, rows):
     assert rows(inc.latest_batch(spark, f"{root}/out", inc.GAPS), "category", "n", "gap", "priority") == want
 
 
+def test_balance_commits_the_state_of_partitions_no_category_is_in(spark, tmp_path, rows):
+    root = str(tmp_path)
+    conf = {"spark.sql.shuffle.partitions": "13", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # as with inputs of any size
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        arrive(spark, f"{root}/in", "a", [(f"c{i}",) for i in range(60)] + [("p",), (None,)], "category string")
+        inc.stream_balance(stream(spark, f"{root}/in", "category string"), ["p", "q"], f"{root}/out", f"{root}/cp")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert rows(inc.latest_batch(spark, f"{root}/out", inc.GAPS), "category", "n", "gap", "priority") == [("p", 1, 0, 2), ("q", 0, 1, 1)]
+
+
 def test_chat_state_over_batches(spark, tmp_path, rows):
     root, schema = str(tmp_path), "op string, id string, title string, user_id string, ts timestamp, seq bigint"
     ops = [("insert", "a"), ("insert", "b"), ("update", "a"), ("delete", "b"), ("update", "b"), ("insert", "b"), ("update", "b"), ("delete", "a")]
