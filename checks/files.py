@@ -47,11 +47,12 @@ def _by_user(spark, sf):
 
 
 def _reports(spark, sf, name, body):
-    """Each user's and day's report as a file that spans lines, in a folder for the day."""
+    """Each user's and day's report as a file that spans lines, in the packs of a folder for the day."""
     root = shared_path(spark, name)
     day = F.substring_index("one", "-", -1)
     text = F.to_json(body, {"pretty": "true"}) if not isinstance(body, str) else F.expr(body)
-    write_recorded(_by_user(spark, sf).select(day.alias("folder"), F.concat("one", F.lit(".json")).alias("name"), text.alias("text")), root)
+    files = _by_user(spark, sf).select(day.alias("folder"), F.concat("one", F.lit(".json")).alias("name"), text.alias("text"))
+    write_recorded(files, root, pack_depth=1)
     return root
 
 
@@ -134,7 +135,7 @@ def _(spark, sf):
     summary = t.select(folder, F.lit("x-summary.json").alias("name"), F.to_json(F.struct(F.col("last").alias("_step"), loss)).alias("text"))
     args = F.format_string('{\n "args": ["--flag", "--epochs", "%d"]\n}', "s")
     launch = t.filter("n % 3 > 0").select(folder, F.lit("x-metadata.json").alias("name"), args.alias("text"))
-    write_recorded(summary.unionByName(launch), root)
+    write_recorded(summary.unionByName(launch), root, pack_depth=0)
     runs = reports.read_runs(spark, root)
     return runs.select("run_id", "_step", "train_loss", "val_loss", F.try_element_at("args", F.lit("epochs")).alias("epochs"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hemline.functions import fixed
+from hemline.sources.recorded import read_recorded
 
 
 def _whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -98,20 +99,23 @@ RUN = (
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Sparse metric summaries of many runs under ``<root>/<run>/files/`` with their launch arguments as a map."""
-    run_id = F.regexp_extract("_metadata.file_path", r"/([^/]+)/files/[^/]+$", 1)
-    summary = (
-        spark.read.schema(RUN)
-        .options(recursiveFileLookup=True, pathGlobFilter="*-summary.json", multiLine=True)
-        .json(root)
-        .withColumn("run_id", run_id)
-    )
-    launch = (
-        spark.read.schema("args array<string>")
-        .options(recursiveFileLookup=True, pathGlobFilter="*-metadata.json", multiLine=True)
-        .json(root)
-        .select(run_id.alias("run_id"), argument_map(F.col("args")).alias("args"))
-    )
+    """Sparse metric summaries of many runs under ``<root>/<run>/files/`` with their launch arguments as a map.
+
+    Files are read as :func:`read_recorded` finds them, loose or in packs. Hidden ones are passed over.
+    """
+    place = F.concat_ws("/", F.lit(root.rstrip("/")), F.when(F.col("folder") != "", F.col("folder")))
+    run_id = F.regexp_extract(place, r"/([^/]+)/files$", 1)
+
+    def parsed(ending: str, schema: str) -> DataFrame:
+        files = read_recorded(spark, root).filter(F.endswith("name", F.lit(ending)) & ~F.rlike("folder", F.lit(r"(^|/)[._]")))
+        # an array is a row for each element, an empty file none, what is no JSON one of nulls
+        rows = F.from_json("text", f"array<struct<{schema}>>")
+        none = F.array(F.from_json(F.lit("{}"), schema))
+        rows = F.when(F.rlike("text", F.lit(r"\S")), F.coalesce(rows, none))
+        return files.select(run_id.alias("run_id"), F.explode(rows).alias("r")).select("run_id", "r.*")
+
+    summary = parsed("-summary.json", RUN)
+    launch = parsed("-metadata.json", "args array<string>").select("run_id", argument_map(F.col("args")).alias("args"))
     return summary.join(launch, "run_id", "left")
 
 

@@ -1,5 +1,6 @@
 import csv
 import json
+import os
 import struct
 import zlib
 
@@ -180,3 +181,44 @@ def test_recorded_files_are_written_by_tasks_and_pruned_by_place(spark, tmp_path
     assert found.count() == 5
     with pytest.raises(Exception, match="no place below the root"):
         write_recorded(spark.createDataFrame([("../x", "a", "t")], "folder string, name string, text string"), root)
+
+
+def test_packs_read_back_as_the_files_in_them(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, StringStartsWith
+
+    from hemline.sources.recorded import _Reader, read_recorded, write_recorded
+
+    data = [(f"day={i % 3}/u{i}", f"r{i % 2}.json", f"text {i}\nü") for i in range(300)] + [("", "top.json", None)]
+    df = spark.createDataFrame(data, "folder string, name string, text string").repartition(4)
+    for depth, most in ((0, 8), (1, 8 * 3 + 1)):  # two tasks a core
+        root = f"{tmp_path}/packs {depth}"
+        write_recorded(df, root, pack_depth=depth)
+        got = sorted((r["folder"], r["name"], r["text"]) for r in read_recorded(spark, root).collect())
+        assert got == sorted((f, n, t or "") for f, n, t in data)
+        assert sum(len(f) for _, _, f in os.walk(root)) <= most  # not one file for each row
+        assert read_recorded(spark, root).filter("name = 'r1.json' AND folder LIKE 'day=1/%'").count() == 50
+    reader = _Reader(root, 1000)
+    list(reader.pushFilters([StringStartsWith(("folder",), "day=1/")]))
+    assert {p.split("/")[-2] for part in reader.partitions() for p in part.paths} <= {"day=1", "packs 1"}
+    reader = _Reader(root, 1000)
+    list(reader.pushFilters([EqualTo(("folder",), "day=2/u5")]))
+    assert [r for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()] == [{"folder": "day=2/u5", "name": "r1.json", "text": "text 5\nü"}]
+    write_recorded(spark.createDataFrame([("day=1", "later.json", "x")], df.schema), root)  # loose files beside packs
+    assert read_recorded(spark, root).count() == 302
+    with pytest.raises(Exception, match="no place below the root"):
+        write_recorded(spark.createDataFrame([("../x", "a", "t")], df.schema), root, pack_depth=0)
+    assert read_recorded(spark, root).count() == 302
+
+
+def test_runs_in_packs_and_odd_summaries(spark, tmp_path):
+    from hemline.sources.recorded import write_recorded
+
+    texts = {
+        "a b": '{"_step": 3,\n "train_loss": 0.25}', "broken": '{"_step": 3, ', "empty": " ", "many": '[{"_step": 1}, {"_step": 2}]', "wrong": '{"_step": "x", "epoch": 4}',
+    }
+    data = [(f"{r}/files", "x-summary.json", t) for r, t in texts.items()] + [("a b/files", "x-metadata.json", '{"args": ["--epochs", "2"]}'), (".old/files", "x-summary.json", "{}")]
+    write_recorded(spark.createDataFrame(data, "folder string, name string, text string"), f"{tmp_path}/packed", pack_depth=0)
+    found = reports.read_runs(spark, f"{tmp_path}/packed")
+    assert found.columns[0] == "run_id" and found.columns[-1] == "args"
+    got = sorted(((r.run_id, r._step, r.epoch, r.train_loss, r.args) for r in found.collect()), key=repr)
+    assert got == sorted([("a b", 3, None, 0.25, {"epochs": "2"}), ("broken", None, None, None, None), ("many", 1, None, None, None), ("many", 2, None, None, None), ("wrong", None, 4, None, None)], key=repr)
