@@ -7,7 +7,7 @@ node below it, so the nodes below position p are the slice p + 1 .. last.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -20,6 +20,8 @@ from hemline.functions import text as T
 NODES = "array<struct<tag: string, cls: string, attrs: map<string,string>, text: string, last: int>>"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style"}
+# Bytes of pages parsed together: their nodes are Python objects until they are handed on.
+SLICE_BYTES = 1 << 20
 
 
 class _Nodes(HTMLParser):
@@ -86,15 +88,27 @@ def html_nodes(html: Column) -> Column:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
     @F.arrow_udf(NODES)
-    def nodes(pages: pa.Array) -> pa.Array:
-        parser = _Nodes()
-        for page in pages.to_pylist():
-            parser.page(page)
-        return parser.columns()
+    def nodes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            yield from node_slices(pages)
 
     return nodes(html)
 
 
+def node_slices(pages: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Nodes of the pages in order, in slices of about ``slice_bytes`` of page text; no pages give one empty slice."""
+    parser, size = _Nodes(), 0
+    for page in pages:
+        page = page.as_py()
+        parser.page(page)
+        size += len(page or "")
+        if size >= slice_bytes:
+            yield parser.columns()
+            parser, size = _Nodes(), 0
+    if size or len(parser.page_ends) > 1 or not len(pages):
+        yield parser.columns()
+
+
 # --- column helpers over node arrays ----------------------------------------------------------------------
 
 def placed(nodes: Column) -> Column:

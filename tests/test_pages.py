@@ -105,3 +105,20 @@ def test_a_search_without_a_city_asks_for_one(spark):
     none = spark.createDataFrame([], "page_id int, url string, html string")
     got = {r["query"]: r["report"] for r in listing_reports(asked, pages_, none, "https://l.example.com/").collect()}
     assert "Lahore" in got["a"] and "[One](/d/1)" in got["a"] and got["b"] == got["c"] == NO_CITY
+
+
+def test_pages_are_parsed_in_slices(spark):
+    import pyarrow as pa
+
+    from hemline.functions import html as H
+
+    texts = [f"<p class=c{i}>{'x' * (i % 7)}<b>y</b></p>" if i % 5 else [None, ""][i % 2] for i in range(200)]
+    whole = list(H.node_slices(pa.array(texts, pa.string()), 1 << 30))
+    parts = list(H.node_slices(pa.array(texts, pa.string()), 100))
+    assert len(whole) == 1 and len(parts) > 20 and max(len(p) for p in parts) < 20
+    assert pa.concat_arrays(parts).to_pylist() == whole[0].to_pylist() and len(whole[0]) == 200
+    assert [len(p) for p in H.node_slices(pa.array([], pa.string()))] == [0]
+    # Spark puts slices of any length beside the rows they come from
+    rows = spark.range(400).selectExpr("id", "concat('<i>', id, repeat('z', 20000), '</i>') AS html").coalesce(1)
+    got = rows.select("id", H.html_nodes(F.col("html"))[1]["text"].alias("t")).collect()
+    assert len(got) == 400 and all(r["t"] == f"{r['id']}" + "z" * 20000 for r in got)
