@@ -27,20 +27,27 @@ TILE = 1024
 PAIRS = 2_000_000
 
 
-def fingerprint(text: str, words: int = 4) -> int:
-    """64-bit SimHash over word shingles, repeats included."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of every word shingle, repeats included; fewer words are one shingle, none have none."""
     from xxhash import xxh64_intdigest
 
     found = text.encode().lower().split()  # lower-cases A-Z and splits at ASCII white space only
     if not found:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(found)
     size = np.fromiter(map(len, found), np.int64, len(found))
     start = np.cumsum(size + 1) - size - 1
     n = max(1, len(found) - words + 1)
     end = (start + size)[min(words, len(found)) - 1 :]
     view = memoryview(joined)
-    hashes = np.array([xxh64_intdigest(view[a:b], 42) for a, b in zip(start[:n].tolist(), end.tolist())], np.uint64)
+    return np.array([xxh64_intdigest(view[a:b], 42) for a, b in zip(start[:n].tolist(), end.tolist())], np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64-bit SimHash of the hashes of a text's shingles, as a signed number."""
+    n = len(hashes)
+    if not n:
+        return 0
     votes = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):
         part = hashes[i : i + (1 << 16)]
@@ -49,6 +56,11 @@ def fingerprint(text: str, words: int = 4) -> int:
     return int(bits.view(np.int64)[0])
 
 
+def fingerprint(text: str, words: int = 4) -> int:
+    """64-bit SimHash over word shingles, repeats included."""
+    return fingerprint_of(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, out: str = "fp") -> DataFrame:
     """``out`` (bigint, the 64 bits as a signed number) for every whole text, in place of the text."""
 

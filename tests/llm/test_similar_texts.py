@@ -70,3 +70,29 @@ def test_mix_takes_rows_with_null_and_repeated_ids(spark):
     counts = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in mix_rows(docs, share=2.0).collect()}
     got = [r["text"] for r in mixed(docs, share=2.0).collect()]
     assert [got.count(t) for t in texts] == [counts[k, s, len(t.split())] for k, t, s in rows] and got.count(texts[0]) > 0
+
+
+def test_simhash_classes_come_first_and_copies_in_a_class_are_never_paired(spark, monkeypatch):
+    """Near copies that the fingerprints link are one class: they add links in proportion, not all pairs."""
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 9000)}" for _ in range(600)]
+    rows = [(i, " ".join(base[:-1] + [f"end{i}"])) for i in range(120)] + [(500 + i, " ".join(f"x{i}y{j}" for j in range(40))) for i in range(5)]
+    tables = {}
+
+    def keep(df, name, stored=similar_texts.stored):
+        tables[name] = stored(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(similar_texts, "stored", keep)
+    got = [r["doc_id"] for r in one_of_each_similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(got) == [0, *range(500, 505)]
+    assert tables["simhash-classes"].filter("node <> root").count() >= 100
+    assert tables["simhash-pairs"].count() < 6 * 120 and tables["pairs"].count() < 20 * 120  # 7,140 would be all
+
+
+def test_links_between_classes_that_fingerprints_miss(spark, monkeypatch):
+    monkeypatch.setattr(similar_texts, "DISTANCE", 0)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[: 200 - i])) for i in range(30)]
+    got = one_of_each_similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [r["doc_id"] for r in got] == [0]
