@@ -106,10 +106,11 @@ def _(spark, sf):
     at = [1 / 3, 2 / 3]
     borders = numbered.select(F.percentile_approx("page_no", at).alias("b")).first()["b"] or []
     cut = sorted(set(borders))
-    for low, high in zip([0, *cut], [*cut, None]):  # files one after the other; a site's pages arrive in order
+    # a site's pages arrive in order: each part is written by all tasks and worked off as one batch before the next comes
+    for low, high in zip([0, *cut], [*cut, None]):
         part = numbered.filter(F.col("page_no") > low)
         part = part if high is None else part.filter(F.col("page_no") <= high)
-        part.coalesce(1).write.mode("append").parquet(f"{root}/pages")
-    arrived = spark.readStream.schema(numbered.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/pages")
-    crawl.stream_page_flow(links_of(arrived), f"{root}/data", f"{root}/checkpoint")
+        part.write.mode("append").parquet(f"{root}/pages")
+        arrived = spark.readStream.schema(numbered.schema).parquet(f"{root}/pages")
+        crawl.stream_page_flow(links_of(arrived), f"{root}/data", f"{root}/checkpoint")
     return crawl.flow(spark, f"{root}/data")

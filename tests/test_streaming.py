@@ -284,3 +284,21 @@ def test_page_flow_as_pages_arrive(spark, tmp_path, rows):
     totals = {r["site"]: r["n"] for r in crawl.distinct_urls(spark, f"{root}/out").collect()}
     ends = {r["site"]: max(r["total"], 0) for r in want.orderBy("page_no").collect()}
     assert all(totals[s] >= ends[s] for s in totals) and totals["big"] == ends["big"]
+
+
+def test_pages_of_the_flow_query_are_written_by_many_tasks(spark, monkeypatch):
+    import os
+
+    from checks import streams
+    from checks.registry import QUERIES
+
+    pages = spark.range(300).selectExpr("'s' AS site", "id + 1 AS page_no", "id AS page_id", "'x' AS html").repartition(6)
+    files = []
+    monkeypatch.setattr(streams, "numbered_pages", lambda *_: pages)
+    monkeypatch.setattr(streams, "links_of", lambda df: df)
+    monkeypatch.setattr(streams, "stored", lambda df, name: df)
+    count = lambda root: len([f for f in os.listdir(os.path.dirname(root) + "/pages") if f.endswith(".parquet")])
+    monkeypatch.setattr(streams.crawl, "stream_page_flow", lambda _, root, checkpoint: files.append(count(root)))
+    monkeypatch.setattr(streams.crawl, "flow", lambda *_: None)
+    QUERIES["ext_04_page_flow_stream"](spark, "")
+    assert files[-1] > 3 and len(files) == 3
