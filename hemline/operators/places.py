@@ -20,22 +20,12 @@ def _pieces(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_PIECE), 0)
 
 
-def _bare(pieces: Column) -> Column:
-    return F.transform(pieces, lambda p: F.regexp_replace(p, _TAIL, ""))
-
-
-def word_runs(pieces: Column, bare: Column, most: int) -> Column:
-    """Every stretch of 1 to ``most`` words of a text as it is written, from word border to word border.
-
-    ``pieces`` are words with what follows each, ``bare`` without; both are plain columns, read once for each run.
-    """
-    runs = bare
-    for n in range(2, most + 1):
-        start = F.sequence(F.lit(1), F.size(pieces) - (n - 1))
-        longer = F.transform(
-            start, lambda i: F.concat(F.array_join(F.slice(pieces, i, n - 1), ""), F.element_at(bare, i + (n - 1)))  # noqa: B023
-        )
-        runs = F.concat(runs, F.when(F.size(pieces) >= n, longer).otherwise(F.array().cast("array<string>")))
+def word_runs(window: Column, n: Column, most: int) -> Column:
+    """The first ``n`` pieces of a ``window`` of ``most`` as they are written, without what follows the last word."""
+    runs = None
+    for k in range(1, most + 1):
+        run = F.concat(*[F.get(window, F.lit(i)) for i in range(k - 1)], F.regexp_replace(F.get(window, F.lit(k - 1)), _TAIL, ""))
+        runs = F.when(n == k, run) if runs is None else runs.when(n == k, run)
     return runs
 
 
@@ -54,15 +44,23 @@ def find_places(texts: DataFrame, names: DataFrame, key: str, text: str) -> Data
     """Longest name of each text that stands there between word borders: ``key``, ``name``, ``place``; of equally long
     ones that with the smallest pos. Texts without one, and null texts, have no row; ``key`` tells the texts apart.
 
-    ``names`` is a :func:`name_table`. The word runs of all texts, combined before they are shuffled, are matched with it first;
-    only names that occur somewhere are then joined to the texts.
+    ``names`` is a :func:`name_table`. Words of the texts are first held against the first words of names; only from those that
+    begin a name are word runs made, of the lengths such names have. Runs, combined before they are shuffled, are matched with
+    the names next, and only names that occur somewhere are joined to the texts.
     """
     most = names.agg(F.max("words").alias("n")).first()["n"]
     if not most:
         return texts.select(key).limit(0).withColumns({"name": F.lit("").cast("string"), "place": F.lit("").cast("string")})
+    firsts = names.groupBy(F.regexp_extract("name", f"^[{WORD}]+", 0).alias("_first"), "words").count().select("_first", "words")
+    firsts = small_side(stored(firsts, "first-words"))
     cut = settled(texts.filter(F.col(text).isNotNull()).select(key, text), "_pieces", _pieces(F.col(text)))
-    cut = settled(cut.select(key, "_pieces"), "_bare", _bare(F.col("_pieces")))
-    runs = cut.select(key, F.explode(word_runs(F.col("_pieces"), F.col("_bare"), most)).alias("name"))
+    # places are read one by one: a slice would copy the whole array for every word of a long text
+    at = F.sequence(F.lit(0), F.size("_pieces") - 1)
+    windows = F.transform(at, lambda i: F.array(*[F.get(F.col("_pieces"), i + k) for k in range(most)]))
+    starts = cut.filter(F.size("_pieces") > 0).select(key, F.explode(windows).alias("_window"))
+    starts = starts.withColumn("_first", F.regexp_extract(F.get("_window", F.lit(0)), f"^[{WORD}]+", 0))
+    runs = starts.join(firsts, "_first").select(key, word_runs(F.col("_window"), F.col("words"), most).alias("name"))
+    runs = stored(runs.filter("name IS NOT NULL"), "runs")
     occurring = runs.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
     occurring = small_side(stored(names.join(occurring, "name").select("name", "place", "pos"), "names-found"))
     best = F.max_by(F.struct("name", "place"), F.struct(F.length("name").alias("l"), (-F.col("pos")).alias("p")))

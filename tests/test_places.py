@@ -68,3 +68,17 @@ def test_resolve_city_from_tables(spark):
     got = {r["id"]: (r["resolved_city"], r["how"]) for r in resolve_city(requests, names=names, cities=cities).collect()}
     assert got == {1: ("NV", "coordinates"), 2: ("Near", "coordinates"), 3: ("Rawalpindi", "default"), 4: ("Lahore", "named")}
     assert resolve_city(requests, names=names, cities=cities).columns == [*requests.columns, "resolved_city", "how"]
+
+
+def test_only_words_that_begin_a_name_make_runs(spark, monkeypatch):
+    tables = {}
+
+    def keep(df, name="table", stored=places.stored):
+        tables.setdefault(name, []).append(stored(df, name))
+        return tables[name][-1]
+
+    monkeypatch.setattr(places, "stored", keep)
+    names = places.name_table(spark.createDataFrame([("Old Town", "o", 0), ("old", "p", 1), ("Hill", "h", 2)], NAMES))
+    texts = spark.createDataFrame([(1, "some words " * 500 + "in old  town"), (2, "an old town, up a hill"), (3, "nothing")], "id int, t string")
+    assert {r["id"]: r["place"] for r in places.find_places(texts, names, "id", "t").collect()} == {1: "p", 2: "o"}
+    assert tables["runs"][0].count() == 5  # two lengths for each "old", one "hill"
