@@ -78,8 +78,9 @@ def resolve_places(requests: DataFrame, names: DataFrame, key: str, places: str)
     return found.groupBy(F.col("_row.k").alias(key)).agg(F.min_by("place", F.col("_row.at")).alias("place"))
 
 
-# Points of the table aimed at in the fullest cell of the finest grid, and that grid's smallest cell (of a globe of radius 1).
-CELL_POINTS, SMALLEST = 16, 2.0**-20
+# Cities a point meets on average with the cubes chosen for it, the smallest cubes (of a globe of radius 1), and one in how many
+# cubes is counted to choose; all bear on speed only.
+MEET, SMALLEST, COUNTED = 32, 2.0**-20, 16
 
 
 def _xyz(lat: Column, lon: Column) -> list[Column]:
@@ -88,28 +89,52 @@ def _xyz(lat: Column, lon: Column) -> list[Column]:
     return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
 
 
-def _cell(axes: list[Column], width: float, shift: tuple = (0, 0, 0)) -> Column:
-    """Number of the cube a point falls in, or of the cube ``shift`` cubes away."""
-    return F.xxhash64(*[F.floor(c / F.lit(width)) + s for c, s in zip(axes, shift)])
+def _cell(axes: list[Column], width: float) -> Column:
+    """Number of the cube a point falls in."""
+    return F.xxhash64(*[F.floor(c / F.lit(width)) for c in axes])
+
+
+def _beside(points: DataFrame, axes: list[str], width: float) -> DataFrame:
+    """``points`` once for each cube, of the eight nearest, that the globe runs through, with its number ``_cube`` and without
+    the ``axes``. The eight hold all within half a width of the point."""
+    own = points.withColumn("_side", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    low, high = F.lit(0.0), F.lit(0.0)
+    for i, axis in enumerate(axes):
+        at = F.col(axis) / F.lit(width)
+        # the cube beside its own: one less where the point is in the lower half of it, one more in the upper
+        step = F.when(at - F.floor(at) < 0.5, -1).otherwise(1)
+        own = own.withColumn(f"_n{i}", F.floor(at) + step * F.getbit("_side", F.lit(i)))
+        a, b = F.col(f"_n{i}") * F.lit(width), (F.col(f"_n{i}") + 1) * F.lit(width)
+        high = high + F.greatest(a * a, b * b)
+        low = low + F.when((a <= 0) & (b >= 0), 0.0).otherwise(F.least(a * a, b * b))
+    own = own.filter((low <= 1 + 1e-9) & (high >= 1 - 1e-9)).withColumn("_cube", F.xxhash64("_n0", "_n1", "_n2"))
+    return own.drop("_side", "_n0", "_n1", "_n2", *axes)
 
 
 def _valid(lat: Column, lon: Column) -> Column:
     return lat.between(-90, 90) & F.abs(lon).between(0, 1e6)
 
 
-def _finest(spots: DataFrame, widest: float) -> float:
-    """Width of the widest cubes, from ``widest`` down by halves, of which none holds over ``CELL_POINTS`` points."""
-    width = widest
-    while width > SMALLEST:
-        # four widths a job: the fullest cube of each
-        tried = [width / 2**i for i in range(4)]
-        cubes = F.array(*[F.struct(F.lit(w).alias("w"), _cell([F.col(c) for c in "xyz"], w).alias("c")) for w in tried])
-        fullest = spots.select(F.explode(cubes).alias("u")).groupBy("u").count().groupBy("u.w").agg(F.max("count").alias("n")).collect()
-        good = [r["w"] for r in fullest if r["n"] <= CELL_POINTS]
-        if good:
-            return max(good)
-        width = tried[-1] / 2
-    return SMALLEST
+def _width(open_: DataFrame, spots: DataFrame, least: float, widest: float) -> float:
+    """Width of the widest cubes, from ``widest`` down by halves but to ``least``, at which points meet ``MEET`` cities on average.
+
+    Points and cities are counted in the same cubes, one in ``COUNTED`` of them, for all widths in one job.
+    """
+    tried = [widest]
+    while tried[-1] / 2 >= least:
+        tried.append(tried[-1] / 2)
+
+    def counts(axes: list[Column], df: DataFrame, n: str) -> DataFrame:
+        cubes = F.array(*[F.struct(F.lit(i).alias("w"), _cell([F.col(f"_{a}") for a in range(3)], w).alias("c")) for i, w in enumerate(tried)])
+        cubes = df.select(*[a.alias(f"_{i}") for i, a in enumerate(axes)]).select(F.explode(cubes).alias("u")).select("u.*")
+        return cubes.filter(F.pmod(F.xxhash64("c", F.lit(1)), F.lit(COUNTED)) == 0).groupBy("w", "c").agg(F.count(F.lit(1)).alias(n))
+
+    both = counts([F.col(c) for c in "xyz"], spots, "n").join(counts([F.col(c) for c in ("_x", "_y", "_z")], open_, "m"), ["w", "c"], "full")
+    load = both.groupBy("w").agg(F.sum(F.coalesce(F.col("n") * F.col("m"), F.lit(0))).alias("pairs"), F.sum("m").alias("points"), F.sum("n").alias("n"))
+    load = {r["w"]: r for r in load.collect()}
+    # a point meets some eight cubes like its own; what cities there are is as much as a table is worth reading
+    good = [w for i, w in enumerate(tried) if i not in load or 8 * load[i]["pairs"] <= MEET * ((load[i]["points"] or 0) + (load[i]["n"] or 0))]
+    return max(good, default=tried[-1])
 
 
 def nearest_of(points: DataFrame, cities: DataFrame, key: str, max_km: float = 120.0) -> DataFrame:
@@ -117,34 +142,36 @@ def nearest_of(points: DataFrame, cities: DataFrame, key: str, max_km: float = 1
     smaller pos.
 
     ``points`` (key, lat, lon), ``cities`` (name, lat, lon, pos). Points without a city so near, and points and cities with null
-    or impossible coordinates, have no row. The globe is cut into cubes. A city stands in its cube and the 26 around it, a
-    point looks into its own: if it finds a city no farther than a cube is wide, no other can be nearer. Points that
-    don't go on with cubes of double width, until these are as wide as ``max_km``. The first cubes are so small that
-    few cities share one, so a point meets few cities in a crowded region.
+    or impossible coordinates, have no row. The globe is cut into cubes. A city stands in its own, once; a point
+    looks into the nearest eight, which hold every city within half their width: if it finds one no farther off, no other can be
+    nearer. Points that don't go on, with wider cubes, until these are twice as wide as ``max_km``. Each time the cubes are the
+    widest in which the points left meet few cities on average, so only those left in a crowded region take small ones.
     """
     reach = 2 * math.sin(min(max_km / EARTH_KM, math.pi) / 2) * (1 + 1e-9) + 1e-12
     axes = dict(zip("xyz", _xyz(F.col("lat"), F.col("lon"))))
-    spots = cities.filter(_valid(F.col("lat"), F.col("lon"))).withColumns(axes)
+    # at a pole all longitudes are one point
+    spots = cities.filter(_valid(F.col("lat"), F.col("lon"))).withColumn("lon", F.when(F.abs("lat") == 90, 0.0).otherwise(F.col("lon")))
     # of cities at one point the smallest pos
-    spots = spots.groupBy("lat", "lon", *"xyz").agg(F.min_by("name", "pos").alias("name"), F.min("pos").alias("pos"))
-    spots = stored(spots, "spots")
-    open_ = stored(points.filter(_valid(F.col("lat"), F.col("lon"))).select(key, F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), "points")
-    width, out = min(_finest(spots, reach), reach), None
+    spots = spots.groupBy("lat", "lon").agg(F.min_by("name", "pos").alias("name"), F.min("pos").alias("pos"))
+    spots = stored(spots.withColumns(axes), "spots")
+    open_ = points.filter(_valid(F.col("lat"), F.col("lon"))).select(key, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    # stored with its place in space: the optimizer would work it out again for each cube
+    open_ = stored(open_.withColumns(dict(zip(["_x", "_y", "_z"], _xyz(F.col("_lat"), F.col("_lon"))))), "points")
+    widest, least, out = 2 * reach, SMALLEST, None
     xyz = [F.col(c) for c in "xyz"]
-    around = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
     while True:
-        last = width >= reach
-        cubes = F.explode(F.array(*[_cell(xyz, width, s) for s in around]))
-        held = small_side(spots.select("lat", "lon", "name", "pos", cubes.alias("_cube")))
-        met = open_.withColumn("_cube", _cell(_xyz(F.col("_lat"), F.col("_lon")), width)).join(held, "_cube")
+        width = _width(open_, spots, min(least, widest), widest)
+        last = width >= widest
+        held = small_side(spots.select("lat", "lon", "name", "pos", _cell(xyz, width).alias("_cube")))
+        met = _beside(open_, ["_x", "_y", "_z"], width).join(held, "_cube")
         km = haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
         best = F.min(F.struct(F.round(km, 6).alias("km"), "pos", "name"))
         found = met.groupBy(key).agg(best.alias("b")).select(key, F.col("b.name").alias("name"), F.col("b.km").alias("km"))
-        # the length of a chord of one width, a little less for rounding
-        sure = max_km if last else 2 * EARTH_KM * math.asin(min(width / 2, 1.0)) * (1 - 1e-9)
+        # the length of a chord of half a width, a little less for rounding
+        sure = max_km if last else 2 * EARTH_KM * math.asin(min(width / 4, 1.0)) * (1 - 1e-9)
         found = stored(found.filter(F.col("km") <= min(sure, max_km)), "nearest")
         out = found if out is None else out.unionByName(found)
         if last:
             return out
-        open_ = stored(open_.join(found.select(key), key, "left_anti"), "points-left")
-        width = min(2 * width, reach)
+        open_ = stored(open_.join(found.select(F.col(key).alias("_done")), F.col(key).eqNullSafe(F.col("_done")), "left_anti"), "points-left")
+        least = 2 * width

@@ -82,3 +82,18 @@ def test_only_words_that_begin_a_name_make_runs(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "some words " * 500 + "in old  town"), (2, "an old town, up a hill"), (3, "nothing")], "id int, t string")
     assert {r["id"]: r["place"] for r in places.find_places(texts, names, "id", "t").collect()} == {1: "p", 2: "o"}
     assert tables["runs"][0].count() == 5  # two lengths for each "old", one "hill"
+
+
+def test_cities_at_a_pole_and_crowds_take_few_rounds(spark, monkeypatch):
+    """The fullest cube does not set the first width: it took sixteen rounds over all cities."""
+    rounds = []
+
+    def keep(df, name="table", stored=places.stored):
+        rounds.append(name)
+        return stored(df, name)
+
+    monkeypatch.setattr(places, "stored", keep)
+    cities = spark.range(1000).selectExpr("concat('c', id) AS name", "if(id % 2 = 0, 90.0D, id / 20 - 25) AS lat", "id / 3.0D AS lon", "id AS pos")
+    points = spark.createDataFrame([(1, 89.0, 5.0), (2, -25.0, 0.0), (None, 90.0, 3.0)], "id int, lat double, lon double")
+    got = {r["id"]: r["name"] for r in places.nearest_of(points, cities, "id", 150).collect()}
+    assert got[1] == "c0" and got[None] == "c0" and rounds.count("nearest") <= 3
