@@ -24,6 +24,8 @@ LONG = 64
 WORDS, STEPS = 20_000, 32
 # Ids a query decodes at once.
 IDS = 500_000
+# Characters encoded at once: two workers have to fit beside a full heap.
+SLICE = 300_000
 
 _CONTRACT = """
 WITH RECURSIVE state AS (
@@ -201,7 +203,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         coder = Coder(path)
         return lambda texts: [_lists(*coder.encode(texts))]
 
-    return map_texts(docs, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
+    return map_texts(docs, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make, SLICE)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -253,4 +255,4 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", keep_ids: bool =
 
         return work
 
-    return map_texts(docs, text, fields, make)
+    return map_texts(docs, text, fields, make, SLICE)

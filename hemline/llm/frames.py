@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,14 +49,25 @@ def sha256_hex(text: Column) -> Column:
 
 def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts with about ``most`` characters; a longer text is a run of its own."""
+    return runs_of_sizes([len(t) for t in texts], most)
+
+
+def runs_of_sizes(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
             yield start, i
             start, size = i, 0
-        size += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts)
+        size += n + 1
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def release() -> None:
+    """Give freed memory back to the system, which the allocators of Arrow and C would keep for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def map_texts(
@@ -62,11 +75,13 @@ def map_texts(
     text: str,
     fields: list[T.StructField],
     make: Callable[[], Callable[[list[str]], Iterable]],
+    chars: int = SLICE_CHARS,
 ) -> DataFrame:
     """Columns made from whole texts in Arrow batches: all columns of ``df`` but ``text``, and ``fields``.
 
     ``make`` runs once in each task and returns the function that turns a list of texts (null: empty) into one
-    sequence for each field. Columns of ``df`` named like a field are replaced by it.
+    sequence for each field. Columns of ``df`` named like a field are replaced by it. Beside the Arrow batch a
+    worker holds one slice of about ``chars`` characters and its results, however many slices it has done.
     """
     kept = without(df, text, *[f.name for f in fields]).columns
     schema = T.StructType([df.schema[c] for c in kept] + fields)
@@ -74,11 +89,13 @@ def map_texts(
     def run(batches):
         work = make()
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
-            for a, b in slices(texts):
-                made = work(texts[a:b])
-                arrays = [batch.column(i).slice(a, b - a) for i in range(len(kept))]
-                arrays += [pa.array(v) for v in made]
+            sizes = pc.utf8_length(batch.column(len(kept))).fill_null(0).to_pylist()
+            for a, b in runs_of_sizes(sizes, chars):
+                part = batch.slice(a, b - a)
+                made = work([t or "" for t in part.column(len(kept)).to_pylist()])
+                arrays = part.columns[: len(kept)] + [pa.array(v) for v in made]
                 yield pa.RecordBatch.from_arrays(arrays, names=kept + [f.name for f in fields])
+                del made, arrays
+                release()
 
     return df.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_whole_text")).mapInArrow(run, schema)

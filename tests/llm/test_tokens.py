@@ -176,3 +176,31 @@ def test_token_files_edges(spark, library):
     of = lambda t: library.encode(t, add_special_tokens=False).ids + [7]
     assert got == [(0, None, of("a a")), (3, 2, of("a")), (5, 2, of("b")), (7, 2, of("b"))]
     assert token_files(df.limit(0), JSON).count() == 0
+
+
+def test_slices_do_not_follow_the_batch(spark):
+    """One Arrow batch of texts is worked on a few at a time, and what a slice took is given back before the next one."""
+    from pyspark.sql import types as T
+
+    from hemline.llm.frames import map_texts
+
+    docs = spark.createDataFrame([(i, None if i % 7 == 0 else "x" * (i % 50)) for i in range(400)] + [(400, "y" * 900)], "id int, text string").coalesce(1)
+
+    def make():
+        import re
+        from pathlib import Path
+
+        kept = []
+
+        def work(texts):
+            held = int(re.search(r"Anonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1])
+            small = [b"%d" % i * 100 for i in range(400_000)]  # over 200 MB in small blocks of C's allocator
+            kept.append(small[::40_000])  # a few stay, so the heap does not shrink by itself
+            return [[sum(map(len, texts))] * len(texts), [held >> 10] * len(texts)]
+
+        return work
+
+    fields = [T.StructField("chars", T.LongType()), T.StructField("held", T.LongType())]
+    got = map_texts(docs, "text", fields, make, 1000).orderBy("id").collect()
+    assert [r["id"] for r in got] == list(range(401)) and max(r["chars"] for r in got) <= 1000
+    assert got[-1]["held"] - got[0]["held"] < 100
