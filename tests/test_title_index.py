@@ -38,3 +38,17 @@ def test_a_search_opens_the_lists_of_its_own_runs(spark, tmp_path):
                     with open(f"{folder}/{f}", "r+b") as other:
                         other.write(b"no")
     assert [r["id"] for r in index.search("ZEBRA").collect()] == [999]
+
+
+def test_a_list_has_a_row_a_slab_of_titles(spark, tmp_path):
+    index = TitleIndex(spark, f"{tmp_path}/index")
+    titles = spark.createDataFrame([(i * 1000, f"title number {i}", i % 3 == 0) for i in range(1000)], TITLES).coalesce(1)
+    index.add(titles, 0)
+    rows = spark.read.parquet(f"{tmp_path}/index/lists").filter("run = 'num'")
+    assert rows.count() <= 16  # 1000 titles, 64 a slab
+    lengths = spark.read.parquet(f"{tmp_path}/index/lengths").filter("run = 'num'")
+    assert lengths.first()["n"] == sum(i % 3 > 0 for i in range(1000))  # counted in titles
+    want = [i * 1000 for i in range(1000) if i % 3 and "77" in str(i)]
+    assert sorted(r["id"] for r in index.search("77").collect()) == want  # too short for a run
+    want = [i * 1000 for i in range(1000) if i % 3 and str(i).startswith("77")]
+    assert sorted(r["id"] for r in index.search("number 77").collect()) == want
