@@ -12,6 +12,7 @@ import base64
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -27,20 +28,32 @@ IDS = 500_000
 # Characters encoded at once: two workers have to fit beside a full heap.
 SLICE = 300_000
 
+# One row a word is kept; a step reads the words that the step before changed.
 _CONTRACT = """
-WITH RECURSIVE state AS (
-  SELECT w, 0 AS step, toks FROM words
+WITH RECURSIVE state(w, toks) USING KEY (w) AS (
+  SELECT w, toks FROM words
   UNION ALL
-  SELECT s.w, s.step + 1, s.toks[: best.at - 1] || [best.made] || s.toks[best.at + 2 :]
+  SELECT s.w, s.toks[: best.place - 1] || [best.made] || s.toks[best.place + 2 :]
   FROM state s JOIN (
-    SELECT w, min(struct_pack(made := m.made, at := p.at)) AS best
-    FROM (SELECT w, unnest(toks[: len(toks) - 1]) AS a, unnest(toks[2 :]) AS b, unnest(range(1, len(toks))) AS at
-          FROM state WHERE len(toks) > 1) p
-    JOIN merges m ON m.a = p.a AND m.b = p.b
-    GROUP BY w
-  ) USING (w)
+    SELECT w, (low >> 32)::INT AS made, low & 4294967295 AS place
+    FROM (
+      SELECT w, min((m.made::BIGINT << 32) + p.place) AS low
+      FROM (SELECT w, unnest(toks[: len(toks) - 1]) AS a, unnest(toks[2 :]) AS b, unnest(range(1, len(toks))) AS place
+            FROM state WHERE len(toks) > 1) p
+      JOIN merges m ON m.a = p.a AND m.b = p.b
+      GROUP BY w
+    )
+  ) best USING (w)
 )
-SELECT w, arg_max(toks, step) AS toks FROM state GROUP BY w ORDER BY w
+SELECT w, toks FROM state ORDER BY w
+"""
+
+# Every way to cut a piece of the vocabulary into two others.
+_MERGES = """
+CREATE TABLE merges AS
+SELECT a.id AS a, b.id AS b, v.id AS made
+FROM (SELECT id, piece, unnest(range(1, length(piece))) AS n FROM vocabulary) v
+JOIN vocabulary a ON a.piece = v.piece[: n] JOIN vocabulary b ON b.piece = v.piece[n + 1 :]
 """
 
 _CONTRACT_LONG = """
@@ -91,17 +104,12 @@ class Coder:
 
         ranks = read_ranks(path)
         self._byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        rows = [
-            (ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
-        ]
-        a, b, made = (pa.array(x, pa.int32()) for x in zip(*rows))
         self._db = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "300MB", "temp_directory": ""})
-        merges = pa.table({"a": a, "b": b, "made": made})  # noqa: F841 - read by name
-        self._db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         vocabulary = pa.table(  # noqa: F841 - read by name; each byte stands as the character of its number
             {"id": pa.array(ranks.values(), pa.int32()), "piece": [t.decode("latin-1") for t in ranks]}
         )
         self._db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
+        self._db.execute(_MERGES)
         one_byte = {bytes([i]): i for i in range(256)}
         self._is = {
             kind: tiktoken.Encoding(str(kind), pat_str=rule, mergeable_ranks=one_byte, special_tokens={}).encode_ordinary
@@ -121,31 +129,27 @@ class Coder:
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         symbols = self._byte[np.frombuffer(b"".join(raw), np.uint8)]
         start = np.cumsum(sizes) - sizes
-        made: list = [None] * len(words)
         short = np.flatnonzero(sizes <= LONG)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64))]  # words, their ids, how many each has
         for i in range(0, len(short), WORDS):
             w = short[i : i + WORDS]
             flat = ragged(symbols, start[w], sizes[w])
             toks = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes[w])), pa.int32()), pa.array(flat, pa.int32()))
             self._db.register("words", pa.table({"w": pa.array(w), "toks": toks}))
-            got = self._db.sql(_CONTRACT).to_arrow_table()
+            got = self._db.sql(_CONTRACT).to_arrow_table().combine_chunks()
             self._db.unregister("words")
-            self._spread(made, got)
+            for w, toks in zip(got.column("w").chunks, got.column("toks").chunks):
+                found.append((w.to_numpy(), toks.flatten().to_numpy(), toks.value_lengths().to_numpy()))
         for w in batches(np.flatnonzero(sizes > LONG), sizes):
-            self._long(made, {int(i): symbols[start[i] : start[i] + sizes[i]] for i in w})
-        lengths = np.fromiter(map(len, made), np.int64, len(made))
-        return np.concatenate(made), lengths
-
-    @staticmethod
-    def _spread(made: list, got) -> None:
-        toks = got.column("toks").combine_chunks()
-        toks = toks.combine_chunks() if isinstance(toks, pa.ChunkedArray) else toks
-        ends, flat = toks.offsets.to_numpy(), toks.values.to_numpy(zero_copy_only=False)
-        for k, w in enumerate(got.column("w").to_pylist()):
-            made[w] = flat[ends[k] : ends[k + 1]]
-
-    def _long(self, made: list, todo: dict[int, np.ndarray]) -> None:
-        """Finish long words. Each query takes a bounded number of steps; unfinished words start the next one."""
+            made = self._long({int(i): symbols[start[i] : start[i] + sizes[i]] for i in w})
+            found.append((np.array(list(made)), np.concatenate(list(made.values())), np.array(list(map(len, made.values())))))
+        word, ids, lengths = map(np.concatenate, zip(*found))
+        order = np.argsort(word)
+        return ragged(ids, (np.cumsum(lengths) - lengths)[order], lengths[order]), lengths[order]
+
+    def _long(self, todo: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """Ids of long words. Each query takes a bounded number of steps; unfinished words start the next one."""
+        made = {}
         while todo:
             sizes = [len(s) for s in todo.values()]
             rows = {"w": np.repeat(np.array(list(todo), np.int64), sizes), "pos": np.concatenate([np.arange(n) for n in sizes])}
@@ -158,6 +162,7 @@ class Coder:
                     todo.pop(w, None)
                 else:
                     todo[w] = np.array(toks, np.int32)
+        return made
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one text after the other, and how many each has."""
@@ -169,12 +174,12 @@ class Coder:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """Bytes of each run of ids. A query takes at most ``IDS`` of them, so a long run is put together from several."""
-        doc = np.repeat(np.arange(len(counts)), counts)
+        doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         out = [b""] * len(counts)
         parts: dict[int, list[bytes]] = {}
         for a in range(0, len(ids), IDS):
             part = slice(a, a + IDS)
-            self._db.register("coded", pa.table({"doc": pa.array(doc[part]), "pos": pa.array(np.arange(len(ids[part]))), "id": pa.array(ids[part])}))
+            self._db.register("coded", pa.table({"doc": pa.array(doc[part]), "pos": pa.array(np.arange(len(ids[part]), dtype=np.int32)), "id": pa.array(ids[part])}))
             got = self._db.sql(
                 "SELECT doc, string_agg(piece, '' ORDER BY pos) AS text, count(*) AS n FROM coded JOIN vocabulary USING (id) GROUP BY doc"
             ).to_arrow_table()
@@ -247,11 +252,12 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", keep_ids: bool =
 
         def work(texts):
             ids, counts = coder.encode(texts)
-            ends, names = np.cumsum(counts).tolist(), list(map(str, ids.tolist()))
-            joined = [" ".join(names[e - n : e]) for e, n in zip(ends, counts.tolist())]
+            lists = _lists(ids, counts)
+            blank = pa.scalar(" ", pa.large_string())
+            joined = pc.binary_join(lists.cast(pa.list_(pa.large_string())), blank).cast(pa.large_binary()).to_pylist()
             decoded = coder.decode(ids, counts)
-            out = [counts, [sha256(j.encode()).hexdigest() for j in joined], [sha256(d).hexdigest() for d in decoded]]
-            return out + [_lists(ids, counts)] * keep_ids
+            out = [counts, [sha256(j).hexdigest() for j in joined], [sha256(d).hexdigest() for d in decoded]]
+            return out + [lists] * keep_ids
 
         return work
 

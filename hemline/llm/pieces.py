@@ -116,6 +116,29 @@ class Splitter:
             begins[rest[kind[rest] == LETTER]] = True
 
 
+class Grown:
+    """An array that grows at its end. Room is doubled when it is full, so what is held is not copied at each addition."""
+
+    def __init__(self, values: np.ndarray):
+        self._room, self._size = values, len(values)
+
+    def __len__(self) -> int:
+        return self._size
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._room[: self._size]
+
+    def add(self, more: np.ndarray) -> None:
+        size = self._size + len(more)
+        if size > len(self._room):
+            room = np.empty(max(size, 2 * len(self._room)), self._room.dtype)
+            room[: self._size] = self.values
+            self._room = room
+        self._room[self._size : size] = more
+        self._size = size
+
+
 class WordCache:
     """Values of distinct words, worked out once while they are kept.
 
@@ -125,10 +148,10 @@ class WordCache:
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
         self._encode, self._most, self._clock = encode, most, 0
         self._key, self._row = np.empty(0, np.uint64), np.empty(0, np.int32)
-        self._values = np.empty(0, np.int32)
-        self._start, self._size, self._used = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+        types = (np.int32, np.int64, np.int32, np.int32)
+        self._values, self._start, self._size, self._used = (Grown(np.empty(0, t)) for t in types)
         # the words themselves, as one array of code points with the place of each
-        self._code, self._at, self._length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int32)
+        self._code, self._at, self._length = (Grown(np.empty(0, t)) for t in (np.uint32, np.int64, np.int32))
 
     def look_up(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All kept values, and where those of each distinct word of ``pieces`` start and how many they are."""
@@ -144,39 +167,39 @@ class WordCache:
         rows[known] = self._row[at[known]]
         held = rows[known]
         # equal keys are a hint; the spelling decides
-        known[known] = same_runs(code, at_[known], length[known], self._code, self._at[held], self._length[held].astype(np.int64))
+        own, size = self._at.values[held], self._length.values[held].astype(np.int64)
+        known[known] = same_runs(code, at_[known], length[known], self._code.values, own, size)
         new = np.flatnonzero(~known)
         if len(new):
             words = [pieces.words[i] for i in new.tolist()]
             values, sizes = self._encode(words)
             sizes = np.asarray(sizes, np.int64)
             rows[new] = len(self._size) + np.arange(len(new))
-            self._start = np.append(self._start, len(self._values) + np.cumsum(sizes) - sizes)
-            self._size = np.append(self._size, sizes.astype(np.int32))
-            self._values = np.append(self._values, np.asarray(values, np.int32))
-            self._used = np.append(self._used, np.zeros(len(new), np.int32))
-            self._at = np.append(self._at, len(self._code) + np.cumsum(length[new]) - length[new])
-            self._length = np.append(self._length, length[new].astype(np.int32))
-            self._code = np.append(self._code, ragged(code, at_[new], length[new]))
+            self._start.add(len(self._values) + np.cumsum(sizes) - sizes)
+            self._size.add(sizes)
+            self._values.add(values)
+            self._used.add(np.zeros(len(new), np.int32))
+            self._at.add(len(self._code) + np.cumsum(length[new]) - length[new])
+            self._length.add(length[new])
+            self._code.add(ragged(code, at_[new], length[new]))
             # one word for each key can be found again
             free = np.flatnonzero(fresh)
             keys, one = np.unique(pieces.keys[free], return_index=True)
             put = np.searchsorted(self._key, keys)
             self._key = np.insert(self._key, put, keys)
             self._row = np.insert(self._row, put, rows[free[one]].astype(np.int32))
-        self._used[rows] = self._clock
-        return self._values, self._start[rows], self._size[rows].astype(np.int64)
+        self._used.values[rows] = self._clock
+        return self._values.values, self._start.values[rows], self._size.values[rows].astype(np.int64)
 
     def _forget(self) -> None:
-        rows = np.flatnonzero(self._used > np.median(self._used))
-        moved = np.full(len(self._size), -1, np.int32)
+        used, size, length = self._used.values, self._size.values, self._length.values
+        rows = np.flatnonzero(used > np.median(used))
+        moved = np.full(len(size), -1, np.int32)
         moved[rows] = np.arange(len(rows))
-        self._values = ragged(self._values, self._start[rows], self._size[rows].astype(np.int64))
-        length = self._length[rows].astype(np.int64)
-        self._code = ragged(self._code, self._at[rows], length)
-        self._length, self._at = self._length[rows], np.cumsum(length) - length
-        self._size, self._used = self._size[rows], self._used[rows]
-        self._start = np.cumsum(self._size, dtype=np.int64) - self._size
+        self._values = Grown(ragged(self._values.values, self._start.values[rows], size[rows].astype(np.int64)))
+        self._code = Grown(ragged(self._code.values, self._at.values[rows], length[rows].astype(np.int64)))
+        self._size, self._length, self._used = Grown(size[rows]), Grown(length[rows]), Grown(used[rows])
+        self._start, self._at = (Grown(np.cumsum(n[rows], dtype=np.int64) - n[rows]) for n in (size, length))
         stay = moved[self._row] >= 0
         self._key, self._row = self._key[stay], moved[self._row[stay]]
 

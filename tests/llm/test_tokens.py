@@ -121,6 +121,30 @@ def test_encode_and_decode_frames(spark, ranked):
     assert round_trip(df.limit(0), RANKS).count() == 0
 
 
+def test_merge_query_holds_one_row_a_word(ranked):
+    """Words of few and many steps: what a step left behind is not carried to the end."""
+    import pyarrow as pa
+
+    from hemline.llm import bpe
+
+    coder, rng = Coder(RANKS), random.Random(6)
+    words = ["".join(rng.choice("eainst") for _ in range(n)) for n in (1, 2, 9, 30, 64) for _ in range(40)]
+    toks = [coder._byte[list(w.encode())].tolist() for w in words]
+    coder._db.register("words", pa.table({"w": range(len(words)), "toks": pa.array(toks, pa.list_(pa.int32()))}))
+    held = bpe._CONTRACT.rsplit("SELECT", 1)[0] + "SELECT count(*) FROM state"
+    assert coder._db.sql(held).fetchall() == [(len(words),)]
+    ids, lengths = coder._merged(words + ["x" * 70, "tain" * 20])
+    want = [ranked.encode_ordinary(w) for w in words + ["x" * 70, "tain" * 20]]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
+
+
+def test_merge_table_holds_every_cut():
+    ranks = read_ranks(RANKS)
+    want = {(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+    got = Coder(RANKS)._db.sql("SELECT a, b, made FROM merges").fetchall()
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_unknown_id_is_an_error():
     with pytest.raises(ValueError):
         Coder(RANKS).decode(np.array([60_000]), np.array([1]))
@@ -148,6 +172,23 @@ def test_word_cache_forgets_but_stays_right():
         assert "".join(map(chr, ragged(values, start, size))) == "".join(words)
 
 
+def test_word_cache_does_not_copy_what_it_holds():
+    """A look-up that adds a few words to many must not move the others."""
+    cache = WordCache(lambda ws: (np.arange(len(ws)), np.ones(len(ws), np.int64)))
+
+    class P:
+        def __init__(self, numbers):
+            self.words, self.keys = [f"w{i}" for i in numbers], np.array(numbers, np.uint64)
+
+    cache.look_up(P(range(5000)))
+    moved, last = 0, cache.look_up(P([1]))[0]
+    for i in range(200):
+        values, start, size = cache.look_up(P([7, 5000 + i]))
+        assert values[start].tolist() == [7, 0] and size.tolist() == [1, 1]
+        moved, last = moved + (not np.shares_memory(last, values)), values
+    assert moved <= 1
+
+
 def test_library_encoder(library):
     texts = odd_texts(800, 3)
     ids, counts = LibraryEncoder(JSON)(texts)
