@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +18,8 @@ from hemline.session import shared_path
 SLICE_CHARS = 1_000_000
 # A lookup table up to this many bytes is sent to every executor; larger ones are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
+# Whether shuffle files go with the query that made them.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +39,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that are made and run inside go when a query ends, not when the driver next collects garbage.
+
+    For steps that store what they find: a query that is run again would have to make its shuffles again.
+    """
+    was = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREED) if was is None else spark.conf.set(FREED, was)
+
+
 def if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """Mark a stored table for broadcast when its rows, written as text, are known to be small."""
     row = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) + 64

@@ -1,13 +1,17 @@
 """Similar texts against brute-force Jaccard."""
 
 import random
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from hemline.llm import similar_texts
+from hemline.llm.frames import FREED
 from hemline.llm.mixing import mix_rows, mixed
+from hemline.llm.simhash import shingle_hashes
 from hemline.llm.similar_texts import one_of_each_similar
 
 
@@ -96,3 +100,58 @@ def test_links_between_classes_that_fingerprints_miss(spark, monkeypatch):
     rows = [(i, " ".join(base[: 200 - i])) for i in range(30)]
     got = one_of_each_similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert [r["doc_id"] for r in got] == [0]
+
+
+def test_texts_that_share_a_shingle_by_chance_are_not_verified(spark, monkeypatch):
+    """Such pairs grow with the square of the table, and each would bring two whole sets to disk."""
+    monkeypatch.setattr(similar_texts, "SAMPLE", 1)  # no shingle is known to be common
+    phrases = (f"p{i} q{i} r{i} s{i} t{i}" for i in range(10_000))
+    phrase = next(p for p in phrases if int(shingle_hashes(p, 5)[0]) < 1 << 56)  # it comes first in all prefixes
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)) + " " + phrase) for i in range(50)]
+    rows.append((90, rows[3][1] + " and more"))
+    tables, freed = {}, set()
+
+    def keep(df, name, stored=similar_texts.stored):
+        tables.setdefault(name, []).append(stored(df, name))
+        freed.add(spark.conf.get(FREED, None))
+        return tables[name][-1]
+
+    monkeypatch.setattr(similar_texts, "stored", keep)
+    monkeypatch.setattr(similar_texts, "DISTANCE", 0)
+    got = [r["doc_id"] for r in one_of_each_similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(got) == list(range(50))
+    assert tables["pairs"][0].count() == 1 and tables["sets"][-1].count() == 2  # 1,275 pairs share the phrase
+    assert freed == {"true"} and spark.conf.get(FREED, None) is None
+
+
+@pytest.mark.parametrize("similarity", ["0.8", "0.5", "1", "0.05", "2/3"])
+@pytest.mark.parametrize("n_common", [0, 50])
+def test_similar_sets_share_as_many_prefix_shingles_as_are_asked_for(similarity, n_common):
+    bound, rng, sets = Fraction(similarity), np.random.default_rng(n_common), {}
+    hashes = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    for n in (1, 2, 3, 4, 5, 6, 8, 11, 20, 60, 150, 400):
+        base = hashes(n)
+        for changes in (0, n // 10 + 1, n // 8, n // 5, n // 3):
+            other = base.copy()
+            other[rng.choice(n, min(n, changes), replace=False)] = hashes(min(n, changes))
+            for x in (other, base[: max(1, n - changes)], np.append(base, hashes(changes))):
+                sets[similar_texts.set_hash(np.unique(x))] = np.unique(x)
+    common = np.sort(rng.choice(np.unique(np.concatenate(list(sets.values()))), n_common, replace=False))
+    rank = rng.permutation(n_common).astype(np.int32)
+    first = [similar_texts.prefix(s, common, rank, bound) for s in sets.values()]
+    count = [len(p) for p in first]
+    name, size = np.repeat(list(sets), count), np.repeat([len(s) for s in sets.values()], count).astype(np.int32)
+    place = np.concatenate([np.arange(k, dtype=np.int32) for k in count])
+    met, least = Counter(), {}
+    for x, y, need in similar_texts.meeting(np.concatenate(first).view(np.int64), name, size, place, name, bound):
+        both = [tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())]
+        met.update(both)
+        least |= dict(zip(both, need.tolist()))
+    similar = 0
+    for a in sets:
+        for b in sets:
+            shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True)) if a < b else 0
+            if shared and Fraction(shared, len(sets[a]) + len(sets[b]) - shared) >= bound:
+                similar += 1
+                assert met[a, b] >= least[a, b]
+    assert similar > 5 or similarity == "1"
